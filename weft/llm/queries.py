@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .mixing import op7_mix_sources
+from .sstable import op1_token_sstable
 
-QUERIES = {"op7_mix_sources": op7_mix_sources}
+QUERIES = {"op1_token_sstable": op1_token_sstable, "op7_mix_sources": op7_mix_sources}
 
 ORACLE: dict[str, str] = {}
 
