@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .mixing import op7_mix_sources
+from .spotsigs import op2_spotsigs
 from .sstable import op1_token_sstable
 
-QUERIES = {"op1_token_sstable": op1_token_sstable, "op7_mix_sources": op7_mix_sources}
+QUERIES = {"op1_token_sstable": op1_token_sstable, "op2_spotsigs": op2_spotsigs, "op7_mix_sources": op7_mix_sources}
 
 ORACLE: dict[str, str] = {}
 
