@@ -49,9 +49,9 @@ UNIT = re.compile(r"\s*\S+|\s+")
 
 
 class Encoder:
-    """Whole texts to id bytes; units that came before are not encoded again. The cache is emptied at a fixed size."""
+    """Whole texts to id bytes; units that came before are not encoded again. The cache has a fixed bound; what was not used of late goes."""
 
-    def __init__(self, path: str, end_id: int, most: int = 500_000):
+    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +63,7 @@ class Encoder:
         for piece, i in self.tok.get_vocab().items():
             self.length[i] = len(piece)
         self.whole = {x.content for x in self.tok.get_added_tokens_decoder().values()}
-        self.most, self.cache = most, {}
+        self.most, self.cache, self.old = most, {}, {}
 
     def _alone(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
@@ -71,25 +71,28 @@ class Encoder:
     def _joined(self, units: list[str]) -> list[bytes]:
         """Units that start with white space are encoded as one text and cut apart by the bytes that each id covers."""
         ids = np.array(self.tok.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, self.type)
-        at = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(u.encode()) for u in units]))
-        out, raw, w, lo = [], ids.tobytes(), self.type.itemsize, 0
-        for hi in (at + 1).tolist():
-            out.append(raw[lo * w : hi * w])
-            lo = hi
-        return out
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, units)), np.int64, len(units)))
+        at = (np.searchsorted(np.cumsum(self.length[ids]), ends) + 1) * self.type.itemsize
+        raw, cuts = ids.tobytes(), at.tolist()
+        return [raw[lo:hi] for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
+        texts = list(texts)
         cut = [UNIT.findall(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {}
-        cache = self.cache
-        new = {u for us in cut for u in us}.difference(cache)
-        joined = [u for u in new if u[0].isspace() and not u.isspace() and not any(w in u for w in self.whole)]
+        if len(self.cache) > self.most // 2:  # what the last half did not use goes
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        new = set().union(*cut).difference(cache)
+        again = [u for u in new if u in old]
+        cache.update((u, old[u]) for u in again)
+        new.difference_update(again)
+        special = any(w in t for t in texts for w in self.whole)
+        joined = [u for u in new if u[0].isspace() and not u[-1].isspace() and not (special and any(w in u for w in self.whole))]
         alone = list(new.difference(joined))
         for part, f, n in ((joined, self._joined, 8192), (alone, self._alone, 8192)):
             for i in range(0, len(part), n):
                 cache.update(zip(part[i : i + n], f(part[i : i + n]), strict=True))
-        return [b"".join([cache[u] for u in us]) + self.end for us in cut]
+        return [b"".join(map(cache.__getitem__, us)) + self.end for us in cut]
 
 
 def varint(n: int) -> bytes:
@@ -268,9 +271,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo in range(0, len(ids), 256):
-                values = enc.encode(t or "" for t in texts[lo : lo + 256])
-                for i, v in zip(ids[lo : lo + 256], values, strict=True):
+            for lo in range(0, len(ids), 512):
+                values = enc.encode(t or "" for t in texts[lo : lo + 512])
+                for i, v in zip(ids[lo : lo + 512], values, strict=True):
                     if now is not None and now.at + len(now.block) >= shard_bytes:
                         close()
                         now = None
