@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from .langid import op4_language_id
 from .mixing import op7_mix_sources
 from .spotsigs import op2_spotsigs
 from .sstable import op1_token_sstable
+from .toxicity import op5_toxicity
 
-QUERIES = {"op1_token_sstable": op1_token_sstable, "op2_spotsigs": op2_spotsigs, "op7_mix_sources": op7_mix_sources}
+QUERIES = {"op1_token_sstable": op1_token_sstable, "op2_spotsigs": op2_spotsigs, "op4_language_id": op4_language_id, "op5_toxicity": op5_toxicity, "op7_mix_sources": op7_mix_sources}
 
 ORACLE: dict[str, str] = {}
 
 #: The mix over whole tables in SQL: the level that fills the open sources, then running sums over the hash order.
-ORACLE["op7_mix_sources"] = r"""
+ORACLE["op4_language_id": op4_language_id, "op5_toxicity": op5_toxicity, "op7_mix_sources"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
