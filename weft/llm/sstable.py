@@ -76,9 +76,31 @@ class Encoder:
         raw, cuts = ids.tobytes(), at.tolist()
         return [raw[lo:hi] for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True)]
 
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """The text's units as cache keys: a unit of one space and a word is the word, a first unit without white space has \x02 before it."""
+        if not text:
+            return []
+        spaced = text.replace("\n", " \n")
+        if "  " not in spaced and "\n\n" not in text and text[-1] not in " \n" and text.replace("\n", "").isprintable():
+            units = spaced.split(" ")
+            if units[0]:
+                units[0] = "\x02" + units[0]
+            else:  # the text starts with white space
+                del units[0]
+            return units
+        units = UNIT.findall(text)
+        if not units[0][0].isspace():
+            units[0] = "\x02" + units[0]
+        return units
+
+    @staticmethod
+    def unit(key: str) -> str:
+        return key[1:] if key[0] == "\x02" else key if key[0].isspace() else " " + key
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         texts = list(texts)
-        cut = [UNIT.findall(t) for t in texts]
+        cut = list(map(self.cut, texts))
         if len(self.cache) > self.most // 2:  # what the last half did not use goes
             self.old, self.cache = self.cache, {}
         cache, old = self.cache, self.old
@@ -87,11 +109,11 @@ class Encoder:
         cache.update((u, old[u]) for u in again)
         new.difference_update(again)
         special = any(w in t for t in texts for w in self.whole)
-        joined = [u for u in new if u[0].isspace() and not u[-1].isspace() and not (special and any(w in u for w in self.whole))]
+        joined = [u for u in new if u[0] != "\x02" and not u[-1].isspace() and not (special and any(w in u for w in self.whole))]
         alone = list(new.difference(joined))
         for part, f, n in ((joined, self._joined, 8192), (alone, self._alone, 8192)):
             for i in range(0, len(part), n):
-                cache.update(zip(part[i : i + n], f(part[i : i + n]), strict=True))
+                cache.update(zip(part[i : i + n], f(list(map(self.unit, part[i : i + n]))), strict=True))
         return [b"".join(map(cache.__getitem__, us)) + self.end for us in cut]
 
 
@@ -271,9 +293,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo in range(0, len(ids), 512):
-                values = enc.encode(t or "" for t in texts[lo : lo + 512])
-                for i, v in zip(ids[lo : lo + 512], values, strict=True):
+            for lo in range(0, len(ids), 1024):
+                values = enc.encode(t or "" for t in texts[lo : lo + 1024])
+                for i, v in zip(ids[lo : lo + 1024], values, strict=True):
                     if now is not None and now.at + len(now.block) >= shard_bytes:
                         close()
                         now = None
