@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from .langid import op4_language_id
+from .minhash import op9_minhash_dedup
 from .mixing import op7_mix_sources
 from .spotsigs import op2_spotsigs
 from .sstable import op1_token_sstable
 from .suffixarray import op8_suffix_array_dedup
 from .toxicity import op5_toxicity
 
-QUERIES = {"op1_token_sstable": op1_token_sstable, "op2_spotsigs": op2_spotsigs, "op4_language_id": op4_language_id, "op5_toxicity": op5_toxicity, "op7_mix_sources": op7_mix_sources, "op8_suffix_array_dedup": op8_suffix_array_dedup}
+QUERIES = {"op1_token_sstable": op1_token_sstable, "op2_spotsigs": op2_spotsigs, "op4_language_id": op4_language_id, "op5_toxicity": op5_toxicity, "op7_mix_sources": op7_mix_sources, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_minhash_dedup": op9_minhash_dedup}
 
 ORACLE: dict[str, str] = {}
 
