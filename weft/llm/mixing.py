@@ -74,16 +74,32 @@ def thresholds(docs: DataFrame, budget: DataFrame) -> DataFrame:
     return last.select("k", F.when(F.col("rest") >= F.col("n") / 2, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("bound"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(k, source_size, target, base, bound) for each source of sized(source, size, h): a document is taken base + (h <= bound) times."""
+    goal = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
+    more = F.col("target") > F.col("source_size")
+    budget = goal.select(source_key().alias("k"), F.col("source_size").cast("long").alias("source_size"), "target", F.when(more, F.col("target") - F.col("source_size")).otherwise(F.col("target")).alias("budget"), more.cast("int").alias("base"))
+    return budget.join(thresholds(sized.select(source_key().alias("k"), "size", "h"), budget.select("k", "budget")), "k").drop("budget")
+
+
+def source_key() -> Column:
+    return F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """(doc_id, source, size, source_size, target, times, taken): how often the mix takes each document, 0 to 2."""
     sized = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), id_hash(doc_id).alias("h")), "sizes")
-    goal = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
-    key = F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))
-    budget = goal.select(key.alias("k"), "source", "source_size", "target", F.when(F.col("target") > F.col("source_size"), F.col("target") - F.col("source_size")).otherwise(F.col("target")).alias("budget"), F.when(F.col("target") > F.col("source_size"), 1).otherwise(0).alias("base"))
-    bound = thresholds(sized.select(key.alias("k"), "size", "h"), budget.select("k", "budget"))
-    plan = budget.join(bound, "k").drop("source")
     times = F.col("base") + (F.col("h") <= F.col("bound")).cast("int")
-    return sized.select("*", key.alias("k")).join(plan, "k").select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", times.alias("times"), (F.col("size") * times).cast("long").alias("taken"))
+    return sized.select("*", source_key().alias("k")).join(plan(sized, **options), "k").select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it."""
+    sized = stage(docs.select(F.col(source).alias("source"), n_words(text).alias("size"), id_hash(doc_id).alias("h")), "sizes")
+    chosen = plan(sized, **options).select(F.col("k").alias("_k"), "base", "bound").toDF("_k", "_base", "_bound")
+    rows = docs.select("*", F.struct(F.col(source).isNull().alias("n"), F.coalesce(F.col(source), F.lit("")).alias("s")).alias("_k")).join(chosen, "_k")
+    times = F.col("_base") + (id_hash(doc_id) <= F.col("_bound")).cast("int")
+    return rows.select(*docs.columns, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias("_n")).drop("_n")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .annforest import op6_ann_forest
+from .htmltext import op10_html_text
 from .langid import op4_language_id
 from .minhash import op9_minhash_dedup
 from .mixing import op7_mix_sources
@@ -12,12 +13,23 @@ from .sstable import op1_token_sstable
 from .suffixarray import op8_suffix_array_dedup
 from .toxicity import op5_toxicity
 
-QUERIES = {"op1_token_sstable": op1_token_sstable, "op2_spotsigs": op2_spotsigs, "op3_sentencepiece": op3_sentencepiece, "op4_language_id": op4_language_id, "op5_toxicity": op5_toxicity, "op6_ann_forest": op6_ann_forest, "op7_mix_sources": op7_mix_sources, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_minhash_dedup": op9_minhash_dedup}
+QUERIES = {
+    "op1_token_sstable": op1_token_sstable,
+    "op2_spotsigs": op2_spotsigs,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
+    "op6_ann_forest": op6_ann_forest,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_html_text": op10_html_text,
+}
 
 ORACLE: dict[str, str] = {}
 
 #: The mix over whole tables in SQL: the level that fills the open sources, then running sums over the hash order.
-ORACLE["op3_sentencepiece": op3_sentencepiece, "op4_language_id": op4_language_id, "op5_toxicity": op5_toxicity, "op7_mix_sources"] = r"""
+ORACLE["op7_mix_sources"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
