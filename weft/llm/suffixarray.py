@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -181,8 +182,9 @@ def phrases(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
 
 
 #: Rows of candidates. kind 0: starts a to e of a document are covered; kind 1: they are a phrase.
-PHRASE = pa.schema([("kind", pa.int8()), ("t", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("copy", pa.int32()), ("a", pa.int64()), ("e", pa.int64()), ("p", pa.int64()), ("many", pa.bool_())])
-PHRASE_DDL = "kind byte, t long, c long, id long, copy int, a long, e long, p long, many boolean"
+#: at holds a, e - a and p - a (the trigger's place) in one number, a * 2^16 + (e - a) * 2^8 + (p - a): a phrase has at most 77 starts.
+PHRASE = pa.schema([("kind", pa.int8()), ("t", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("copy", pa.int32()), ("at", pa.int64()), ("many", pa.bool_())])
+PHRASE_DDL = "kind byte, t long, c long, id long, copy int, at long, many boolean"
 
 
 def chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, list]]:
@@ -219,11 +221,11 @@ def find_phrases(docs: DataFrame, length: int) -> DataFrame:
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
-            t, c, i, k, a, e, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            o, new = firsts([t, c], [i, k, a])
+            t, c, i, k, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            o, new = firsts([t, c], [i, k, at])
             ts, new_t = t[o], np.append(True, t[o][1:] != t[o][:-1])
             often = np.bincount(np.cumsum(new_t) - 1)[np.cumsum(new_t) - 1] >= 8
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((new.astype(np.int8), ts, c[o], i[o], k[o].astype(np.int32), a[o], e[o], p[o], often), PHRASE, strict=True)], schema=PHRASE)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((new.astype(np.int8), ts, c[o], i[o], k[o].astype(np.int32), at[o], often), PHRASE, strict=True)], schema=PHRASE)
 
         for buf, at in chunks(batches, length):
             sizes = np.array([x[3] for x in at], np.int64)
@@ -232,7 +234,7 @@ def find_phrases(docs: DataFrame, length: int) -> DataFrame:
             if len(text):
                 move = (np.array([x[2] for x in at], np.int64) - (ends - sizes))[text]
                 c = Spans(buf).of(a, e + length)
-                held.append((t, c, np.array([x[0] for x in at], np.int64)[text], np.array([x[1] for x in at], np.int64)[text], a + move, e + move, p + move))
+                held.append((t, c, np.array([x[0] for x in at], np.int64)[text], np.array([x[1] for x in at], np.int64)[text], ((a + move) << 16) | ((e - a) << 8) | (p - a)))
                 n += len(text)
                 if n > 1_500_000:
                     yield out()
@@ -268,10 +270,10 @@ COVER_DDL = "id long, copy int, a long, e long"
 def merge_phrases(found: DataFrame) -> DataFrame:
     """Step 1: kind 0 rows, covered; kind 2 rows, first phrases whose trigger has others."""
     rows = found.where("kind = 1").drop("kind")
-    counts = rows.agg(F.count("*")).first()[0]
+    counts = rows.count()
     hot = [r["t"] for r in rows.where("many").groupBy("t").count().where(F.col("count") * 2000 > counts).select("t").collect()]  # under 2000
-    is_hot = F.col("t").isin(hot) if hot else F.lit(False)
-    dealt = rows.withColumn("s", F.when(is_hot, F.col("c")).otherwise(0)).repartition(partitions(found.sparkSession), "t", "s").sortWithinPartitions("t", "c", "id", "copy", "a")
+    rows = rows.select("t", "c", "id", "copy", "at", F.when(F.col("t").isin(hot), F.col("c")).otherwise(0).alias("s") if hot else F.lit(0).cast("long").alias("s"))
+    dealt = rows.repartition(partitions(found.sparkSession), "t", "s").sortWithinPartitions("t", "c", "id", "copy", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, ["t"], 50_000):
@@ -282,9 +284,9 @@ def merge_phrases(found: DataFrame) -> DataFrame:
             shared = (np.bincount(of, new)[of] > 1) | (s != 0)
             kind = np.where(~new, 0, np.where(shared, 2, 1)).astype(np.int8)
             keep = kind != 1
-            yield pa.RecordBatch.from_arrays([pa.array(kind[keep]), *(g.column(x).filter(pa.array(keep)).combine_chunks() for x in ("t", "id", "copy", "a", "e", "p"))], names=["kind", "t", "id", "copy", "a", "e", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind[keep]), *(g.column(x).filter(pa.array(keep)).combine_chunks() for x in ("t", "id", "copy", "at"))], names=["kind", "t", "id", "copy", "at"])
 
-    return dealt.mapInArrow(run, "kind byte, t long, id long, copy int, a long, e long, p long")
+    return dealt.mapInArrow(run, "kind byte, t long, id long, copy int, at long")
 
 
 PIECE_DDL = "t long, place int, core long, c long, id long, copy int, a long, left binary, right binary"
@@ -292,7 +294,7 @@ PIECE_DDL = "t long, place int, core long, c long, id long, copy int, a long, le
 
 def cut_pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Step 2: the pieces of wanted phrases. A piece: its first start a, the bytes left and right of its core."""
-    lists = wanted.groupBy("id", "copy").agg(F.collect_list(F.struct("t", "a", "e", "p")).alias("ps"))
+    lists = wanted.groupBy("id", "copy").agg(F.collect_list(F.struct("t", "at")).alias("ps"))
     rows = docs.join(lists, ["id", "copy"]).select("id", "copy", "text", "ps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +305,9 @@ def cut_pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 for i, k, text, ps in zip(part.column("id").to_pylist(), part.column("copy").to_pylist(), part.column("text").to_pylist(), part.column("ps"), strict=True):
                     raw = text.encode()
                     buf = np.frombuffer(raw, np.uint8)
-                    t, a, e, p = (ps.values.field(x).to_numpy() for x in ("t", "a", "e", "p"))
+                    t, at = (ps.values.field(x).to_numpy() for x in ("t", "at"))
+                    a = at >> 16
+                    e, p = a + (at >> 8 & 255), a + (at & 255)
                     first, last = (p - e) // GAP, (p - a) // GAP  # places of the trigger in its strings
                     n = last - first + 1
                     of = np.repeat(np.arange(len(t)), n)
@@ -326,28 +330,40 @@ def cut_pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def match_pieces(pieces: DataFrame, length: int) -> DataFrame:
     """Step 3: covered starts among pieces."""
     key = ["t", "place", "core"]
-    # of equal pieces the first stays; the struct's order is that of (id, copy, a)
-    merged = pieces.groupBy(*key, "c").agg(F.min(F.struct("id", "copy", "a", "left", "right")).alias("x"), F.count("*").alias("n"))
-    merged = stage(merged, "merged")
-    per = merged.groupBy(*key).agg(F.count("*").alias("kinds"), F.sum("n").alias("rows"))
-    again = merged.where("n > 1")
-    same = pieces.join(again.select(*key, "c", "x.id", "x.copy", "x.a").toDF(*key, "c", "oi", "ok", "oa"), [*key, "c"]).where("not (id = oi and copy = ok and a = oa)")
-    same = same.select("id", "copy", "a", (F.col("a") + F.octet_length("left") + F.octet_length("right") - (GAP - 1)).alias("e"))
-    different = merged.join(per.where("kinds > 1"), key).select(*key, "c", "kinds", "x.*")
-    # a crowded core: single strings, dealt by themselves
-    steps = F.sequence(F.lit(0), F.octet_length("left") + F.octet_length("right") - (GAP - 1))
-    cold = different.where(F.col("kinds") <= HOT).withColumn("one", F.lit(0).cast("long"))
-    hot = different.where(F.col("kinds") > HOT).withColumn("k", F.explode(steps))
-    hot = hot.select(*key, "c", "kinds", "id", "copy", (F.col("a") + F.col("k")).alias("a"), F.expr("substring(left, cast(k + 1 as int), octet_length(left))").alias("left"), F.expr(f"substring(right, 1, cast({GAP - 1} - (octet_length(left) - k) as int))").alias("right"))
-    hot = hot.withColumn("one", F.xxhash64("left", "right"))
-    dealt = cold.select(*key, "one", "id", "copy", "a", "left", "right").unionByName(hot.select(*key, "one", "id", "copy", "a", "left", "right"))
-    dealt = dealt.repartition(partitions(pieces.sparkSession), *key, "one").sortWithinPartitions(*key, "one", "id", "copy", "a")
+    n = partitions(pieces.sparkSession)
+    crowded = stage(pieces.groupBy(*key).count().where(F.col("count") > HOT).select(*key), "crowded")
+    hot = None if crowded.isEmpty() else pieces.join(crowded, key, "left_semi")
+    cold = pieces if hot is None else pieces.join(crowded, key, "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in sorted_groups(batches, [*key, "one"], 4000):
-            yield covered(g)
-
-    return same.unionByName(dealt.mapInArrow(run, COVER_DDL))
+        for g in sorted_groups(batches, [*key, "one"], 20_000):
+            ks = [g.column(x).to_numpy() for x in (*key, "one")]
+            c, i, k, a = (g.column(x).to_numpy() for x in ("c", "id", "copy", "a"))
+            new_key = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in ks]))
+            new = new_key | np.append(True, c[1:] != c[:-1])
+            of = np.cumsum(new_key) - 1
+            # equal pieces: all starts of all but the first are covered
+            starts = np.array(pc.add(pc.binary_length(g.column("left")), pc.binary_length(g.column("right")))) - GAP + 1
+            yield pa.RecordBatch.from_arrays([pa.array(i[~new]), pa.array(k[~new]), pa.array(a[~new]), pa.array((a + starts)[~new])], names=["id", "copy", "a", "e"])
+            several = g.filter(pa.array(new & (np.bincount(of, new)[of] > 1)))
+            rest = several.to_batches()
+            for part in sorted_groups(iter(rest), [*key, "one"], 3000):
+                yield covered(part)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.select(*key, "one", "c", "id", "copy", "a", "left", "right").repartition(n, *key, "one").sortWithinPartitions(*key, "one", "c", "id", "copy", "a").mapInArrow(run, COVER_DDL)
+
+    out = dealt(cold.withColumn("one", F.lit(0).cast("long")))
+    if hot is None:
+        return out
+    # a crowded core: equal pieces merge before they are dealt, then single strings are dealt by themselves
+    extent = F.octet_length("left") + F.octet_length("right") - (GAP - 1)
+    first = stage(hot.groupBy(*key, "c").agg(F.min(F.struct("id", "copy", "a", "left", "right")).alias("x")), "crowded")
+    same = hot.join(first.select(*key, "c", F.col("x.id").alias("oi"), F.col("x.copy").alias("ok"), F.col("x.a").alias("oa")), [*key, "c"]).where("not (id = oi and copy = ok and a = oa)").select("id", "copy", "a", (F.col("a") + extent).alias("e"))
+    single = first.select(*key, "c", "x.*").withColumn("k", F.explode(F.sequence(F.lit(0), extent)))
+    single = single.select(*key, (F.col("a") + F.col("k")).alias("a"), "id", "copy", F.expr("substring(left, k + 1, octet_length(left))").alias("left"), F.expr(f"substring(right, 1, {GAP - 1} - greatest(octet_length(left) - k, 0))").alias("right"))
+    single = single.withColumn("one", F.xxhash64("left", "right")).withColumn("c", F.col("one"))
+    return out.unionByName(same).unionByName(dealt(single))
 
 
 def covered(g: pa.Table) -> pa.RecordBatch:
@@ -399,11 +415,13 @@ def dedup(docs: DataFrame, length: int = 100, kept_text: bool = False) -> DataFr
     docs = identified(docs)
     keys = docs.select("id", "copy", "text")
     found = stage(find_phrases(keys, length), "phrases")
-    merged = stage(merge_phrases(found), "shared")
+    merged = stage(merge_phrases(found).unionByName(found.where("kind = 0").select("kind", "t", "id", "copy", "at")), "shared")
+    drop(found)
     pieces = stage(cut_pieces(keys, merged.where("kind = 2"), length), "pieces")
     matched = stage(match_pieces(pieces, length), "matched")
     drop(pieces)
-    covers = found.where("kind = 0").select("id", "copy", "a", "e").unionByName(merged.where("kind = 0").select("id", "copy", "a", "e")).unionByName(matched)
+    a = F.shiftright("at", 16)
+    covers = merged.where("kind = 0").select("id", "copy", a.alias("a"), (a + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("e")).unionByName(matched)
     lists = covers.groupBy("id", "copy").agg(F.collect_list(F.struct("a", "e")).alias("cs"))
     rest = [c for c in docs.columns if c not in ("id", "copy")] if kept_text else ["doc_id", "text"]
     rows = docs.join(lists, ["id", "copy"], "left").select(*rest, "cs")
