@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 FENCE = r"(?s)```(?:json|JSON)?\s*(.*?)```"
 
 
 def strict(t: Column) -> Column:
     """The value if t is one JSON text and nothing else."""
-    alone = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), "$", "array<variant>")) == 1
-    return F.when((t != "") & alone & F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull(), F.try_parse_json(t))
+
+    def one(x: Column) -> Column:
+        alone = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")) == 1
+        return F.when((x != "") & alone & F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}"))).isNotNull(), F.try_parse_json(x))
+
+    return let(t, one)
 
 
 def kind(v: Column) -> Column:
@@ -51,14 +55,17 @@ def texts_at(v: Column, path: str) -> Column:
 
 def cleaned(response: Column, to_bracket: bool = False) -> Column:
     """P5: without think blocks, unless nothing is left; to_bracket: nor what stands before the first bracket or brace."""
-    raw = F.coalesce(response, F.lit(""))
-    t = strip(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))
-    t = F.when(t == "", strip(raw)).otherwise(t)
-    if not to_bracket:
-        return t
-    a, b = F.locate("[", t), F.locate("{", t)
-    first = F.when(a == 0, b).when(b == 0, a).otherwise(F.least(a, b))
-    return F.when((first > 0) & ~F.contains(t, F.lit("```")), F.substring(t, first, F.length(t))).otherwise(t)
+
+    def thoughtless(raw: Column) -> Column:
+        return let(strip(F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")), lambda t: F.when(t == "", strip(raw)).otherwise(t))
+
+    def bracketed(t: Column) -> Column:
+        a, b = F.locate("[", t), F.locate("{", t)
+        first = F.when(a == 0, b).when(b == 0, a).otherwise(F.least(a, b))
+        return F.when((first > 0) & ~F.contains(t, F.lit("```")), F.substring(t, first, F.length(t))).otherwise(t)
+
+    t = let(F.coalesce(response, F.lit("")), thoughtless)
+    return let(t, bracketed) if to_bracket else t
 
 
 def last_of(t: Column, ch: str) -> Column:
@@ -73,19 +80,31 @@ def _between(t: Column, a: Column, z: Column) -> Column:
 
 def array_in(t: Column) -> Column:
     """The array in a response: fenced, whole, the tightest [{...}], first to last bracket, or repaired after its last brace."""
-    fenced = strict(strip(F.regexp_extract(t, FENCE, 1)))
-    first = F.locate("[", t)
-    rest = [
-        strict(t),
-        strict(F.regexp_extract(t, r"(?s)\[\s*\{.*?\}\s*\]", 0)),
-        strict(_between(t, first, last_of(t, "]"))),
-        strict(F.when((first > 0) & (last_of(t, "}") > first), F.concat(_between(t, first, last_of(t, "}")), F.lit("]"))).otherwise("")),
-    ]
-    any_ = F.coalesce(fenced, *rest)
-    return F.when(is_array(any_), any_)
+
+    def tries(x: Column) -> Column:
+        first = F.locate("[", x)
+        texts = [
+            strip(F.regexp_extract(x, FENCE, 1)),
+            x,
+            F.regexp_extract(x, r"(?s)\[\s*\{.*?\}\s*\]", 0),
+            _between(x, first, last_of(x, "]")),
+            F.when((first > 0) & (last_of(x, "}") > first), F.concat(_between(x, first, last_of(x, "}")), F.lit("]"))).otherwise(""),
+        ]
+        return let(_first(F.array(*texts), strict), lambda v: F.when(is_array(v), v))
+
+    return let(t, tries)
 
 
 def object_in(t: Column) -> Column:
     """The object in a response: fenced, whole, or first to last brace."""
-    tries = [strict(strip(F.regexp_extract(t, FENCE, 1))), strict(t), strict(_between(t, F.locate("{", t), last_of(t, "}")))]
-    return F.coalesce(*[F.when(is_object(v), v) for v in tries])
+
+    def tries(x: Column) -> Column:
+        texts = F.array(strip(F.regexp_extract(x, FENCE, 1)), x, _between(x, F.locate("{", x), last_of(x, "}")))
+        return _first(texts, lambda c: let(strict(c), lambda v: F.when(is_object(v), v)))
+
+    return let(t, tries)
+
+
+def _first(texts: Column, read) -> Column:
+    """The first text that can be read."""
+    return F.get(F.filter(F.transform(texts, read), lambda v: v.isNotNull()), F.lit(0))
