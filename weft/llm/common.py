@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: The white space of the word contracts: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +66,16 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string"), "UTF-8")) % n
 
 
+def least_hashes(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
+    """Of each label the rows with the `most` least hashes of key. A first cut at twice that many, by the label's count, leaves little to
+    sort, however many rows a label has."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n")).withColumnRenamed(label, "_l")
+    share = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
+    cut = rows.join(counts, rows[label] == F.col("_l")).where(share * F.col("_n") < 2 * most + 50).drop("_l", "_n")
+    order = W.partitionBy(label).orderBy(F.xxhash64(key), key)
+    return cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+
+
 def components(vertices: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
     """(v, c): c is the smallest v that links reach; a vertex without links is its own.
 

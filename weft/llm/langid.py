@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import fold, table
+from .common import fold, least_hashes, table
 
 SIZE = 1 << 15
 _letters: np.ndarray | None = None
@@ -153,8 +152,7 @@ def train(docs: DataFrame, may_learn: Column | None = None, per_language: int =
     docs = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() if may_learn is None else F.col("lang").isNotNull() & may_learn)
     n, df = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.select("doc_id", "lang", F.row_number().over(order).alias("r")).where(F.col("r") <= per_language).select("doc_id").distinct()
+    ids = least_hashes(docs.select("doc_id", "lang"), "lang", "doc_id", per_language).select("doc_id").distinct()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
