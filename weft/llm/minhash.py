@@ -9,9 +9,10 @@ each the least of one hash function over the set. Documents are posted under eac
   fewer than MATCH = 32 do for about 6 pairs in a million.
 * Stars: each posting list joins its members to its smallest one. A pair whose signatures agree in MATCH
   coordinates is confirmed on the full sets, and links join components.
-* The rest: lists that still hold several components go on by second stars without the first; what is then left is
+* The rest: lists that still hold several components go on without that one, with stars around members picked by
+  hash, another in each list; a member meets up to 33 a round. What is left after ROUNDS is
   merged in blocks: collisions between the members of two blocks are counted, posting by posting, and only
-  pairs of different components that reach MATCH come out, to be confirmed. No list is cut short.
+  pairs of different components that reach MATCH come out, once each, to be confirmed. No list is cut short.
 
 So within a component not every link is listed, but no link between components is lost.
 
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window as W
 
 from .common import components, stage, table
 
-K, MATCH, BLOCK, SHINGLE, THRESHOLD = 64, 32, 512, 5, 75
+K, MATCH, BLOCK, SHINGLE, THRESHOLD, ROUNDS = 64, 32, 512, 5, 75, 4
 U = np.uint64
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * U(2) + U(1)
@@ -130,7 +131,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, match: int = MA
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("rs")).where(F.size("rs") > 1).select("a", F.explode("rs").alias("b"))
     sigs = classes.select("rep", "sig")
 
-    posts = classes.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long")).alias("key"))
+    posts = classes.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     often = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     shared = posts.join(often.hint("merge"), "key")
     rank = F.row_number().over(W.partitionBy("rep").orderBy("df", "key"))
@@ -140,9 +141,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, match: int = MA
 
     links = None
     tested = None
-    for _ in range(2):
-        hubs = lists.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-        pairs = lists.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    lists = lists.withColumn("c", F.col("rep"))
+    for turn in range(ROUNDS):
+        # the first hub is one and the same in all lists of a group; later ones differ from list to list, so a member meets many
+        order = F.col("rep") if turn == 0 else F.xxhash64("key", "rep", F.lit(turn))
+        hubs = lists.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.struct(order.alias("o"), "rep")).alias("x"), F.count("*").alias("m")).where("m > 1").select("key", F.col("x.rep").alias("a"), F.col("x.c").alias("ca"))
+        pairs = lists.join(hubs, "key").where("c <> ca").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(alike(pairs, sigs, match), "pairs")
@@ -155,7 +159,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, match: int = MA
         rest = stage(placed.join(mixed_lists, "key").select("key", "rep", "c", "m"), "rest")
         if rest.isEmpty():
             break
-        lists = rest.select("key", "rep")
+        lists = rest.select("key", "rep", "c")
     else:
         found = stage(block_pairs(rest, sigs, match).join(tested, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(stage(confirmed(docs, found, threshold), "links"))
@@ -174,14 +178,18 @@ def alike(pairs: DataFrame, sigs: DataFrame, match: int) -> DataFrame:
 def block_pairs(rest: DataFrame, sigs: DataFrame, match: int) -> DataFrame:
     """(a, b) of different components within a list, with at least `match` collisions. Lists are cut into blocks of about BLOCK members; a task compares two blocks."""
     nb = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = rest.select("key", "rep", "c", nb.alias("nb"), F.pmod(F.xxhash64("rep"), nb).cast("int").alias("blk")).join(sigs, "rep")
+    # the coordinates under which a class still stands in a list: a pair comes out of the first that both have
+    masks = rest.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))").alias("mask"))
+    placed = rest.select("key", "rep", "c", nb.alias("nb"), F.pmod(F.xxhash64("rep"), nb).cast("int").alias("blk")).join(sigs, "rep").join(masks, "rep")
     # block x meets block y once, as (min, max)
-    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select("key", "rep", "c", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "sig")
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select("key", "rep", "c", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "sig", "mask")
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
         lo, hi = key[1].as_py(), key[2].as_py()
         rep, c, blk = t.column("rep").to_numpy(), t.column("c").to_numpy(), t.column("blk").to_numpy()
         sig = t.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, K)
+        place = key[0].as_py() >> 32
+        mask = (t.column("mask").to_numpy().view(np.uint64)[:, None] >> np.arange(K, dtype=np.uint64)) & U(1) == 1
         x, y = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
         a, b = [], []
         for i in x:
@@ -189,7 +197,9 @@ def block_pairs(rest: DataFrame, sigs: DataFrame, match: int) -> DataFrame:
             if lo == hi:
                 other = other[rep[other] > rep[i]]
             if len(other):
-                hit = other[(sig[other] == sig[i]).sum(1) >= match]
+                same = sig[other] == sig[i]
+                first = (same & mask[other] & mask[i]).argmax(1)
+                hit = other[(same.sum(1) >= match) & (first == place)]
                 a += [min(rep[i], rep[j]) for j in hit]
                 b += [max(rep[i], rep[j]) for j in hit]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
