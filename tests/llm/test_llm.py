@@ -145,6 +145,67 @@ def test_toxicity(spark):
     assert toxicity.train(docs(spark, rows).select("doc_id", "text"), labels.where("toxic = 1")) is None
 
 
+def kneser_ney(code, ordinary, toxic):
+    """Plain: {key: ratio} over all n-grams at once."""
+    def d(n):
+        ones, twos = (n == 1).sum(), (n == 2).sum()
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    shared, levels, now, many = np.full(len(code), 1 / 64), [], code, (ordinary + toxic).astype(float)
+    for k in range(5, 0, -1):
+        first = (now >> 6 * (k - 1)) == 0
+        kinds, back = np.unique(now & ((1 << 6 * k) - 1), return_inverse=True)
+        now, many = kinds, np.bincount(back, np.where(first, many, 1.0))
+        levels.append((kinds, many))
+    for k, (kinds, many) in enumerate(reversed(levels), 1):
+        _, back = np.unique(kinds >> 6, return_inverse=True)
+        total, rest, at = np.bincount(back, many), np.bincount(back), np.searchsorted(kinds, code & ((1 << 6 * k) - 1))
+        shared = (many[at] - d(many)) / total[back[at]] + d(many) * (rest / total)[back[at]] * shared
+    ctx, back = np.unique(code >> 6, return_inverse=True)
+    p, left = [], []
+    for own in (ordinary, toxic):
+        total, kinds = np.bincount(back, own), np.bincount(back, own > 0)
+        rest = np.where(total > 0, d(own) * kinds / np.maximum(total, 1), 1.0)
+        p.append(np.where(total[back] > 0, np.maximum(own - d(own), 0) / np.maximum(total[back], 1), 0) + rest[back] * shared)
+        left.append(rest)
+    return dict(zip(code.tolist(), np.log(p[1] / p[0]).tolist())) | dict(zip((ctx | toxicity.CONTEXT).tolist(), np.log(left[1] / left[0]).tolist()))
+
+
+def test_toxicity_knows_every_ngram(spark):
+    rng = random.Random(11)
+    # over 2^20 different n-grams, and an expression of the toxic documents that is as rare as most of these
+    noise = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000))
+    ids = [i for i, in spark.range(460).where("pmod(xxhash64(id), 8) <> 0").collect()]  # none that the curve is fitted with
+    rows = [(i, noise() + (" qzjxkv" if i == ids[0] else "")) for i in ids]
+    toxic = set(ids[::8])
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in ids], "doc_id long, toxic int")
+    got = toxicity.train(docs(spark, rows).select("doc_id", "text").repartition(4), labels)
+    codes, back = np.unique(np.concatenate([toxicity.ngrams([t])[0] for _, t in rows]), return_inverse=True)
+    y = np.concatenate([np.full(len(t) + 1, i in toxic) for i, t in rows])
+    assert len(codes) > 1 << 20
+    want = kneser_ney(codes, np.bincount(back, ~y), np.bincount(back, y))
+    have = got.table.select("key", "value").toArrow()
+    have = dict(zip(have["key"].to_pylist(), have["value"].to_pylist()))
+    assert have.keys() == want.keys() and max(abs(have[k] - v) for k, v in want.items()) < 1e-4
+    new = docs(spark, [(1, "qzjxkv"), (2, "qzjxkw")]).select("doc_id", "text")
+    one = {r["doc_id"]: r["toxicity"] for r in toxicity.score(new, got).collect()}
+    assert one[1] != one[2]
+
+
+def test_toxicity_slices_change_nothing(spark):
+    rng = random.Random(12)
+    known = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(100)]
+    rows = [(i, " ".join(rng.choices(known, k=40)) + (" vilebad grub" if i % 3 == 0 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    texts = docs(spark, rows).select("doc_id", "text")
+    whole = toxicity.train(texts, labels)
+    sliced = toxicity.train(texts, labels, entries=300)
+    assert whole.slices == 1 and sliced.slices > 2
+    new = docs(spark, [*rows, *[(i + 1000 if i else None, t) for i, t in ODD]])
+    a, b = ({(r["doc_id"], r["text"]): r["toxicity"] for r in toxicity.score(new, m).collect()} for m in (whole, sliced))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
 def test_forest(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((400, 8)).astype(np.float32)

@@ -6,8 +6,10 @@ one chain of Kneser-Ney continuation counts, so an expression rare in one class
 A text's log-likelihood ratio is divided by its length: over the whole text, and over the eight neighbouring words
 that stand out most. A logistic curve, fitted on labelled documents that were not counted, makes a score of the two.
 
-Counts cover every labelled document that may be learned from. The model has a fixed bound: `most` n-grams,
-the most frequent ones if there are more. The curve is fitted on at most `per_class` documents of each label.
+Counts cover every labelled document that may be learned from, and every n-gram of them. They stay a table: Spark's
+aggregations and joins make the ratios out of it, and a text meets them in slices of at most `entries`, one pass over the
+texts a slice. The slices change nothing in the result; a pass that is not the last writes the texts and their word sums.
+The curve is fitted on at most `per_class` documents of each label that were not counted.
 
 Nulls and ties: a null text is the empty text and gets the score of a ratio of zero; rows without a label,
 or with one that is not 0 or 1, teach nothing; if labels of an id disagree, 1 counts. Without both labels every score
@@ -22,11 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.window import Window as W
 
 from .common import drop, fold, least_hashes, stage, table
 
 ORDER, BITS, WINDOW = 6, 6, 8
+CONTEXT = 1 << 40
+#: Ratios that one pass holds in memory, at up to 48 bytes each; how many there are in all has no bound.
+ENTRIES = 1 << 22
+PLAIN_CURVE = np.array([0.0, 10.0, 1.0])
 _classes: np.ndarray | None = None
 
 
@@ -90,48 +97,62 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(zero if y else many), pa.array(many if y else zero)], names=["code", "ordinary", "toxic"])
 
 
-class Ratios:
-    """log P(toxic model) - log P(ordinary model) for each known n-gram, and for a known context's other characters: an open-addressed table."""
-
-    CONTEXT = 1 << 40
-
-    def __init__(self, code: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
-        self.curve = np.zeros(3)
-        order = np.argsort(code)
-        code, n = code[order], np.stack([ordinary[order], toxic[order]]).astype(np.float64)
-        shared = self._shared(code, n.sum(0))
-        ctx, back = np.unique(code >> BITS, return_inverse=True)
-        p, left = [], []
-        for own in n:
-            ones, twos = (own == 1).sum(), (own == 2).sum()
-            d = ones / (ones + 2 * twos) if ones and twos else 0.5
-            total, kinds = np.bincount(back, own, len(ctx)), np.bincount(back, own > 0, len(ctx))
-            rest = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            p.append(np.where(total[back] > 0, np.maximum(own - d, 0) / np.maximum(total[back], 1), 0) + rest[back] * shared)
-            left.append(rest)
-        self._table(np.concatenate([code, ctx | self.CONTEXT]), np.concatenate([np.log(p[1]) - np.log(p[0]), np.log(left[1]) - np.log(left[0])]))
-
-    @staticmethod
-    def _shared(code: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """P of each n-gram's character by the orders below, both classes together."""
-        uni = np.full(len(code), 1 / 64)
-        levels, now, many = [], code, n
-        for k in range(ORDER - 1, 0, -1):
-            # a shorter n-gram counts its left neighbours; where its word starts there is none, and occurrences count
-            short = now & ((1 << BITS * k) - 1)
-            first = (now >> BITS * (k - 1)) == 0
-            kinds, back = np.unique(short, return_inverse=True)
-            many = np.bincount(back, np.where(first, many, 1.0), len(kinds))
-            now = kinds
-            levels.append((kinds, many))
-        for k, (kinds, many) in enumerate(reversed(levels), 1):
-            ones, twos = (many == 1).sum(), (many == 2).sum()
-            d = ones / (ones + 2 * twos) if ones and twos else 0.5
-            ctx, back = np.unique(kinds >> BITS, return_inverse=True)
-            total, rest = np.bincount(back, many, len(ctx)), np.bincount(back, minlength=len(ctx))
-            at = np.searchsorted(kinds, code & ((1 << BITS * k) - 1))
-            uni = np.maximum(many[at] - d, 0) / total[back[at]] + (d * rest / total)[back[at]] * uni
-        return uni
+def discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def ratios(sums: DataFrame) -> DataFrame:
+    """(model, ctx, key, value) from (model, code, ordinary, toxic): log P(toxic model) - log P(ordinary model) of each known
+    n-gram, and, as key ctx | CONTEXT, of a known context's other characters. Nothing is collected but the discounts.
+    """
+
+    def discounts(df: DataFrame, *names: str) -> Column:
+        seen = df.groupBy("model").agg(*[F.count_if(F.col(n) == i).alias(f"{n}{i}") for n in names for i in (1, 2)]).collect()
+        return F.create_map(*[x for r in seen for x in (F.lit(r["model"]), F.struct(*[F.lit(float(discount(r[f"{n}1"], r[f"{n}2"]))).alias(n) for n in names]))])[F.col("model")]
+
+    def low(c: str, k: int) -> Column:
+        return F.col(c).bitwiseAND(F.lit((1 << BITS * k) - 1))
+
+    # a context has at most 64 rows
+    same = W.partitionBy("model", "ctx")
+    levels, now, many = [], sums, F.col("ordinary") + F.col("toxic")
+    for k in range(ORDER - 1, 0, -1):
+        # a shorter n-gram counts its left neighbours; where its word starts there is none, and occurrences count
+        first = F.shiftright("code", BITS * (k - 1)) == 0
+        now = stage(now.select("model", low("code", k).alias("short"), F.when(first, many).otherwise(1).alias("n")).groupBy("model", F.col("short").alias("code")).agg(F.sum("n").alias("many")), "level")
+        many = F.col("many")
+        levels.append(now)
+    # P of each n-gram's character by the orders below, both classes together
+    shared = None
+    for k, level in enumerate(reversed(levels), 1):
+        rows = level.select("model", "code", "many", F.shiftright("code", BITS).alias("ctx"), discounts(level, "many")["many"].alias("d"))
+        rows = rows.select("*", F.sum("many").over(same).alias("total"), F.count("*").over(same).alias("rest"))
+        below = F.lit(1 / 64)
+        if shared is not None:
+            rows, below = rows.withColumn("short", low("code", k - 1)).join(shared.hint("merge"), ["model", "short"]), F.col("p")
+        shared = rows.select("model", F.col("code").alias("short"), ((F.col("many") - F.col("d")) / F.col("total") + F.col("d") * F.col("rest") / F.col("total") * below).alias("p"))
+    rows = sums.select("*", F.shiftright("code", BITS).alias("ctx"), low("code", ORDER - 1).alias("short"), discounts(sums, "ordinary", "toxic").alias("d"))
+    p, left = {}, {}
+    for y in ("ordinary", "toxic"):
+        own, d = F.col(y), F.col(f"d.{y}")
+        rows = rows.withColumn(f"total_{y}", F.sum(y).over(same)).withColumn(f"kinds_{y}", F.count_if(own > 0).over(same))
+        total = F.col(f"total_{y}")
+        left[y] = F.when(total > 0, d * F.col(f"kinds_{y}") / total).otherwise(1.0)
+        p[y] = F.when(total > 0, F.greatest(own - d, F.lit(0.0)) / total).otherwise(0.0) + left[y] * F.col("p")
+    rows = rows.withColumn("nth", F.row_number().over(same.orderBy("code"))).join(shared.hint("merge"), ["model", "short"])
+    ratio = lambda x: (F.log(x["toxic"]) - F.log(x["ordinary"])).cast("float")
+    own, other = F.struct(F.col("code").alias("key"), ratio(p).alias("value")), F.struct(F.col("ctx").bitwiseOR(F.lit(CONTEXT)).alias("key"), ratio(left).alias("value"))
+    out = stage(rows.select("model", "ctx", F.explode(F.when(F.col("nth") == 1, F.array(own, other)).otherwise(F.array(own))).alias("e")).select("model", "ctx", "e.key", "e.value"), "ratios")
+    for level in levels:
+        drop(level)
+    return out
+
+
+class Lookup:
+    """Values of a slice of the ratios: an open-addressed table."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self._table(key, value)
 
     def _table(self, key: np.ndarray, value: np.ndarray) -> None:
         bits = max(4, int(np.ceil(np.log2(max(1, len(key)) * 2))))
@@ -165,29 +186,77 @@ class Ratios:
             left, slot = left[go], (slot[go] + 1) & (len(self.key) - 1)
         return out, found
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        """By text: the mean log-ratio of its characters, and the largest over eight neighbouring words."""
-        if not texts:
-            return np.zeros((0, 2))
-        code, words, ends = ngrams(texts)
+    def sums(self, code: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """By word the sum of its characters' ratios; a character whose context is in no row of this slice adds 0."""
         ratio, found = self._find(code)
         miss = np.flatnonzero(~found)
-        ratio[miss] = self._find((code[miss] >> BITS) | self.CONTEXT)[0]
-        run = np.append(0.0, np.cumsum(ratio, dtype=np.float64))
-        starts = np.append(0, ends[:-1])
-        out = np.zeros((len(texts), 2))
-        out[:, 0] = (run[ends] - run[starts]) / np.maximum(1, ends - starts)
-        first, last = np.searchsorted(words, starts), np.searchsorted(words, ends)
-        # a window of eight words, cut where its text ends
-        stop = np.append(words, len(code))[np.minimum(np.arange(len(words)) + WINDOW, np.repeat(last, last - first))]
-        peak = (run[stop] - run[words]) / np.maximum(stop - words, 32)
-        out[:, 1] = np.maximum.reduceat(peak, first)
-        return out
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        f = self.features(texts)
-        z = np.clip(self.curve[0] + f @ self.curve[1:], -60, 60)
-        return 1 / (1 + np.exp(-z))
+        ratio[miss] = self._find((code[miss] >> BITS) | CONTEXT)[0]
+        return np.add.reduceat(ratio, words, dtype=np.float64)
+
+
+def features(sums: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """By text: the mean log-ratio of its characters, and the largest over eight neighbouring words."""
+    run = np.append(0.0, np.cumsum(sums))
+    starts = np.append(0, ends[:-1])
+    first, last = np.searchsorted(words, starts), np.searchsorted(words, ends)
+    out = np.zeros((len(ends), 2))
+    out[:, 0] = (run[last] - run[first]) / np.maximum(1, ends - starts)
+    # a window of eight words, cut where its text ends
+    stop = np.minimum(np.arange(len(words)) + WINDOW, np.repeat(last, last - first))
+    peak = (run[stop] - run[:-1]) / np.maximum(np.append(words, ends[-1])[stop] - words, 32)
+    out[:, 1] = np.maximum.reduceat(peak, first)
+    return out
+
+
+class Model:
+    """A staged table of ratios (ctx, key, value), its number of slices, and the curve."""
+
+    def __init__(self, table: DataFrame, entries: int):
+        self.table, self.slices, self.curve = table, max(1, -(-table.count() // entries)), np.zeros(3)
+
+    def slice(self, i: int):
+        """A broadcast of the rows whose context falls into slice i; an n-gram is where its context is."""
+        got = self.table.where(F.pmod(F.xxhash64("ctx"), F.lit(self.slices)) == i).select("key", "value").toArrow()
+        return self.table.sparkSession.sparkContext.broadcast(Lookup(got["key"].to_numpy(), got["value"].to_numpy()))
+
+    def measured(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """docs with whole and peak, the two features of their text."""
+        sums = "_word_sums"
+        for i in range(self.slices):
+            shared, more = self.slice(i), i > 0
+            final = i == self.slices - 1
+            fields = [f for f in docs.schema.fields if f.name != sums]
+            new = ["whole", "peak"] if final else [sums]
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared, more=more, final=final, names=[f.name for f in fields], new=new) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    texts, lo = [t or "" for t in batch.column(text).to_pylist()], 0
+                    while lo < len(texts):
+                        hi, size = lo, 0
+                        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1_000_000):
+                            size += len(texts[hi])
+                            hi += 1
+                        code, words, ends = ngrams(texts[lo:hi])
+                        part, got = batch.slice(lo, hi - lo), shared.value.sums(code, words)
+                        if more:
+                            got = got + part.column(sums).flatten().to_numpy()
+                        if final:
+                            f = features(got, words, ends)
+                            cols = [pa.array(f[:, 0]), pa.array(f[:, 1])]
+                        else:
+                            cols = [pa.ListArray.from_arrays(pa.array(np.append(0, np.searchsorted(words, ends)), pa.int32()), pa.array(got))]
+                        yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *cols], names=[*names, *new])
+                        lo = hi
+
+            types = [StructField(n, DoubleType() if final else ArrayType(DoubleType())) for n in new]
+            out = docs.mapInArrow(run, StructType([*fields, *types]))
+            if not final:
+                out = stage(out, "words")
+                shared.destroy()
+                if more:
+                    drop(docs)
+            docs = out
+        return docs
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -205,69 +274,47 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, most: int = 1 << 20, per_class: int = 3000) -> Ratios | None:
+def curve(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Weights of 1, whole and peak, fitted where both labels are there."""
+    if len(set(y.tolist())) < 2:
+        return PLAIN_CURVE
+    order = np.lexsort((x[:, 1], x[:, 0], y))
+    mean, sd = x.mean(0), np.maximum(x.std(0), 1e-9)
+    b = logistic((x[order] - mean) / sd, y[order], ridge=0.5)
+    return np.append(b[0] - (b[1:] * mean / sd).sum(), b[1:] / sd)
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, per_class: int = 3000, entries: int = ENTRIES) -> Model | None:
     """From docs(doc_id, text) and labels(doc_id, toxic). None if one of the labels is missing."""
-    marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(F.lit(True) if may_learn is None else may_learn).join((marks if may_learn is None else marks.where(may_learn)).hint("merge"), "doc_id")
+    may = F.lit(True) if may_learn is None else may_learn
+    marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(may)
+    rows = docs.select("doc_id", "text").where(may).join(marks.hint("merge"), "doc_id")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
     sums = rows.where(part != 0).select("text", "toxic").mapInArrow(counted, "code long, ordinary long, toxic long").groupBy("code").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    sums = stage(sums, "ngrams")
-    # the bound of the model: how often an n-gram must occur so that at most `most` stay
-    n = F.least(F.col("ordinary") + F.col("toxic"), F.lit(1 << 16))
-    held, least = 0, 1
-    for r in sorted(sums.groupBy(n.alias("n")).count().collect(), key=lambda r: -r["n"]):
-        held += r["count"]
-        if held > most:
-            least = r["n"] + 1
-            break
-    got = sums.where(n >= least).toArrow()
-    drop(sums)
-    ordinary, toxic = got["ordinary"].to_numpy(), got["toxic"].to_numpy()
-    if not ordinary.sum() or not toxic.sum():
+    sums = stage(sums.select(F.lit(1).alias("model"), "*"), "ngrams")
+    if None in tuple(sums.agg(F.max(F.when(F.col("ordinary") > 0, 1)), F.max(F.when(F.col("toxic") > 0, 1))).head()):
+        drop(sums)
         return None
-    model = Ratios(got["code"].to_numpy(), ordinary, toxic)
-    ids = least_hashes(marks.where(part == 0).where(F.lit(True) if may_learn is None else may_learn), "toxic", "doc_id", per_class)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = shared.value.features([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["toxic", "whole", "peak"])
-
+    model = Model(ratios(sums), entries)
+    drop(sums)
+    ids = least_hashes(marks.where(part == 0), "toxic", "doc_id", per_class)
     # at most per_class ids of each label are broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text").mapInArrow(seen, "toxic int, whole double, peak double").toArrow()
-    y = sample["toxic"].to_numpy()
-    x = np.column_stack([sample["whole"].to_numpy(), sample["peak"].to_numpy()])
-    order = np.lexsort((x[:, 1], x[:, 0], y))
-    if len(set(y.tolist())) == 2:
-        mean, sd = x.mean(0), np.maximum(x.std(0), 1e-9)
-        b = logistic((x[order] - mean) / sd, y[order], ridge=0.5)
-        model.curve = np.append(b[0] - (b[1:] * mean / sd).sum(), b[1:] / sd)
-    else:
-        model.curve = np.array([0.0, 10.0, 1.0])
+    sample = model.measured(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")).select("toxic", "whole", "peak").toArrow()
+    model.curve = curve(sample["toxic"].to_numpy(), np.column_stack([sample["whole"].to_numpy(), sample["peak"].to_numpy()]))
     return model
 
 
-def score(docs: DataFrame, model: Ratios | None, text: str = "text") -> DataFrame:
-    """docs with toxicity, 0 to 1. The model has a fixed bound (see train)."""
+def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """docs with toxicity, 0 to 1."""
     if model is None:
         return docs.withColumn("toxicity", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    a, b, d = (F.lit(float(v)) for v in model.curve)
     kept = docs.drop("toxicity")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, out, lo = [t or "" for t in batch.column(text).to_pylist()], [], 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1_000_000):
-                    size += len(texts[hi])
-                    hi += 1
-                out.append(shared.value.score(texts[lo:hi]))
-                lo = hi
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*batch.schema.names, "toxicity"])
-
-    return kept.mapInArrow(run, StructType([*[StructField(f.name, f.dataType) for f in kept.schema.fields], StructField("toxicity", DoubleType())]))
+    # columns of docs may have the names of the features
+    names = [f"_{i}" for i in range(len(kept.columns))]
+    out = model.measured(kept.toDF(*names), names[kept.columns.index(text)])
+    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), a + F.col("whole") * b + F.col("peak") * d))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept.columns, strict=True)], (1 / (1 + F.exp(-z))).alias("toxicity"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
