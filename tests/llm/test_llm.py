@@ -192,6 +192,22 @@ def test_toxicity_knows_every_ngram(spark):
     assert one[1] != one[2]
 
 
+def test_toxicity_counts_documents_of_the_curve(spark):
+    rng = random.Random(13)
+    known = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(50)]
+    fitted = {i for i, in spark.range(200).where("pmod(xxhash64(id), 8) = 0").collect()}
+    assert any(i % 3 == 0 for i in fitted) and any(i % 3 for i in fitted)
+    # an expression that stands in documents of the curve alone
+    rows = [(i, " ".join(rng.choices(known, k=30)) + (" vilebad" if i % 3 == 0 else "") + (" qzxkvq" if i % 3 == 0 and i in fitted else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, rows).select("doc_id", "text"), labels)
+    new = docs(spark, [(1, f"{known[0]} qzxkvq"), (2, f"{known[0]} wyuwuy")]).select("doc_id", "text")
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(new, model).collect()}
+    assert got[1] > got[2] + 0.05
+    codes = {c for _, t in rows for c in toxicity.ngrams([t])[0].tolist()}
+    assert {r["key"] for r in model.table.where(F.col("key") < toxicity.CONTEXT).collect()} == codes
+
+
 def test_toxicity_slices_change_nothing(spark):
     rng = random.Random(12)
     known = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(100)]

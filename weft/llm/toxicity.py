@@ -4,12 +4,13 @@ Two models, of toxic and of ordinary text, give a character its probability afte
 characters of its own word. The highest order has counts of each class; below it both share
 one chain of Kneser-Ney continuation counts, so an expression rare in one class is smoothed by what both know.
 A text's log-likelihood ratio is divided by its length: over the whole text, and over the eight neighbouring words
-that stand out most. A logistic curve, fitted on labelled documents that were not counted, makes a score of the two.
+that stand out most. A logistic curve, fitted on labelled documents, makes a score of the two.
 
 Counts cover every labelled document that may be learned from, and every n-gram of them. They stay a table: Spark's
 aggregations and joins make the ratios out of it, and a text meets them in slices of at most `entries`, one pass over the
 texts a slice. The slices change nothing in the result; a pass that is not the last writes the texts and their word sums.
-The curve is fitted on at most `per_class` documents of each label that were not counted.
+The curve is fitted on at most `per_class` documents of each label, by a second model that counts all the others; the
+model that scores counts these too.
 
 Nulls and ties: a null text is the empty text and gets the score of a ratio of zero; rows without a label,
 or with one that is not 0 or 1, teach nothing; if labels of an id disagree, 1 counts. Without both labels every score
@@ -71,8 +72,8 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's n-grams by class, from columns text and toxic; merged whenever four million have come together."""
-    kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+    """Counts of a task's n-grams by kind, from columns text and kind, 0 to 3; merged whenever four million have come together."""
+    kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in range(4)}
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         if not parts:
@@ -81,20 +82,19 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return [(codes, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64))]
 
     for batch in batches:
-        text, toxic = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
-        for y in (0, 1):
-            own = [t or "" for t, v in zip(text, toxic, strict=True) if v == y]
+        text, kind = batch.column("text").to_pylist(), batch.column("kind").to_pylist()
+        for k in kept:
+            own = [t or "" for t, v in zip(text, kind, strict=True) if v == k]
             for lo in range(0, len(own), 200):
                 code = ngrams(own[lo : lo + 200])[0]
-                kept[y] += [tuple(np.unique(code, return_counts=True))]
-                if sum(len(p[0]) for p in kept[y]) > 4_000_000:
-                    kept[y] = merged(kept[y])
-    for y in (0, 1):
-        for codes, n in merged(kept[y]):
+                kept[k] += [tuple(np.unique(code, return_counts=True))]
+                if sum(len(p[0]) for p in kept[k]) > 4_000_000:
+                    kept[k] = merged(kept[k])
+    for k in kept:
+        for codes, n in merged(kept[k]):
             for lo in range(0, len(codes), 1 << 16):
                 part, many = codes[lo : lo + (1 << 16)], n[lo : lo + (1 << 16)]
-                zero = np.zeros(len(part), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(zero if y else many), pa.array(many if y else zero)], names=["code", "ordinary", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), k, np.int32)), pa.array(many)], names=["code", "kind", "n"])
 
 
 def discount(ones: int, twos: int) -> float:
@@ -288,18 +288,26 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
     """From docs(doc_id, text) and labels(doc_id, toxic). None if one of the labels is missing."""
     may = F.lit(True) if may_learn is None else may_learn
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(may)
-    rows = docs.select("doc_id", "text").where(may).join(marks.hint("merge"), "doc_id")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
-    sums = rows.where(part != 0).select("text", "toxic").mapInArrow(counted, "code long, ordinary long, toxic long").groupBy("code").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    sums = stage(sums.select(F.lit(1).alias("model"), "*"), "ngrams")
-    if None in tuple(sums.agg(F.max(F.when(F.col("ordinary") > 0, 1)), F.max(F.when(F.col("toxic") > 0, 1))).head()):
+    # at most per_class ids of each label, and of small tables an eighth, are for the curve; they are broadcast
+    ids = stage(least_hashes(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0), "toxic", "doc_id", per_class), "curve")
+    rows = docs.select("doc_id", "text").where(may).join(marks.hint("merge"), "doc_id").join(F.broadcast(ids.select("doc_id", F.lit(2).alias("held"))), "doc_id", "left")
+    kinds = ("ordinary", "toxic", "held_ordinary", "held_toxic")
+    sums = rows.select("text", (F.col("toxic") + F.coalesce("held", F.lit(0))).alias("kind")).mapInArrow(counted, "code long, kind int, n long").groupBy("code").agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).alias(k) for i, k in enumerate(kinds)])
+    sums = stage(sums, "ngrams")
+    # model 1 counts all; model 0, which the curve is fitted on, all but the documents that it is fitted with
+    each = [F.struct(F.lit(0).alias("model"), "ordinary", "toxic"), F.struct(F.lit(1).alias("model"), (F.col("ordinary") + F.col("held_ordinary")).alias("ordinary"), (F.col("toxic") + F.col("held_toxic")).alias("toxic"))]
+    both = sums.select("code", F.explode(F.array(*each)).alias("m")).select("m.model", "code", "m.ordinary", "m.toxic").where("ordinary + toxic > 0")
+    seen = {r["model"]: r["o"] > 0 and r["t"] > 0 for r in both.groupBy("model").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).collect()}
+    if not seen.get(1):
         drop(sums)
         return None
-    model = Model(ratios(sums), entries)
+    table = ratios(both)
     drop(sums)
-    ids = least_hashes(marks.where(part == 0), "toxic", "doc_id", per_class)
-    # at most per_class ids of each label are broadcast
-    sample = model.measured(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")).select("toxic", "whole", "peak").toArrow()
+    model = Model(table.where("model = 1"), entries)
+    if not seen.get(0):
+        model.curve = PLAIN_CURVE
+        return model
+    sample = Model(table.where("model = 0"), entries).measured(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")).select("toxic", "whole", "peak").toArrow()
     model.curve = curve(sample["toxic"].to_numpy(), np.column_stack([sample["whole"].to_numpy(), sample["peak"].to_numpy()]))
     return model
 
