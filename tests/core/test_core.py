@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from weft.functions.text import bigram_jaccard, is_phrase, plain_name
-from weft.operators import evidence, graph, questions, reasoning, responses, sections, training, triples
+from weft.operators import entities, evidence, graph, questions, reasoning, responses, sections, training, triples
 
 
 def test_names(spark):
@@ -115,3 +115,47 @@ def test_linking_and_chains(spark):
 def test_label_mask(spark):
     r = spark.range(1).select(training.padded(F.array(*map(F.lit, [5, 7, 8, 9])), 6).alias("p")).select(training.masked_labels(F.col("p.input_ids"), F.col("p.attention_mask"), [7, 8]).alias("m"), training.masked_labels(F.col("p.input_ids"), F.col("p.attention_mask"), [1]).alias("n")).first()
     assert r["m"] == [-100, -100, -100, 9, -100, -100] and r["n"] == [-100] * 6
+
+
+ENTITY = "ord long, name string, entity_type string, aliases array<string>, properties map<string,string>"
+
+
+def test_greedy_merge_of_a_large_component(spark):
+    # one shared alias makes one component; rows of one kind merge
+    rows = [(i, f"n{i}", f"kind{i % 20:02d}", ["shared"], {}) for i in range(5200)]
+    got = entities.merge_across(entities.canonical(spark.createDataFrame(rows, ENTITY)), 0.75).collect()
+    assert sorted((r["ord"], r["n_merged"], len(r["aliases"])) for r in got) == [(i, 260, 260) for i in range(20)]
+
+
+def model_greedy(rows, threshold):
+    def grams(s):
+        return {s[i : i + 2] for i in range(len(s) - 1)}
+
+    out = []
+    for o, name, kind, _, _ in rows:
+        for k in out:
+            base = k["name"]
+            names = 1.0 if name in (base, *k["aliases"]) else len(grams(base) & grams(name)) / len(grams(base) | grams(name))
+            if 0.5 * names + 0.3 * (kind == k["kind"]) >= threshold:
+                longer, other = (k, (name, [])) if len(base) >= len(name) else ({"name": name, "aliases": [], "kind": kind}, (base, k["aliases"]))
+                k |= {"name": longer["name"], "kind": longer["kind"], "n": k["n"] + 1, "aliases": [x for x in dict.fromkeys([*longer["aliases"], other[0], *other[1]]) if x != longer["name"]]}
+                break
+        else:
+            out.append({"ord": o, "name": name, "kind": kind, "aliases": [], "n": 1})
+    return out
+
+
+def test_greedy_merge_equals_plain_model(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abc", k=rng.randint(4, 7))), rng.choice(["red", "blue"]), [], {}) for i in range(150)]
+    want = model_greedy(rows, 0.55)
+    got = entities.merge_across(entities.canonical(spark.createDataFrame(rows, ENTITY)), 0.55, (0.5, 0.3, 0.0)).collect()
+    assert sorted((r["ord"], r["name"], r["entity_type"], tuple(r["aliases"]), r["n_merged"]) for r in got) == [(k["ord"], k["name"], k["kind"], tuple(k["aliases"]), k["n"]) for k in want]
+    assert len(want) < 140
+
+
+def test_candidate_pairs_verified(spark):
+    e = entities.canonical(spark.createDataFrame([(1, "abcdefgh", "t", [], {}), (2, "abqrstuv", "t", [], {}), (3, "abcdefgx", "t", [], {})], ENTITY))
+    assert {(r["a"], r["b"]) for r in entities.candidate_pairs(e, 0.5, verified=True).collect()} == {(1, 3)}

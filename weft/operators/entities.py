@@ -79,9 +79,10 @@ def similarity(a: str, b: str, weights: tuple[float, float, float] = WEIGHTS) ->
     return wn * name_similarity(a, b) + wt * type_similarity(f"{a}.entity_type", f"{b}.entity_type") + wa * attribute_similarity(f"{a}.properties", f"{b}.properties")
 
 
-def candidate_pairs(entities: DataFrame, least: float) -> DataFrame:
+def candidate_pairs(entities: DataFrame, least: float, verified: bool = False) -> DataFrame:
     """(a, b) of ords whose name likeness can reach `least`: shared names, aliases, canonical keys, or enough shared
-    bigrams. A name posts its rarest n - ceil(least * n) + 1 bigrams; two names that are near enough share one of these. No cross join."""
+    bigrams. A name posts its rarest n - ceil(least * n) + 1 bigrams; two names that are near enough share one of these. No cross join.
+    `verified`: of pairs by bigrams only those whose likeness reaches `least`."""
     e = entities.select("ord", "name", "aliases", "canonical")
     keys = e.select("ord", F.explode(F.array_distinct(F.concat(F.transform(F.concat(F.array("name"), "aliases"), lambda n: F.lower(strip(n))), F.array("canonical"), F.array(F.regexp_replace(F.lower("name"), r"(?U)\s+", ""))))).alias("k"))
     # rows that share a key are linked through the key's first row; rows of one component meet in replay
@@ -94,6 +95,10 @@ def candidate_pairs(entities: DataFrame, least: float) -> DataFrame:
     prefix = posts.join(df, "x").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
     p, q = prefix.select(F.col("ord").alias("a"), "x", F.col("n").alias("na")), prefix.select(F.col("ord").alias("b"), "x", F.col("n").alias("nb"))
     near = p.join(q, "x").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b")
+    if verified:
+        x, y = F.col("x"), F.col("y")
+        near = near.distinct().join(grams.select(F.col("ord").alias("a"), F.col("g").alias("x")), "a").join(grams.select(F.col("ord").alias("b"), F.col("g").alias("y")), "b")
+        near = near.where(F.size(F.array_intersect(x, y)) >= F.size(F.array_union(x, y)) * least - 1e-9).select("a", "b")
     return equal.unionByName(near).distinct()
 
 
@@ -104,11 +109,12 @@ def similar_pairs(entities: DataFrame, least: float = 0.5) -> DataFrame:
     return pairs.withColumn("likeness", bigram_jaccard("name_a", "name_b")).where(F.col("likeness") >= least)
 
 
-def merge_across(entities: DataFrame, threshold: float = 0.75, weights: tuple[float, float, float] = WEIGHTS, checkpoint=None, most: int = 5000) -> DataFrame:
+def merge_across(entities: DataFrame, threshold: float = 0.75, weights: tuple[float, float, float] = WEIGHTS, checkpoint=None) -> DataFrame:
     """The greedy merge in list order, replayed inside each component of pairs that could merge.
 
     A merge needs a name likeness of at least (threshold - w_type - w_attr) / w_name, which merging never raises above its best member's.
-    A component over `most` rows fails loudly.
+    Only verified pairs make components. A component is replayed in one task, whatever its size; each row is compared with those before
+    it that share a name, a canonical key or a bigram.
     """
     import pandas as pd
 
@@ -118,16 +124,13 @@ def merge_across(entities: DataFrame, threshold: float = 0.75, weights: tuple[fl
     least = (threshold - wt - wa) / wn - 1e-9
     if least <= 0:
         raise ValueError("the weights let entities of unlike names merge; no candidate join is possible")
-    labels = connected(entities.select(F.col("ord").alias("v")), candidate_pairs(entities, max(least, 1e-6)))
+    labels = connected(entities.select(F.col("ord").alias("v")), candidate_pairs(entities, max(least, 1e-6), verified=True))
     grouped = entities.join(labels.withColumnRenamed("v", "ord"), "ord")
     grouped = grouped.select("component", "ord", "name", "entity_type", "aliases", "canonical", F.to_json("properties").alias("properties"))
 
     def replay(t: pd.DataFrame) -> pd.DataFrame:
         import json
 
-        if len(t) > most:
-            raise ValueError(f"a component of {len(t)} entities is over {most}")
-
         def grams(s: str) -> set[str]:
             s = "".join(s.lower().split())
             return {s[i : i + 2] for i in range(len(s) - 1)} if len(s) > 1 else set()
@@ -157,13 +160,25 @@ def merge_across(entities: DataFrame, threshold: float = 0.75, weights: tuple[fl
 
         rows = [{"ord": r.ord, "name": r.name_, "entity_type": r.entity_type or "", "aliases": list(r.aliases), "canonical": r.canonical, "properties": json.loads(r.properties or "{}"), "n": 1} for r in t.rename(columns={"name": "name_"}).sort_values("ord").itertuples()]
         out: list[dict] = []
+        # where each key was seen; a row without a key in common has a name likeness of 0 and never merges
+        seen: dict[tuple[str, str], set[int]] = {}
+
+        def keys(e: dict) -> set[tuple[str, str]]:
+            names = {("name", x.strip().lower()) for x in [e["name"], *e["aliases"]]}
+            return names | {("canonical", e["canonical"]), ("whole", "".join(e["name"].lower().split()))} | {("gram", g) for g in grams(e["name"])}
+
         for e in rows:
-            for i, kept in enumerate(out):
+            own = keys(e)
+            for i in sorted(set().union(*(seen.get(k, ()) for k in own))):
+                kept = out[i]
                 if wn * name_sim(kept, e) + wt * type_sim(kept["entity_type"], e["entity_type"]) + wa * attr_sim(kept["properties"], e["properties"]) >= threshold:
                     out[i] = merged(kept, e)
                     break
             else:
+                i = len(out)
                 out.append(e)
+            for k in own:
+                seen.setdefault(k, set()).add(i)
         return pd.DataFrame({"ord": [e["ord"] for e in out], "name": [e["name"] for e in out], "entity_type": [e["entity_type"] for e in out], "aliases": [e["aliases"] for e in out], "properties": [json.dumps(e["properties"], sort_keys=True) for e in out], "n_merged": [e["n"] for e in out]})
 
     done = grouped.groupBy("component").applyInPandas(replay, "ord long, name string, entity_type string, aliases array<string>, properties string, n_merged int")
