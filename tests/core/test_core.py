@@ -159,3 +159,55 @@ def test_greedy_merge_equals_plain_model(spark):
 def test_candidate_pairs_verified(spark):
     e = entities.canonical(spark.createDataFrame([(1, "abcdefgh", "t", [], {}), (2, "abqrstuv", "t", [], {}), (3, "abcdefgx", "t", [], {})], ENTITY))
     assert {(r["a"], r["b"]) for r in entities.candidate_pairs(e, 0.5, verified=True).collect()} == {(1, 3)}
+
+
+def model_sections(content, most=1500):
+    """(level, headings, content) of each section of a text with headings, in plain Python."""
+    import math
+    import re
+
+    def strips(xs):
+        return [x.strip() for x in xs if x.strip()]
+
+    def windows(t):
+        step = most - min(100, most // 10)
+        return [t] if len(t) <= most else [t[i * step : i * step + most] for i in range(math.ceil((len(t) - most) / step) + 1)]
+
+    def sentences(t):
+        out, now = [], ""
+        for s in strips(re.split(r"(?<=[。！？.!?])\s*", t)):
+            if len(now) + len(s) > most or len(s) > most:
+                out, now = out + [now] * bool(now), ""
+            if len(s) > most:
+                out += windows(s)
+            else:
+                now += s
+        return out + [now] * bool(now)
+
+    def sized(t):
+        if len(t) <= most:
+            return [t]
+        strong, weak = strips(t.split("\n\n")), strips(t.split("\n"))
+        parts = weak if len(strong) <= 1 and len(weak) > len(strong) else strong
+        return model_merge([x for p in parts for x in ([p] if len(p) <= most else sentences(p))], most)
+
+    parts, stack, out = re.split(r"(?m)^(#{1,6})\s+(.+)$", content), [], []
+    for mark, title, body in [("", "", parts[0]), *zip(parts[1::3], parts[2::3], parts[3::3], strict=True)]:
+        stack = [h for h in stack if h[0] < len(mark)] + [(len(mark), title.strip())] if mark else []
+        if body.strip():
+            out += [(len(mark), [h[1] for h in stack], c) for c in sized(body.strip())]
+    return out
+
+
+def test_heading_sections_of_every_document(spark):
+    from weft.plans import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = {r["doc_id"]: r["content"] for r in fixtures.md_docs(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert docs.keys() == texts.keys() and all((t or "") in docs[i] for i, t in texts.items()) and len(docs) > 50
+    got = {}
+    for r in sections.split_sections(fixtures.md_docs(spark, sf)).orderBy("doc_id", "idx").collect():
+        got.setdefault(r["doc_id"], []).append((r["level"], r["heading_chain"], r["content"]))
+    assert all(got.get(i, []) == model_sections(c) for i, c in docs.items())

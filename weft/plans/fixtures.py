@@ -125,10 +125,9 @@ questions AS (SELECT c_custkey AS question_id, CASE c_custkey % 8 WHEN 0 THEN c_
 
 
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document a region: headings of nations, two texts under each; every third nation has a note, one no body."""
-    d = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text")
-    nation = table(spark, sf_dir, "nation")
-    n = nation.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    pair = n.join(d.toDF("d1", "t1"), F.col("d1") == F.col("n_nationkey") * 2).join(d.toDF("d2", "t2"), F.col("d2") == F.col("n_nationkey") * 2 + 1)
-    body = F.concat(F.lit("## "), "n_name", F.lit("\n\n"), F.when(F.col("n_nationkey") == 7, "").otherwise(F.concat("t1", F.lit("\n\n"), "t2")), F.lit("\n"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("### note\n"), F.substring("t1", 1, 80), F.lit("\n"))).otherwise(""))
-    return pair.groupBy("r_regionkey", "r_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", body.alias("b")))), lambda x: x["b"]), "").alias("bodies")).select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("# "), "r_name", F.lit("\n"), "bodies").alias("content"))
+    """Every document under headings of its source and language; by id every third has a note, every 25th a heading without body."""
+    d = table(spark, sf_dir, "documents")
+    text, k = F.coalesce("text", F.lit("")), F.coalesce("doc_id", F.lit(0))
+    note = F.when(k % 3 == 0, F.concat(F.lit("### note\n"), F.substring(text, 1, 80), F.lit("\n"))).otherwise("")
+    bare = F.when(k % 25 == 7, F.lit("## bare\n")).otherwise("")
+    return d.select("doc_id", F.concat(F.lit("# "), F.coalesce("source", F.lit("none")), F.lit("\n## "), F.coalesce("lang", F.lit("none")), F.lit("\n\n"), text, F.lit("\n"), note, bare).alias("content"))
