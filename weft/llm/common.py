@@ -76,28 +76,38 @@ def least_hashes(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
     return cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
 
-def components(vertices: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(v, c): c is the smallest v that links reach; a vertex without links is its own.
+def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+    """(v, c) for every vertex of links(a, b): c is the smallest v that links reach.
 
     Large-star and small-star steps: each round joins a vertex to the smallest
     neighbour of its neighbourhood, so that stars form in a logarithmic number of
-    rounds. links(a, b) may repeat pairs or join a vertex with itself.
+    rounds. links may repeat pairs or join a vertex with itself. The centre of a large
+    star is a hot key: its minimum is a partial aggregate, and the join with it is a sort-merge join that adaptive execution splits.
     """
+    vertices = stage(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "vertices")
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    n = edges.count()
     for _ in range(rounds):
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        if not n:
+            break
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         # large star: every larger neighbour goes to the smallest of the neighbourhood
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: the smaller neighbours, and the vertex itself, go to the smallest of them
+        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = stage(small, "edges")
-        same = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        drop(low)
+        was, n = n, new.count()
+        same = n == was and new.join(edges, ["a", "b"], "left_anti").isEmpty()
         drop(edges)
         edges = new
         if same:
             break
     else:
         raise RuntimeError("components did not settle")
-    return vertices.select("v").distinct().join(edges.select(F.col("a").alias("v"), F.col("b").alias("c")), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
+    out = stage(vertices.join(edges.select(F.col("a").alias("v"), F.col("b").alias("c")), "v", "left").select("v", F.coalesce("c", "v").alias("c")), "components")
+    drop(vertices)
+    drop(edges)
+    return out
