@@ -13,6 +13,8 @@ from pyspark.sql.window import Window as W
 
 #: The white space of the word contracts: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Labels that a classifier tells apart, at most; a language or a toxicity mark each.
+LABELS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none is a local one made, as in tests."""
+    """The folder that all executors share, from spark.checkpoint.dir. A local master that names none gets one of its own, as in tests;
+    on a cluster that is an error, as executors do not see each other's disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(shared_dir, "own", None)
         if where is None:
             where = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="spark-weft-")
@@ -48,6 +53,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever case is minded."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop(df: DataFrame) -> None:
     """Remove a stage that nothing reads any more."""
     path = getattr(df, "_weft_path", None)
@@ -63,15 +76,18 @@ def partitions(spark: SparkSession) -> int:
 
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.encode(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string"), "UTF-8")) % n
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")) % n
 
 
 def least_hashes(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """Of each label the rows with the `most` least hashes of key. A first cut at twice that many, by the label's count, leaves little to
-    sort, however many rows a label has."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n")).withColumnRenamed(label, "_l")
+    """(label, key): of each label the `most` keys with the least hashes. Each task first cuts at twice that many by the label's count, so that
+    few rows reach the window, however many a label has. Labels are few: one row each is broadcast, at most LABELS."""
+    counts = stage(rows.groupBy(label).agg(F.count("*").alias("_n")), "labels").withColumnRenamed(label, "_l")
+    if counts.count() > LABELS:
+        raise ValueError(f"over {LABELS} labels")
     share = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
-    cut = rows.join(counts, rows[label] == F.col("_l")).where(share * F.col("_n") < 2 * most + 50).drop("_l", "_n")
+    cut = rows.join(F.broadcast(counts), rows[label] == F.col("_l")).where(share * F.col("_n") < 2 * most + 50).select(label, key).distinct()
     order = W.partitionBy(label).orderBy(F.xxhash64(key), key)
     return cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 

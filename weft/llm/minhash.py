@@ -41,7 +41,7 @@ from .common import components, drop, stage, table
 
 K, MATCH, SHINGLE, THRESHOLD = 64, 32, 5, 75
 #: Members from which a list gets three hubs; shingles in a block of the rest (a signature counts as K).
-LONG, BLOCK = 8, 1 << 18
+LONG, BLOCK = 8, 1 << 16
 U = np.uint64
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * U(2) + U(1)
@@ -239,9 +239,11 @@ def rest_links(lists: DataFrame, comps: DataFrame, sets: DataFrame, match: int,
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, match: int = MATCH) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    rows = stage(signed(docs), "signed")
+    wide = stage(signed(docs), "signed")
+    classes = stage(wide.where("n > 0 and doc_id is not null").groupBy("sh").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    rows = stage(wide.drop("sig"), "rows")
+    drop(wide)
     some = rows.where("n > 0 and doc_id is not null")
-    classes = stage(some.groupBy("sh").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
     posts = classes.select("rep", "sh", "n", F.explode("sig").alias("key"))
     often = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
@@ -250,6 +252,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, match: int = MA
     held = held.where(F.size("posts") >= match).select("sh", "rep", "n", F.explode(F.slice("posts", F.lit(1), F.size("posts") - match + 1)).alias("p"))
     lists = stage(held.select("sh", "rep", "n", F.col("p.key").alias("key")), "lists")
     sets = stage(full_sets(docs, lists.select("rep", "sh").distinct().join(classes.select("sh", "sig").hint("merge"), "sh")), "sets")
+    named = stage(classes.select("sh", "rep"), "named")
+    drop(classes)
 
     picked = lambda turn: F.min_by(F.struct("rep", "n"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep"))
     hubs = lists.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("x"), picked(1).alias("y"), picked(2).alias("z")).where("m > 1")
@@ -261,7 +265,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, match: int = MA
     # an id with several sets joins their classes
     h = F.xxhash64("sh")
     twice = some.groupBy("doc_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select("doc_id")
-    reps = some.select("doc_id", "sh").join(twice, "doc_id").join(classes.select("sh", "rep"), "sh")
+    reps = some.select("doc_id", "sh").join(twice, "doc_id").join(named, "sh")
     several = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("rs")).select("a", F.explode("rs").alias("b"))
 
     links = stage(confirmed(pairs.select("a", "b"), sets, match, threshold).unionByName(several), "links")
@@ -270,7 +274,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, match: int = MA
     comps = components(links.unionByName(more))
     for done in (lists, sets, hubs, pairs):
         drop(done)
-    of = stage(classes.select("sh", "rep").join(comps.toDF("rep", "c").hint("merge"), "rep", "left").select("sh", F.coalesce("c", "rep").alias("c")), "components")
+    of = stage(named.join(comps.toDF("rep", "c").hint("merge"), "rep", "left").select("sh", F.coalesce("c", "rep").alias("c")), "components")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sh").join(of.hint("merge"), "sh", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
 

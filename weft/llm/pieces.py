@@ -153,20 +153,23 @@ def pieces(path: str) -> Pieces:
     return _pieces[path]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """docs with piece_ids and decoded, the text that the ids give back. The model file is looked up where a task runs."""
-    kept = docs.drop("piece_ids", "decoded")
+def encode(docs: DataFrame, model: str, text: str = "text", names: tuple[str, str] = ("piece_ids", "decoded")) -> DataFrame:
+    """docs with the piece ids and the text that they give back, under `names`; columns of docs that bear these are replaced. The model
+    file is looked up where a task runs."""
+    where = docs.columns.index(text)
+    kept = [f for f in docs.schema.fields if f.name not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ids, at = p.encode(part.column(text))
+                ids, at = p.encode(part.column(where))
                 decoded = [p.decode(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids)), pa.array(decoded, pa.string())], names=[*part.schema.names, "piece_ids", "decoded"])
+                cols = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n not in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids)), pa.array(decoded, pa.string())], names=[*[f.name for f in kept], *names])
 
-    return kept.mapInArrow(run, StructType([*[StructField(f.name, f.dataType) for f in kept.schema.fields], StructField("piece_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
+    return docs.mapInArrow(run, StructType([*[StructField(f.name, f.dataType) for f in kept], StructField(names[0], ArrayType(IntegerType())), StructField(names[1], StringType())]))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

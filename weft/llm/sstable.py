@@ -29,6 +29,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,18 @@ from .common import partitions, scratch, stage, table
 MAGIC = b"WEFTSST1"
 FOOTER = struct.Struct("<QQQQQQQQ8s")
 BLOCK, RESTART, SHARD, PROBES, BITS = 1 << 16, 16, 64 << 20, 7, 10
+#: Characters that are encoded at a time, and units that are remembered.
+SLICE, CACHE = 4 << 20, 1_600_000
 #: A unit runs from white space to the next white space. Byte-level pre-tokenization always cuts before white space that follows other characters.
 UNIT = re.compile(r"\s*\S+|\s+")
+#: Punctuation that byte-level pre-tokenization cuts from a letter before it.
+TAIL = ".,;:!?$&%*#"
 
 
 class Encoder:
     """Whole texts to id bytes; units that came before are not encoded again. The cache has a fixed bound; what was not used of late goes."""
 
-    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, most: int = CACHE):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,17 +68,19 @@ class Encoder:
         for piece, i in self.tok.get_vocab().items():
             self.length[i] = len(piece)
         self.whole = {x.content for x in self.tok.get_added_tokens_decoder().values()}
-        self.most, self.cache, self.old = most, {}, {}
+        self.most, self.cache, self.old, self.tails = most, {}, {}, {}
 
     def _alone(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
 
     def _joined(self, units: list[str]) -> list[bytes]:
         """Units that start with white space are encoded as one text and cut apart by the bytes that each id covers."""
-        ids = np.array(self.tok.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, self.type)
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, units)), np.int64, len(units)))
-        at = (np.searchsorted(np.cumsum(self.length[ids]), ends) + 1) * self.type.itemsize
-        raw, cuts = ids.tobytes(), at.tolist()
+        text = "".join(units)
+        raw = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+        n = map(len, units) if text.isascii() else map(len, map(str.encode, units))
+        ends = np.cumsum(np.fromiter(n, np.int64, len(units)))
+        cuts = ((np.searchsorted(np.cumsum(self.length[raw]), ends) + 1) * self.type.itemsize).tolist()
+        raw = raw.tobytes()
         return [raw[lo:hi] for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     @staticmethod
@@ -98,23 +105,52 @@ class Encoder:
     def unit(key: str) -> str:
         return key[1:] if key[0] == "\x02" else key if key[0].isspace() else " " + key
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        cut = list(map(self.cut, texts))
-        if len(self.cache) > self.most // 2:  # what the last half did not use goes
-            self.old, self.cache = self.cache, {}
+    def learn(self, new: set[str]) -> None:
+        """Put units into the cache. A unit that ends in a letter and then punctuation is the ids of its word and those of the punctuation, as
+        pre-tokenization cuts there; so words are encoded once for all that may follow them."""
         cache, old = self.cache, self.old
-        new = set().union(*cut).difference(cache)
         again = [u for u in new if u in old]
         cache.update((u, old[u]) for u in again)
         new.difference_update(again)
-        special = any(w in t for t in texts for w in self.whole)
-        joined = [u for u in new if u[0] != "\x02" and not u[-1].isspace() and not (special and any(w in u for w in self.whole))]
-        alone = list(new.difference(joined))
-        for part, f, n in ((joined, self._joined, 8192), (alone, self._alone, 8192)):
-            for i in range(0, len(part), n):
-                cache.update(zip(part[i : i + n], f(list(map(self.unit, part[i : i + n]))), strict=True))
-        return [b"".join(map(cache.__getitem__, us)) + self.end for us in cut]
+        whole, ended, tails = set(), [], set()
+        for u in new:
+            word = u.rstrip(TAIL)
+            if word and word != u and word[-1].isalpha() and word[-1] < "\u0250":
+                ended.append((u, word, u[len(word) :]))
+                if word not in cache:
+                    whole.add(word)
+                tails.add(u[len(word) :])
+            else:
+                whole.add(u)
+        again = [u for u in whole if u in old]
+        cache.update((u, old[u]) for u in again)
+        whole.difference_update(again)
+        special = any(w in u for w in self.whole for u in whole)
+        joined = [u for u in whole if u[0] != "\x02" and not u[-1].isspace() and not (special and any(w in u for w in self.whole))]
+        alone = list(whole.difference(joined))
+        for part, f in ((joined, self._joined), (alone, self._alone)):
+            for i in range(0, len(part), 8192):
+                cache.update(zip(part[i : i + 8192], f(list(map(self.unit, part[i : i + 8192]))), strict=True))
+        tails = list(tails.difference(self.tails))
+        self.tails.update(zip(tails, self._alone(tails), strict=True))
+        cache.update((u, cache[word] + self.tails[tail]) for u, word, tail in ended)
+        if len(self.tails) > 10_000:
+            self.tails.clear()
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        cut = list(map(self.cut, texts))
+        units = list(chain.from_iterable(cut))
+        if len(self.cache) > self.most // 2:  # what the last half did not use goes
+            self.old, self.cache = self.cache, {}
+        got = list(map(self.cache.get, units))
+        gaps = [i for i, v in enumerate(got) if v is None]
+        if gaps:
+            self.learn({units[i] for i in gaps})
+            cache = self.cache
+            for i in gaps:
+                got[i] = cache[units[i]]
+        ends = list(accumulate(map(len, cut), initial=0))
+        return [b"".join(got[lo:hi]) + self.end for lo, hi in pairwise(ends)]
 
 
 def varint(n: int) -> bytes:
@@ -293,9 +329,14 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo in range(0, len(ids), 1024):
-                values = enc.encode(t or "" for t in texts[lo : lo + 1024])
-                for i, v in zip(ids[lo : lo + 1024], values, strict=True):
+            hi = 0
+            while hi < len(ids):
+                lo, size = hi, 0
+                while hi < len(ids) and (hi == lo or size + len(texts[hi] or "") < SLICE):
+                    size += len(texts[hi] or "")
+                    hi += 1
+                values = enc.encode(t or "" for t in texts[lo:hi])
+                for i, v in zip(ids[lo:hi], values, strict=True):
                     if now is not None and now.at + len(now.block) >= shard_bytes:
                         close()
                         now = None

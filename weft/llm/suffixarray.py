@@ -16,12 +16,13 @@ The suffix array is constructed by linear grouping: groups of suffixes are proce
 previous-smaller pointers split the groups below, until each holds the suffixes of one Lyndon prefix; a second
 pass emits the order inside the groups. No recursion, no renaming.
 
-Skew. Equal phrases are merged inside each map task before they are dealt. A trigger with more than 1/2000 of
-the phrases is dealt by trigger and phrase hash. A core with more than HOT pieces is cut down to single strings, dealt by string.
+Skew. Equal phrases are merged inside each map task before they are dealt. A trigger with more than CROWD
+phrases, or a millionth of all, is dealt by trigger and phrase hash. A core with more than HOT pieces is cut down to single strings, dealt by string.
 
 Nulls, ties and repeats: a null text is empty; a null id sorts first; rows that repeat an id count as
 documents of their own, in the order of their texts; an empty table gives an empty result; texts shorter
-than `length` bytes keep all bytes. Hashes are 64 bits within a trigger of 64 bits.
+than `length` bytes keep all bytes; other columns pass through, whatever their names. Hashes are 64 bits within a trigger of
+64 bits, over spans of a few hundred bytes, too short for the strings on which such polynomials are known to fail.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql.window import Window as W
 
 from .common import drop, partitions, stage, table
 
-GRAM, GAP, HOT, CHUNK = 24, 16, 20_000, 4 << 20
+GRAM, GAP, HOT, CROWD, CHUNK = 24, 16, 20_000, 20_000, 4 << 20
 BASE, BASE2, MIX = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9
 U = np.uint64
 
@@ -270,9 +271,10 @@ COVER_DDL = "id long, copy int, a long, e long"
 def merge_phrases(found: DataFrame) -> DataFrame:
     """Step 1: kind 0 rows, covered; kind 2 rows, first phrases whose trigger has others."""
     rows = found.where("kind = 1").drop("kind")
-    counts = rows.count()
-    hot = [r["t"] for r in rows.where("many").groupBy("t").count().where(F.col("count") * 2000 > counts).select("t").collect()]  # under 2000
-    rows = rows.select("t", "c", "id", "copy", "at", F.when(F.col("t").isin(hot), F.col("c")).otherwise(0).alias("s") if hot else F.lit(0).cast("long").alias("s"))
+    # triggers with more than CROWD phrases, or a millionth of all, are dealt by phrase; a million triggers at most, so they are broadcast
+    least = max(CROWD, rows.count() // 1_000_000)
+    hot = stage(rows.where("many").groupBy("t").count().where(F.col("count") > least).select("t", F.lit(True).alias("hot")), "hot")
+    rows = rows.join(F.broadcast(hot), "t", "left").select("t", "c", "id", "copy", "at", F.when(F.col("hot"), F.col("c")).otherwise(0).alias("s"))
     dealt = rows.repartition(partitions(found.sparkSession), "t", "s").sortWithinPartitions("t", "c", "id", "copy", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,20 +401,24 @@ def covered(g: pa.Table) -> pa.RecordBatch:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """docs with id (never null) and copy, which numbers rows of one id in the order of their texts."""
-    d = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("text", F.coalesce("text", F.lit("")))
+    """id (never null), copy, which numbers rows of one id in the order of their texts, text (never null), and docs' own columns as g0, g1 and so on."""
+    at = docs.columns.index
+    d = docs.toDF(*[f"g{i}" for i in range(len(docs.columns))])
+    d = d.withColumns({"id": F.coalesce(F.col(f"g{at('doc_id')}").cast("long"), F.lit(-(1 << 63))), "text": F.coalesce(F.col(f"g{at('text')}"), F.lit(""))})
     if d.groupBy("id").count().where("count > 1").isEmpty():
         return d.withColumn("copy", F.lit(0))
     return d.withColumn("copy", F.row_number().over(W.partitionBy("id").orderBy("text")) - 1)
 
 
 def dedup(docs: DataFrame, length: int = 100, kept_text: bool = False) -> DataFrame:
-    """docs' doc_id with n_bytes, n_removed, n_spans, kept_sha256; with kept_text, all columns of docs and text replaced by what is left.
+    """docs' doc_id with n_bytes, n_removed, n_spans, kept_sha256; with kept_text, all columns of docs, whatever their names, and text
+    replaced by what is left.
 
     A kept text that removal cuts inside a character loses that character's remaining bytes; its digest is of all remaining bytes.
     """
-    given = docs.columns
+    given, schema = docs.columns, docs.schema
     docs = identified(docs)
+    own = [f"g{i}" for i in range(len(given))] if kept_text else [f"g{given.index('doc_id')}"]
     keys = docs.select("id", "copy", "text")
     found = stage(find_phrases(keys, length), "phrases")
     merged = stage(merge_phrases(found).unionByName(found.where("kind = 0").select("kind", "t", "id", "copy", "at")), "shared")
@@ -423,8 +429,7 @@ def dedup(docs: DataFrame, length: int = 100, kept_text: bool = False) -> DataFr
     a = F.shiftright("at", 16)
     covers = merged.where("kind = 0").select("id", "copy", a.alias("a"), (a + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("e")).unionByName(matched)
     lists = covers.groupBy("id", "copy").agg(F.collect_list(F.struct("a", "e")).alias("cs"))
-    rest = [c for c in docs.columns if c not in ("id", "copy")] if kept_text else ["doc_id", "text"]
-    rows = docs.join(lists, ["id", "copy"], "left").select(*rest, "cs")
+    rows = docs.join(lists, ["id", "copy"], "left").select(*own, "text", "cs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,12 +448,11 @@ def dedup(docs: DataFrame, length: int = 100, kept_text: bool = False) -> DataFr
                 done.append((len(raw), int((hi - lo).sum()), len(lo), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
             n, removed, spans, sha, left = zip(*done, strict=True) if done else ((),) * 5
             if kept_text:
-                cols = {f: batch.column(f) for f in given} | {"text": pa.array(left, pa.string())}
-                yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if f == "text" else batch.column(g) for f, g in zip(given, own, strict=True)], names=given)
             else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(own[0]), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, docs.select(*given).schema if kept_text else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, schema if kept_text else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
