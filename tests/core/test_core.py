@@ -107,7 +107,7 @@ def test_linking_and_chains(spark):
     assert {r["entity"]: (r["name"], r["method"]) for r in reasoning.link(e, nodes).collect()} == {"SDH": ("SDH", "exact"), "optical": ("optical network", "substring"), "ring": ("SDH ring", "substring"), "none": (None, "unresolved"), "H": (None, "unresolved")}
     edges = spark.createDataFrame([(1, 1, 1, "A", "r", "B", 0.8), (1, 2, 1, "B", "s", "C", 0.6)], "question_id long, hop int, ord int, source string, type string, target string, confidence double")
     c = evidence.chains(edges).first()
-    assert abs(c["confidence"] - 0.48) < 1e-12 and c["path"] == ["A", "B", "C"] and c["description"] == "A --r--> B; B --s--> C"
+    assert abs(c["confidence"] - 0.48) < 1e-12 and c["path"] == ["A", "B", "C"] and c["description"] == "A --r--> B --s--> C"
     a = spark.createDataFrame([("可能是",), ("答案。推理过程:一；二\n三",), (None,)], "t string").select(evidence.answer_confidence(F.col("t")).alias("c"), evidence.split_answer(F.col("t")).alias("s")).collect()
     assert [round(r["c"], 6) for r in a] == [0.3, 0.5, 0.5] and a[1]["s"]["answer"] == "答案。" and a[1]["s"]["steps"] == ["一", "二", "三"]
 

@@ -24,18 +24,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def characters(c: Column | str) -> Column:
+    """The text's characters as an array."""
+    return F.filter(F.split(col(c), ""), lambda x: x != "")
+
+
 def no_blanks(xs: Column) -> Column:
     """The array's items, stripped, without blank ones."""
     return F.filter(F.transform(xs, strip), lambda x: x != "")
 
 
 def strip_images(c: Column | str) -> Column:
-    """Inline base64 images become a placeholder."""
-    return F.regexp_replace(col(c), r"!\[[^\]]*\]\(data:image/[^)]*\)", "[图片]")
+    """Inline base64 images without an alternative text become a placeholder."""
+    return F.regexp_replace(col(c), r"!\[\]\(data:image/[^)]+\)", "[图片]")
 
 
 def plain_name(c: Column | str) -> Column:
-    """A name without a trailing annotation in full-width, then in ASCII parentheses."""
+    """A name without a trailing annotation in full-width, then in ASCII parentheses. The two patterns are fixed values."""
     return strip(F.regexp_replace(F.regexp_replace(col(c), "（[^）]*）$", ""), r"\([^)]*\)$", ""))
 
 

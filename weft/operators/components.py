@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that all executors share; a local one only where none is set, as in tests."""
+    """A checkpoint in the folder that all executors share, from spark.checkpoint.dir. A local master that names none gets one of its
+    own, as in tests; on a cluster that is an error, as executors do not see each other's disks."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-weft-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-weft-"))
     return df.checkpoint()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import contains_any, no_blanks, strip, truncated, xml_attr, xml_text
 
+#: Fixed values, also in the code below: the layout of the XML, the default step texts (通过…探索, 第…跳), the name of an unknown relation, and how a description joins its properties.
 #: Words that hedge, and the markers before the reasoning in an answer.
 HEDGES = ["可能", "不确定", "无法确定"]
 MARKERS = ("推理过程:", "分析:")
@@ -22,16 +23,27 @@ def append_hop(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return steps, last.select("question_id", F.explode("n").alias("name"))
 
 
-def chains(edges: DataFrame) -> DataFrame:
-    """A2, A3: (question_id, n_edges, confidence, path, description), products in order."""
+def chains(edges: DataFrame, questions: DataFrame | None = None, chain_nodes: DataFrame | None = None) -> DataFrame:
+    """A2, A3: (question_id, n_edges, confidence, path, description), products in order. The path is the first edge's source and every target.
+    With `questions`, those without edges have a row too: confidence 1.0, and the names of their chain_nodes, in order, as the path."""
     g = edges.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("hop", "ord", "source", "type", "target", F.coalesce("confidence", F.lit(1.0)).alias("confidence")))).alias("es"))
-    return g.select(
+    first = F.get("es", F.lit(0))["source"]
+    out = g.select(
         "question_id",
         F.size("es").alias("n_edges"),
         F.aggregate("es", F.lit(1.0), lambda a, x: a * x["confidence"]).alias("confidence"),
-        F.concat(F.array(F.get("es", F.lit(0))["source"]), F.transform("es", lambda x: x["target"])).alias("path"),
-        F.array_join(F.transform("es", lambda x: F.concat(x["source"], F.lit(" --"), x["type"], F.lit("--> "), x["target"])), "; ").alias("description"),
+        F.concat(F.array(first), F.transform("es", lambda x: x["target"])).alias("path"),
+        F.concat(first, F.array_join(F.transform("es", lambda x: F.concat(F.lit(" --"), x["type"], F.lit("--> "), x["target"])), "")).alias("description"),
     )
+    if questions is None:
+        return out
+    out = questions.select("question_id").distinct().join(out, "question_id", "left")
+    if chain_nodes is None:
+        names = F.array().cast("array<string>")
+    else:
+        n = chain_nodes.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("hop", "ord", "name"))), lambda x: x["name"]).alias("names"))
+        out, names = out.join(n, "question_id", "left"), F.coalesce("names", F.array().cast("array<string>"))
+    return out.select("question_id", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("path", names).alias("path"), F.coalesce("description", F.array_join(names, " -- ")).alias("description"))
 
 
 def chain_json(edges: DataFrame, chain_nodes: DataFrame) -> DataFrame:

@@ -6,13 +6,17 @@ Every limit has a total order. Traversals keep rows on the executors; the driver
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import strip
 from .components import checkpointed
+from .triples import mentions
 
+#: Fixed value: the label of nodes that only triples name.
 AUTO = "自动创建"
 
 
@@ -83,19 +87,20 @@ def find_nodes(keys: DataFrame, nodes: DataFrame, label: str | None = None) -> D
     return keys.join(n, keys["key"] == n["name"]).groupBy("key").agg(F.min_by(F.struct("node_id", "label", "name", "properties"), F.struct("label", "node_id")).alias("x")).select("key", "x.*")
 
 
-def by_property(nodes: DataFrame, label: str, name: str, value: str) -> DataFrame:
-    """G2."""
-    return nodes.where((F.col("label") == label) & (F.col("properties")[name] == value))
+def by_property(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(label, property, value, node_id, name) of the nodes with each keys(label, property, value); the name is a property too."""
+    held = nodes.select("label", "node_id", "name", F.explode(F.map_concat(F.map_filter("properties", lambda k, v: k != "name"), F.create_map(F.lit("name"), F.col("name")))).alias("property", "value"))
+    return held.join(keys.select("label", "property", "value").distinct(), ["label", "property", "value"])
 
 
-def node_properties(nodes: DataFrame, name: str) -> DataFrame:
-    """G3."""
-    return nodes.where(F.col("name") == name).select("node_id", F.explode("properties").alias("key", "value"))
+def node_properties(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, node_id, key, value) for every node of each keys(name)."""
+    return nodes.join(keys.select("name").distinct(), "name").select("name", "node_id", F.explode("properties").alias("key", "value"))
 
 
-def edge_properties(edges: DataFrame, src: str, dst: str, type_: str) -> DataFrame:
-    """G3."""
-    return edges.where((F.col("src") == src) & (F.col("dst") == dst) & (F.col("type") == type_))
+def edge_properties(keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges of each keys(src, type, dst)."""
+    return edges.join(keys.select("src", "type", "dst").distinct(), ["src", "type", "dst"])
 
 
 def incident(edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -123,9 +128,16 @@ def neighbours(keys: DataFrame, edges: DataFrame, nodes: DataFrame, direction: s
     return hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
 
 
-def search_nodes(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Names that contain the query, in order."""
-    return nodes.where(F.contains("name", F.lit(query))).orderBy("name", "node_id").limit(limit)
+def search_nodes(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
+    """(query, rank, node_id, name) of the first `limit` nodes, by (name, node_id), whose name contains each queries(query). The empty
+    query finds all nodes, of which the first `limit` are the same for every such query; a null query finds none."""
+    q = queries.select("query").where("query is not null").distinct()
+    hit = mentions(nodes.select(F.col("node_id").alias("key"), F.col("name").alias("content")), q.select(F.col("query").alias("name")))
+    hit = hit.select(F.col("name").alias("query"), F.col("key").alias("node_id")).join(nodes.select("node_id", "name"), "node_id").select("query", "node_id", "name")
+    first = nodes.where("name is not null").orderBy("name", "node_id").limit(limit)
+    every = q.where("query = ''").join(first.select(F.lit("").alias("query"), "node_id", "name"), "query")
+    rank = F.row_number().over(W.partitionBy("query").orderBy("name", "node_id"))
+    return hit.unionByName(every).withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "rank", "node_id", "name")
 
 
 def reach(keys: DataFrame, edges: DataFrame, hops: int, direction: str = "both") -> DataFrame:
@@ -142,9 +154,12 @@ def reach(keys: DataFrame, edges: DataFrame, hops: int, direction: str = "both")
     return seen
 
 
-def labelled_nearby(keys: DataFrame, edges: DataFrame, nodes: DataFrame, label: str, hops: int = 3, limit: int | None = 20) -> DataFrame:
-    """Labelled nodes of other name within `hops`, either direction."""
-    met = reach(keys, edges, hops).where("hop > 0").join(nodes.where(F.col("label") == label).select(F.col("node_id").alias("node"), "name"), "node")
+def labelled_nearby(keys: DataFrame, edges: DataFrame, nodes: DataFrame, label: str | None = None, hops: int = 3, limit: int | None = 20) -> DataFrame:
+    """(question_id, start, node, hop, label, name): labelled nodes of other name within `hops`, either direction. The label is
+    one for all, or each key's own in keys(question_id, node, label)."""
+    keys = keys.select("question_id", "node", F.lit(label).alias("label")) if label is not None else keys.select("question_id", "node", "label")
+    met = reach(keys, edges, hops).where("hop > 0").join(keys.select("question_id", F.col("node").alias("start"), "label").distinct(), ["question_id", "start"])
+    met = met.join(nodes.select(F.col("node_id").alias("node"), "label", "name"), ["node", "label"])
     own = nodes.select(F.col("node_id").alias("start"), F.col("name").alias("_start_name"))
     met = met.join(own, "start").where("name <> _start_name").drop("_start_name")
     if limit is None:
@@ -153,40 +168,49 @@ def labelled_nearby(keys: DataFrame, edges: DataFrame, nodes: DataFrame, label:
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 3, directed: bool = True) -> DataFrame:
-    """One row a hop (question_id, start, end, hop, edge_id, src, dst, type) of one shortest path for each pairs(question_id, start, end).
-    Of paths of one length it is the least by (node, edge) along the way; a pair stops when it arrives. Start = end has no rows."""
+    """One row a hop (question_id, start, end, hop, node, other, edge_id, src, dst, type) of one shortest path for each
+    pairs(question_id, start, end); node and other follow the direction of travel. Of paths of one length it is the least by
+    (node, edge) along the way; a pair stops when it arrives. Start = end, and hops = 0, have no rows."""
     e = incident(edges.select("edge_id", "src", "dst", "type"), "out" if directed else "both")
     live = pairs.select("question_id", "start", "end").distinct().where("start <> end")
     path = "array<struct<other:string,edge_id:string,src:string,dst:string,type:string>>"
     front = live.select("question_id", "start", "end", F.col("start").alias("node"), F.array().cast(path).alias("path"))
     seen = front.select("question_id", "start", "end", "node")
-    done = None
+    done = front.where("false")
     for _ in range(hops):
         step = front.join(e, "node").select("question_id", "start", "end", F.col("other").alias("node"), F.concat("path", F.array(F.struct(*[F.col(c).cast("string") for c in ("other", "edge_id", "src", "dst", "type")])).cast(path)).alias("path"))
         step = step.groupBy("question_id", "start", "end", "node").agg(F.min("path").alias("path")).join(seen, ["question_id", "start", "end", "node"], "left_anti")
         step = checkpointed(step)
         hit = step.where(F.col("node") == F.col("end"))
-        done = hit if done is None else done.unionByName(hit)
+        done = done.unionByName(hit)
         front = step.join(hit.select("question_id", "start", "end"), ["question_id", "start", "end"], "left_anti")
         seen = seen.unionByName(front.select("question_id", "start", "end", "node"))
         if front.isEmpty():
             break
-    return done.select("question_id", "start", "end", F.posexplode("path").alias("hop", "x")).select("question_id", "start", "end", (F.col("hop") + 1).alias("hop"), "x.edge_id", "x.src", "x.dst", "x.type")
+    rows = done.select("question_id", "start", "end", "path", F.posexplode("path").alias("hop", "x"))
+    before = F.when(F.col("hop") == 0, F.col("start")).otherwise(F.get("path", F.col("hop") - 1)["other"])
+    return rows.select("question_id", "start", "end", (F.col("hop") + 1).alias("hop"), before.alias("node"), "x.other", "x.edge_id", "x.src", "x.dst", "x.type")
 
 
-def node_context(keys: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 1) -> DataFrame:
-    """(question_id, start, level, node): the neighbours of each level's new nodes, without repeats inside a level."""
-    pairs = incident(edges.select("src", "dst")).select("node", "other").distinct()
+def node_context(keys: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 1, limit: int | None = 20) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): (question_id, start, level, node) without repeats inside a level, and (question_id, start, level, node, other, edge
+    columns) with them: the neighbours of each level's new nodes, at most `limit` edges a node. Depth 0 or less gives empty tables."""
     seen = keys.select("question_id", F.col("node").alias("start"), "node").distinct()
-    front, out = seen, None
+    front, parts = seen, []
     for level in range(1, depth + 1):
-        found = checkpointed(front.join(pairs, "node").select("question_id", "start", F.col("other").alias("node")).distinct())
-        out = found.withColumn("level", F.lit(level)) if out is None else out.unionByName(found.withColumn("level", F.lit(level)))
-        front = found.join(seen, ["question_id", "start", "node"], "left_anti")
+        at = F.struct("question_id", "start").alias("question_id")
+        met = neighbours(front.select(at, "node"), edges, nodes, limit=limit)
+        met = checkpointed(met.select("question_id.question_id", "question_id.start", F.lit(level).alias("level"), *[c for c in met.columns if c != "question_id"]))
+        parts.append(met)
+        front = checkpointed(met.select("question_id", "start", F.col("other").alias("node")).distinct().join(seen, ["question_id", "start", "node"], "left_anti"))
         seen = seen.unionByName(front)
         if front.isEmpty():
             break
-    return seen.limit(0).withColumn("level", F.lit(0)) if out is None else out
+    if not parts:
+        met = neighbours(keys, edges, nodes, limit=limit).where("false").withColumn("start", F.col("node")).withColumn("level", F.lit(0))
+        parts.append(met.select("question_id", "start", "level", *[c for c in met.columns if c not in ("question_id", "start", "level")]))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("question_id", "start", "level", F.col("other").alias("node")).distinct(), out
 
 
 def read_context(keys: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import strip
 from .components import checkpointed
-from .graph import labelled_nearby, neighbours, shortest_paths
+from .graph import incident, labelled_nearby, neighbours, shortest_paths
 from .triples import mentions
 
 EDGE = ["question_id", "hop", "node", "other", "other_name", "other_label", "edge_id", "src", "dst", "type", "confidence", "source_chunk_id", "source_text"]
@@ -47,112 +49,228 @@ def unique_entities(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(c, strip), lambda x: x != ""))
 
 
+def first_rows(hits: DataFrame, limit: int | None) -> DataFrame:
+    """At most `limit` edges of each key, by (neighbour's name, type, edge)."""
+    if limit is None:
+        return hits
+    order = W.partitionBy("question_id", "node").orderBy("other_name", "type", "edge_id")
+    return hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
+
+
+def named(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with other, and other's name and label."""
+    return edges.join(nodes.select(F.col("node_id").alias("other"), F.col("name").alias("other_name"), F.col("label").alias("other_label")), "other")
+
+
 def expand(front: DataFrame, edges: DataFrame, nodes: DataFrame, hints: DataFrame | None = None, limit: int | None = 20) -> DataFrame:
-    """M4: edges of front(question_id, node), of the hinted type hints(question_id, type) where that finds any, else of all types."""
+    """M4: edges of front(question_id, node), of the hinted type hints(question_id, type) where that finds any, else of all types.
+    Hinted keys meet only edges of their type; edges of all types are read for keys that found none."""
+    front = front.select("question_id", "node").distinct()
     if hints is None:
         return neighbours(front, edges, nodes, limit=limit)
-    hinted = front.join(hints.select("question_id", F.col("type").alias("_h")).distinct(), "question_id")
-    typed = neighbours(front.join(hints, "question_id", "left_semi"), edges, nodes, limit=None).join(hinted.select("question_id", "node", "_h"), ["question_id", "node"]).where("type = _h").drop("_h")
-    if limit is not None:
-        typed = typed.withColumn("_r", F.row_number().over(W.partitionBy("question_id", "node").orderBy("other_name", "type", "edge_id"))).where(F.col("_r") <= limit).drop("_r")
-    rest = front.select("question_id", "node").join(typed.select("question_id", "node").distinct(), ["question_id", "node"], "left_anti")
-    return typed.unionByName(neighbours(rest, edges, nodes, limit=limit))
+    hinted = front.join(hints.where("type is not null").select("question_id", "type").distinct(), "question_id")
+    typed = checkpointed(first_rows(named(hinted.join(incident(edges), ["node", "type"]), nodes), limit))
+    rest = front.join(typed.select("question_id", "node").distinct(), ["question_id", "node"], "left_anti")
+    return typed.unionByName(neighbours(rest, edges, nodes, limit=limit).select(*typed.columns))
 
 
 def plan_hop(front: DataFrame, steps: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int | None = 20, near: int = 3) -> DataFrame:
     """M5: front(question_id, node) under steps(question_id, target_type, relation_hint, direction): label and relation; label alone;
-    labelled nodes within `near` hops, by shortest paths; direction alone. The last three need a target type, or neither type nor hint."""
-    keyed = front.select("question_id", "node").join(steps.select("question_id", "target_type", "relation_hint", "direction"), "question_id")
-    every = neighbours(front.join(steps.select("question_id"), "question_id", "left_semi"), edges, nodes, limit=None).join(keyed, ["question_id", "node"])
+    labelled nodes within `near` hops, by shortest paths; direction alone. The last three need a target type, the second also a hint.
+
+    Each level reads edges only for the keys that found nothing before. `start` is the key; node and other follow the direction of
+    travel, which differs from the key on the paths of level 3. A labelled node that is met but not joined by a path does not occur.
+    """
+    keyed = front.select("question_id", "node").distinct().join(steps.select("question_id", "target_type", "relation_hint", "direction"), "question_id")
+    around, cols = incident(edges), ["question_id", "start", "node", "other", "other_name", "other_label", "edge_id", "src", "dst", "type", "confidence", "source_chunk_id", "source_text", "level"]
     onward = F.when(F.col("direction") == "out", F.col("src") == F.col("node")).when(F.col("direction") == "in", F.col("dst") == F.col("node")).otherwise(True)
-    every = checkpointed(every.where(onward))
-    typed = F.col("target_type").isNull() | (F.col("other_label") == F.col("target_type"))
-    level = F.when(typed & (F.col("relation_hint").isNull() | (F.col("type") == F.col("relation_hint"))), 1).when(F.col("target_type").isNotNull() & typed, 2).when(F.col("target_type").isNotNull(), 4)
-    graded = every.withColumn("level", level).where("level is not null")
-    best = graded.where("level < 4").groupBy("question_id", "node").agg(F.min("level").alias("best"))
-    rank = W.partitionBy("question_id", "node").orderBy("other_name", "type", "edge_id")
-
-    def cut(df: DataFrame) -> DataFrame:
-        return df if limit is None else df.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= limit).drop("_r")
-
-    one_two = cut(graded.join(best, ["question_id", "node"]).where("level = best").drop("best"))
-    left = keyed.where("target_type is not null").join(best.select("question_id", "node"), ["question_id", "node"], "left_anti")
-    labels = [r[0] for r in left.select("target_type").distinct().collect()]  # labels of a schema
-    paths = None
-    for label in labels:
-        at = left.where(F.col("target_type") == label)
-        met = labelled_nearby(at, edges, nodes, label, near, limit)
-        p = shortest_paths(met.select("question_id", "start", F.col("node").alias("end")), edges, near, directed=False)
-        paths = p if paths is None else paths.unionByName(p)
-    out = one_two
-    if paths is not None:
-        named = nodes.select(F.col("node_id").alias("other"), F.col("name").alias("other_name"), F.col("label").alias("other_label"))
-        p = paths.select("question_id", F.col("start").alias("node"), "edge_id").distinct().join(edges.select("edge_id", "src", "dst", "type", "confidence", "source_chunk_id", "source_text"), "edge_id").withColumn("other", F.col("dst")).join(named, "other").withColumn("level", F.lit(3)).join(keyed, ["question_id", "node"])
-        out = out.unionByName(p.select(*out.columns))
-        left = left.join(p.select("question_id", "node").distinct(), ["question_id", "node"], "left_anti")
-    last = graded.where("level = 4").join(left.select("question_id", "node"), ["question_id", "node"], "left_semi")
-    return out.unionByName(cut(last))
-
-
-def run_plans(plans: DataFrame, steps: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int | None = 20) -> DataFrame:
-    """M6: evidence edges (question_id, hop, ...) of plans(question_id, node) and their steps. A find_by_path step over two or more
-    start nodes, in order of node, chains shortest paths over consecutive pairs; others are M5 hops. A question without new nodes stops."""
-    n = steps.agg(F.max("step")).first()[0]
-    front = plans.select("question_id", "node").distinct()
-    out = None
-    for s in range(0, (n if n is not None else -1) + 1):
-        now = steps.where(F.col("step") == s)
-        paths = now.where("action = 'find_by_path'")
-        pairs = plans.join(paths.select("question_id"), "question_id", "left_semi").withColumn("next", F.lead("node").over(W.partitionBy("question_id").orderBy("node"))).where("next is not null")
-        walked = shortest_paths(pairs.select("question_id", F.col("node").alias("start"), F.col("next").alias("end")), edges, directed=False)
-        named = nodes.select(F.col("node_id").alias("other"), F.col("name").alias("other_name"), F.col("label").alias("other_label"))
-        walked = walked.select("question_id", F.col("start").alias("node"), "edge_id").distinct().join(edges, "edge_id").withColumn("other", F.col("dst")).join(named, "other")
+    labelled = F.col("target_type").isNull() | (F.col("other_label") == F.col("target_type"))
+
+    def found(hits: DataFrame, level: int) -> DataFrame:
+        hits = hits.where(onward).withColumn("start", F.col("node")).withColumn("level", F.lit(level))
+        return checkpointed(first_rows(named(hits, nodes).where(labelled if level < 4 else F.lit(True)), limit).select(*cols))
+
+    def without(keys: DataFrame, done: DataFrame) -> DataFrame:
+        return checkpointed(keys.where("target_type is not null").join(done.select("question_id", F.col("start").alias("node")).distinct(), ["question_id", "node"], "left_anti"))
+
+    hinted = keyed.where("relation_hint is not null")
+    one = hinted.withColumn("type", F.col("relation_hint")).join(around, ["node", "type"])
+    one = found(one.unionByName(keyed.where("relation_hint is null").join(around, "node").select(*one.columns)), 1)
+    left = without(keyed, one)
+    if left.isEmpty():
+        return one
+    two = found(left.where("relation_hint is not null").join(around, "node"), 2)
+    left = without(left, two)
+    if left.isEmpty():
+        return one.unionByName(two)
+    met = labelled_nearby(left.select("question_id", "node", F.col("target_type").alias("label")), edges, nodes, None, near, limit)
+    walk = shortest_paths(met.select("question_id", "start", F.col("node").alias("end")), edges, near, directed=False)
+    walk = walk.select("question_id", "start", "node", "other", "edge_id").distinct().join(edges, "edge_id")
+    three = checkpointed(named(walk, nodes).withColumn("level", F.lit(3)).select(*cols))
+    four = found(without(left, three).join(around, "node"), 4)
+    return one.unionByName(two).unionByName(three).unionByName(four)
+
+
+def default_steps(plans: DataFrame) -> DataFrame:
+    """M6: one plain hop for each question."""
+    none = F.lit(None).cast("string")
+    return plans.select("question_id").distinct().select("question_id", F.lit(0).alias("step"), F.lit("find_neighbors").alias("action"), none.alias("target_type"), none.alias("relation_hint"), F.lit("both").alias("direction"))
+
+
+def run_plans(plans: DataFrame, steps: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int | None = 20, fallback: bool = False, hints: DataFrame | None = None) -> DataFrame:
+    """M6: evidence edges (question_id, hop, ...) of plans(question_id, node[, ord]) and their steps, numbered from 0.
+
+    A question's current nodes are its start nodes, by (ord, node), then what the last plain step found, in the order met. A find_by_path
+    step over two or more current nodes chains shortest paths over consecutive ones, each edge a hop of its own, in the direction of
+    travel; it leaves the current nodes alone, also where it finds nothing. Other steps are M5 hops; a question whose
+    step finds no edge stops. Questions without steps take one plain hop. With `fallback`, questions that got no edge at
+    all run M7 from their first node with the others as goals, under hints(question_id, type). No plans: an empty table.
+    """
+    starts = plans.select("question_id", *([F.col("ord").cast("long").alias("ord")] if "ord" in plans.columns else [F.lit(0).cast("long").alias("ord")]), "node")
+    starts = starts.groupBy("question_id", "node").agg(F.min("ord").alias("ord"))
+    starts = checkpointed(starts.withColumn("place", F.row_number().over(W.partitionBy("question_id").orderBy("ord", "node")).cast("long")).select("question_id", "node", "place"))
+    none = starts.join(steps.select("question_id").distinct(), "question_id", "left_anti")
+    cols = ["question_id", "step", "action", "target_type", "relation_hint", "direction"]
+    steps = steps.select(*cols).unionByName(default_steps(none).select(*cols))
+    last = steps.agg(F.max("step")).first()[0]
+    front, live = starts, checkpointed(starts.select("question_id").distinct().withColumn("past", F.lit(0)))
+    parts: list[DataFrame] = []
+    for s in range(0, (last if last is not None else -1) + 1):
+        now = steps.where(F.col("step") == s).join(live, "question_id", "left_semi")
+        pairs = front.join(now.where("action = 'find_by_path'").select("question_id"), "question_id", "left_semi").withColumn("next", F.lead("node").over(W.partitionBy("question_id").orderBy("place"))).where("next is not null")
+        pairs = checkpointed(pairs.select("question_id", "place", F.col("node").alias("start"), F.col("next").alias("end")))
+        walk = shortest_paths(pairs.select("question_id", "start", "end"), edges, 0 if pairs.isEmpty() else 3, directed=False).withColumnRenamed("hop", "leg").join(pairs, ["question_id", "start", "end"])
+        walk = walk.withColumn("hop", F.row_number().over(W.partitionBy("question_id").orderBy("place", "leg"))).select("question_id", "hop", "node", "other", "edge_id").join(edges, "edge_id")
         plain = now.join(pairs.select("question_id").distinct(), "question_id", "left_anti")
-        hop = plan_hop(front.join(plain.select("question_id"), "question_id", "left_semi"), plain, edges, nodes, limit)
-        cols = [c for c in EDGE if c != "hop"]
-        hop = checkpointed(hop.select(*cols).unionByName(walked.select(*cols)).withColumn("hop", F.lit(s + 1)))
-        out = hop.select(*EDGE) if out is None else out.unionByName(hop.select(*EDGE))
-        front = plans.select("question_id", "node").unionByName(hop.select("question_id", F.col("other").alias("node"))).join(hop.select("question_id").distinct(), "question_id", "left_semi").distinct()
-        if front.isEmpty():
+        hop = plan_hop(front.join(plain.select("question_id"), "question_id", "left_semi"), plain, edges, nodes, limit).withColumn("hop", F.lit(1))
+        walked = named(walk, nodes).withColumn("start", F.col("node"))
+        got = hop.select("start", *EDGE).unionByName(walked.select("start", *EDGE)).join(live, "question_id").withColumn("hop", F.col("hop") + F.col("past"))
+        got = checkpointed(got.select("start", *EDGE))
+        parts.append(got.select(*EDGE))
+        plain_ids = plain.select("question_id").distinct()
+        stopped = plain_ids.join(got.select("question_id").distinct(), "question_id", "left_anti")
+        # new current nodes of the plain steps: the starts, then others in the order met
+        order = F.struct("p.place", "g.other_name", "g.type", "g.edge_id")
+        found = got.alias("g").join(plain_ids, "question_id", "left_semi").join(front.alias("p").select("question_id", F.col("node").alias("start"), "place").alias("p"), ["question_id", "start"])
+        found = found.groupBy("question_id", F.col("other").alias("node")).agg(F.min(order).alias("o")).join(starts, ["question_id", "node"], "left_anti")
+        found = found.select("question_id", "node", (F.row_number().over(W.partitionBy("question_id").orderBy("o")) + (1 << 40)).cast("long").alias("place"))
+        moved = starts.join(found.select("question_id").distinct(), "question_id", "left_semi").unionByName(found)
+        # a step that met nothing new besides the starts goes on from the starts
+        back = starts.join(plain_ids, "question_id", "left_semi").join(found.select("question_id").distinct(), "question_id", "left_anti")
+        rest = front.join(plain_ids, "question_id", "left_anti")
+        front = checkpointed(rest.unionByName(moved).unionByName(back).join(stopped, "question_id", "left_anti"))
+        past = got.groupBy("question_id").agg(F.max("hop").alias("new"))
+        live = checkpointed(live.join(stopped, "question_id", "left_anti").join(past, "question_id", "left").select("question_id", F.greatest("past", F.coalesce("new", "past")).alias("past")))
+        if live.isEmpty():
             break
+    out = reduce(DataFrame.unionByName, parts) if parts else no_evidence(starts, edges, nodes)
+    if fallback:
+        rest = starts.join(out.select("question_id").distinct(), "question_id", "left_anti")
+        out = out.unionByName(run_guided(rest.where("place = 1").select("question_id", "node"), edges, nodes, goals=rest.where("place > 1").select("question_id", "node"), hints=hints, limit=limit))
     return out
 
 
-def run_guided(starts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 3, goals: DataFrame | None = None, decisions: DataFrame | None = None, hints: DataFrame | None = None, least: float = 0.5, beam: int = 5, limit: int | None = 20) -> DataFrame:
-    """Evidence edges of starts(question_id, node), hop by hop.
+def no_evidence(keys: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return neighbours(keys.select("question_id", "node"), edges, nodes, limit=None).where("false").withColumn("hop", F.lit(1)).select(*EDGE)
+
 
-    decisions(question_id, hop, go_on, next_name) keeps neighbours of these names, not seen before; where a question has none, edges that
-    touch its goals(question_id, node) stay, or the `beam` most confident paths go on. A question stops at a decision not to go on,
-    at `hops`, or when the confidence of its chain is under `least`.
+def run_guided(starts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 3, goals: DataFrame | None = None, decisions: DataFrame | None = None, reflections: DataFrame | None = None, hints: DataFrame | None = None, least: float = 0.5, beam: int | None = 5, limit: int | None = 20) -> DataFrame:
+    """Evidence edges of starts(question_id, node), hop by hop; hops = 0 gives an empty table.
+
+    Edges: M4 under the question's relation filter, at first hints(question_id, type).
+    decisions(question_id, hop, go_on, next_entities, relation_filter) say where to go: names that are neighbours and not seen. Edges
+    into these stay. Without such a name, edges that touch one of the goals(question_id, node) stay, after a second look at all
+    types if there were none under the filter; without goals all stay.
+    A question without a decision at a hop keeps what touches its goals, else its `beam` most confident new paths, and goes on there;
+    beam = None leaves that out, so that it keeps its edges and ends.
+    reflections(question_id, hop, action, suggested) act before the last hop: backtrack goes to suggested neighbours not seen, or ends with the
+    first of the most confident chains so far; switch goes to suggested nodes of the chain or neighbours not seen.
+    A question ends where nothing is chosen, at a decision not to go on, at `hops`, or when its chain's confidence is under `least` (M8).
     """
-    front = starts.select("question_id", "node", F.lit(1.0).alias("conf")).distinct()
-    seen = front.select("question_id", "node")
-    chain = starts.select("question_id").distinct().withColumn("c", F.lit(1.0))
-    out = None
+    ids = ["question_id"]
+    state = starts.select("question_id", "node").distinct()
+    front = state.withColumn("conf", F.lit(1.0))
+    seen = state
+    chain = checkpointed(starts.select("question_id").distinct().select("question_id", F.lit(1.0).alias("c")))
+    best = chain.select("question_id", F.lit(0).alias("hop"), F.lit(0.0).alias("c"))
+    filters = (hints if hints is not None else chain.select("question_id", F.lit(None).cast("string").alias("type"))).where("type is not null").select("question_id", "type")
+    ends = goals.select("question_id", "node").distinct() if goals is not None else state.where("false")
+    parts: list[DataFrame] = []
+    cut: list[DataFrame] = []
     for h in range(1, hops + 1):
-        edge = expand(front, edges, nodes, hints, limit).join(front.select("question_id", "node", "conf"), ["question_id", "node"]).withColumn("path", F.col("conf") * F.coalesce("confidence", F.lit(1.0))).withColumn("hop", F.lit(h))
-        fresh = edge.join(seen.withColumnRenamed("node", "other"), ["question_id", "other"], "left_anti")
-        rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.col("path").desc(), "other_name", "edge_id"))
+        def met(keys: DataFrame, by: DataFrame | None) -> DataFrame:
+            return expand(keys, edges, nodes, by, limit).join(front, ["question_id", "node"]).withColumn("path", F.col("conf") * F.coalesce("confidence", F.lit(1.0))).withColumn("hop", F.lit(h)).select(*EDGE, "path")  # noqa: B023
+
+        edge = checkpointed(met(front, filters))
+        valid = edge.select("question_id", F.col("other").alias("node"), F.col("other_name").alias("name")).distinct()
+        new = checkpointed(valid.join(seen, ["question_id", "node"], "left_anti"))
         if decisions is not None:
-            d = decisions.where(F.col("hop") == h)
-            told = fresh.join(d.select("question_id", F.col("next_name").alias("other_name")).distinct(), ["question_id", "other_name"], "left_semi")
-            rest = fresh.join(told.select("question_id").distinct(), "question_id", "left_anti")
+            d = decisions.where(F.col("hop") == h).join(front.select("question_id").distinct(), ids, "left_semi")
+            chosen = d.select("question_id", F.explode("next_entities").alias("name")).distinct().join(new, ["question_id", "name"]).select("question_id", "node")
         else:
-            told, rest = fresh.limit(0), fresh
-        if goals is not None:
-            touch = rest.join(goals.select("question_id", F.col("node").alias("other")).distinct(), ["question_id", "other"], "left_semi")
-            rest = rest.join(touch.select("question_id").distinct(), "question_id", "left_anti")
-            told = told.unionByName(touch)
-        kept = checkpointed(told.unionByName(rest.withColumn("_r", rank).where(F.col("_r") <= beam).drop("_r")))
-        out = kept.select(*EDGE) if out is None else out.unionByName(kept.select(*EDGE))
-        chain = checkpointed(chain.join(kept.groupBy("question_id").agg(F.product(F.coalesce("confidence", F.lit(1.0))).alias("p")), "question_id").select("question_id", (F.col("c") * F.col("p")).alias("c")))
+            d, chosen = None, new.where("false").select("question_id", "node")
+        chosen = checkpointed(chosen)
+        into = edge.where("dst = other").join(chosen.withColumnRenamed("node", "other"), ["question_id", "other"], "left_semi")
+        rest = edge.join(chosen.select("question_id").distinct(), ids, "left_anti")
+        at_goal = ends.select("question_id", F.col("node").alias("other"))
+
+        def touches(e: DataFrame) -> DataFrame:
+            there = e.join(at_goal, ["question_id", "other"], "left_semi")
+            return there.unionByName(e.join(at_goal, ["question_id", "other"], "left_anti").join(ends, ["question_id", "node"], "left_semi").select(*there.columns))  # noqa: B023
+        touch = checkpointed(touches(rest).select(*EDGE, "path"))
+        again = front.join(ends.select("question_id").distinct(), ids, "left_semi").join(filters.select("question_id"), ids, "left_semi").join(chosen.select("question_id").distinct(), ids, "left_anti").join(touch.select("question_id").distinct(), ids, "left_anti")
+        touch = checkpointed(touch.unionByName(touches(met(again, None)).select(*EDGE, "path")))
+        aimless = rest.join(touch.select("question_id").distinct(), ids, "left_anti")
+        decided = d.select("question_id").distinct() if d is not None else chain.where("false").select("question_id")
+        # decided questions with goals keep what touches these, which may be nothing; without goals all
+        every = aimless.join(decided, ids, "left_semi").join(ends.select("question_id").distinct(), ids, "left_anti")
+        own = aimless.join(decided, ids, "left_anti")
+        if beam is None:
+            own = own.join(ends.select("question_id").distinct(), ids, "left_anti")
+        else:
+            order = W.partitionBy("question_id").orderBy(F.col("path").desc(), "other_name", "edge_id")
+            own = own.join(new.select("question_id", F.col("node").alias("other")), ["question_id", "other"], "left_semi").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= beam).drop("_r")
+        kept = checkpointed(into.select(*EDGE, "path").unionByName(touch).unionByName(every.select(*EDGE, "path")).unionByName(own.select(*EDGE, "path")))
+        parts.append(kept.select(*EDGE))
+        if beam is not None:  # without a decision the edges kept lead on
+            follow = kept.join(decided, ids, "left_anti").select("question_id", F.col("other").alias("node")).distinct().join(seen, ["question_id", "node"], "left_anti")
+            chosen = chosen.unionByName(follow)
+        gained = kept.groupBy("question_id").agg(F.product(F.coalesce("confidence", F.lit(1.0))).alias("p"))
+        at = front.select("question_id").distinct()
+        chain = checkpointed(chain.join(gained.join(at, ids, "left_semi"), ids, "left").select("question_id", (F.col("c") * F.coalesce("p", F.lit(1.0))).alias("c")))
+        turned = over = None
+        if reflections is not None and h < hops:
+            r = reflections.where(F.col("hop") == h).join(at, ids, "left_semi").select("question_id", "action", "suggested")
+            now = chain.join(at, ids, "left_semi").select("question_id", F.lit(h).alias("h"), F.col("c").alias("x"))
+            best = checkpointed(best.join(now, ids, "left").select("question_id", F.when(F.col("x") > F.col("c"), F.col("h")).otherwise(F.col("hop")).alias("hop"), F.greatest("c", F.coalesce("x", "c")).alias("c")))
+            wanted = r.select("question_id", "action", F.explode("suggested").alias("name")).distinct()
+            back = wanted.where("action = 'backtrack'").join(new, ["question_id", "name"]).select("question_id", "node").distinct()
+            over = checkpointed(r.where("action = 'backtrack'").select("question_id").join(back.select("question_id").distinct(), ids, "left_anti"))
+            cut.append(over.join(best, ids).select("question_id", F.col("hop").alias("cut")))
+            pool = new.unionByName(reduce(DataFrame.unionByName, parts).select("question_id", F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select(F.col("node_id").alias("node"), "name"), "node").join(seen, ["question_id", "node"], "left_anti").select("question_id", "node", "name")).distinct()
+            switch = checkpointed(wanted.where("action = 'switch'").join(pool, ["question_id", "name"]).select("question_id", "node").distinct())
+            chosen = chosen.join(switch.select("question_id").distinct(), ids, "left_anti").unionByName(switch)
+            turned = checkpointed(back)
         live = chain.where(F.col("c") >= least).select("question_id")
-        if decisions is not None:
-            live = live.join(decisions.where((F.col("hop") == h) & ~F.col("go_on")).select("question_id").distinct(), "question_id", "left_anti")
-        front = checkpointed(kept.groupBy("question_id", F.col("other").alias("node")).agg(F.max("path").alias("conf")).join(live, "question_id", "left_semi"))
-        seen = seen.unionByName(front.select("question_id", "node"))
+        if d is not None:
+            live = live.join(d.where(~F.col("go_on")).select("question_id").distinct(), ids, "left_anti")
+        chosen = chosen.join(live, ids, "left_semi")
+        if turned is not None:
+            chosen = chosen.join(turned.select("question_id").distinct(), ids, "left_anti").join(over, ids, "left_anti").unionByName(turned)
+        reached = kept.groupBy("question_id", F.col("other").alias("node")).agg(F.max("path").alias("conf"))
+        front = checkpointed(chosen.select("question_id", "node").distinct().join(reached, ["question_id", "node"], "left").select("question_id", "node", F.coalesce("conf", F.lit(1.0)).alias("conf")))
+        seen = checkpointed(seen.unionByName(front.select("question_id", "node")))
+        if d is not None:
+            filters = filters.join(d.select("question_id"), ids, "left_anti").unionByName(d.where("relation_filter is not null").select("question_id", F.col("relation_filter").alias("type")))
+        if turned is not None:
+            filters = filters.join(turned.select("question_id"), ids, "left_anti")
+        filters = checkpointed(filters.distinct())
         if front.isEmpty():
             break
+    out = reduce(DataFrame.unionByName, parts) if parts else no_evidence(state, edges, nodes)
+    if cut:
+        bounds = reduce(DataFrame.unionByName, cut)
+        out = out.join(bounds, ids, "left").where("cut is null or hop <= cut").select(*EDGE)
     return out
 
 
@@ -162,7 +280,7 @@ def best_so_far(confidences: DataFrame) -> DataFrame:
 
 
 def should_stop(go_on: Column, hop: Column, confidence: Column, hops: int = 3, least: float = 0.5) -> Column:
-    """M8."""
+    """M8, as a column for callers that step themselves."""
     return ~go_on | (hop >= hops) | (confidence < least)
 
 

@@ -83,17 +83,33 @@ def split_plain(text: Column, most: int) -> Column:
     )
 
 
+#: Marks that split_sections puts around headings; where a text has them itself they are escaped meanwhile.
+_MARKS = (("\u0004", "\u0004d"), ("\u0001", "\u0004a"), ("\u0002", "\u0004b"), ("\u0003", "\u0004c"))
+
+
+def _escaped(text: Column) -> Column:
+    for mark, other in _MARKS:
+        text = F.replace(text, F.lit(mark), F.lit(other))
+    return text
+
+
+def _plain(text: Column) -> Column:
+    for mark, other in reversed(_MARKS):
+        text = F.replace(text, F.lit(other), F.lit(mark))
+    return text
+
+
 def split_sections(docs: DataFrame, most: int = 1500, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
     """(doc_id, idx, chunk_id, level, heading_chain, content). A blank document has no sections."""
     text = strip_images(F.coalesce(content, F.lit("")))
-    parts = F.split(F.regexp_replace(text, HEADING, "\u0001$1\u0002$2\u0003"), "\u0001")
+    parts = F.split(F.regexp_replace(_escaped(text), HEADING, "\u0001$1\u0002$2\u0003"), "\u0001")
 
     def part(p: Column) -> Column:
         head = F.contains(p, F.lit("\u0002"))
         return F.struct(
             F.when(head, F.length(F.substring_index(p, "\u0002", 1))).otherwise(0).alias("level"),
-            F.when(head, strip(F.substring_index(F.substring_index(p, "\u0003", 1), "\u0002", -1))).otherwise("").alias("title"),
-            strip(F.when(head, F.substring_index(p, "\u0003", -1)).otherwise(p)).alias("body"),
+            F.when(head, _plain(strip(F.substring_index(F.substring_index(p, "\u0003", 1), "\u0002", -1)))).otherwise("").alias("title"),
+            _plain(strip(F.when(head, F.substring_index(p, "\u0003", -1)).otherwise(p))).alias("body"),
         )
 
     # The stack of headings before each part

@@ -8,30 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import is_phrase, plain_name, strip
+from ..functions.text import characters, is_phrase, let, plain_name, strip
 
-Q = 3
+#: Lengths of the grams that names are keyed on: the largest that fits.
+GRAMS = (1, 2, 3, 4, 8)
 
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(key, name) for each of texts(key, content) that contains each of names(name), case-sensitively. Exact, and an equi-join:
-    a name is keyed on its rarest gram of Q characters (shorter names on themselves), texts post their grams, hits are verified."""
+    a name is keyed on its rarest gram of 8 characters, shorter names on one of 4 or fewer; texts post the hashes of their grams of the
+    lengths that occur, as far as some name has them, and hits are verified."""
     n = names.select("name").where("name is not null and name <> ''").distinct()
-    cut = lambda c, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (q - 1)), lambda i: F.substring(c, i, F.lit(q))))
+    # characters are cut out of an array: a substring of a string would be searched from its begin each time
+    cut = lambda chars, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(chars) - (q - 1)), lambda i: F.xxhash64(F.slice(chars, i, F.lit(q)))))
 
-    def grams(c: str, q: int) -> Column:
-        return F.when(F.length(c) >= q, cut(F.col(c), q)).otherwise(F.array().cast("array<string>"))
+    def grams(chars: Column, q: int) -> Column:
+        return F.when(F.size(chars) >= q, cut(chars, q)).otherwise(F.array().cast("array<bigint>"))
 
-    lengths = [r["l"] for r in n.select(F.least(F.length("name"), F.lit(Q)).alias("l")).distinct().collect()]  # of 1 to Q
+    size = F.array_max(F.filter(F.array(*map(F.lit, GRAMS)), lambda q: q <= F.length("name")))
+    lengths = [r["l"] for r in n.select(size.alias("l")).distinct().collect()]  # of GRAMS
     if not lengths:
         return texts.select("key", F.lit("").alias("name")).limit(0)
-    every = F.array_distinct(F.flatten(F.array(*[grams("content", q) for q in lengths])))
+    every = let(characters("content"), lambda chars: F.flatten(F.array(*[grams(chars, q) for q in sorted(lengths)])))
     # only grams that some name has are posted
-    wanted = n.select("name", F.explode(F.when(F.length("name") <= Q, F.array("name")).otherwise(cut(F.col("name"), Q))).alias("g"))
-    posts = texts.select("key", "content", F.explode(every).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi").select("key", "g")
+    wanted = n.select("name", F.explode(let(characters("name"), lambda chars: cut(chars, size))).alias("g"))
+    posts = texts.select("key", F.explode(every).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
     often = posts.groupBy("g").agg(F.count("*").alias("df"))
     anchor = wanted.join(often, "g", "left").groupBy("name").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
-    return posts.join(anchor, "g").join(texts.select("key", "content"), "key").where(F.contains("content", "name")).select("key", "name")
+    return posts.join(anchor, "g").join(texts.select("key", "content"), "key").where(F.contains("content", "name")).select("key", "name").distinct()
 
 
 def with_mentions(texts: DataFrame, names: DataFrame, least: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bigram_jaccard, strip_images
+from ..operators import batch
 from ..operators import entities as ent
 from ..operators import evidence as evi
 from ..operators import graph as g
@@ -42,10 +43,10 @@ def joined(c: str):
 # ── sections ──
 
 
-@query(r"SELECT doc_id, replace(text || ' ![x](data:image/png;base64,AA==) ', '![x](data:image/png;base64,AA==)', '[图片]') AS content FROM documents")
+@query(r"""SELECT doc_id, replace(text || ' ![](data:image/png;base64,AA==) ![x](data:image/png;base64,AA==) ![](data:image/) ![](a.png)', '![](data:image/png;base64,AA==)', '[图片]') AS content FROM documents""")
 def c1_strip_images(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.table(spark, sf, "documents")
-    return d.select("doc_id", strip_images(F.concat("text", F.lit(" ![x](data:image/png;base64,AA==) "))).alias("content"))
+    return d.select("doc_id", strip_images(F.concat("text", F.lit(" ![](data:image/png;base64,AA==) ![x](data:image/png;base64,AA==) ![](data:image/) ![](a.png)"))).alias("content"))
 
 
 @query()
@@ -152,13 +153,14 @@ def e3_merge_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT s_suppkey AS k, lower(s_name) AS a, lower(c_name) AS b FROM supplier JOIN customer ON c_custkey = s_suppkey),
+WITH p AS (SELECT c_custkey AS k, lower(c_name) AS a, lower(s_name) AS b FROM customer JOIN supplier ON s_suppkey = 1 + c_custkey % (SELECT count(*) FROM supplier)),
 g AS (SELECT k, list_distinct(list_transform(range(1, len(a)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, len(b)), lambda i: substr(b, i, 2))) AS y FROM p)
 SELECT k, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 6) AS likeness FROM g
 """)
 def e4_bigram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     s, c = fx.table(spark, sf, "supplier"), fx.table(spark, sf, "customer")
-    return s.join(c, F.col("c_custkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("k"), F.round(bigram_jaccard("s_name", "c_name"), 6).alias("likeness"))
+    pairs = c.join(s, F.col("s_suppkey") == 1 + F.col("c_custkey") % s.count())
+    return pairs.select(F.col("c_custkey").alias("k"), F.round(bigram_jaccard("c_name", "s_name"), 6).alias("likeness"))
 
 
 NAMES = """n AS (SELECT row_number() OVER (ORDER BY name) AS ord, name FROM (SELECT DISTINCT p_name AS name FROM part UNION SELECT n_name FROM nation UNION SELECT r_name FROM region)),
@@ -367,7 +369,7 @@ def m1_link(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.table(spark, sf, "supplier")
     k = F.col("s_suppkey") % 3
     entities = s.select(F.when(k == 0, F.col("s_name")).when(k == 1, F.concat("s_name", F.lit(" Ltd"))).otherwise(F.concat(F.lit("nobody "), F.col("s_suppkey").cast("string"))).alias("entity"))
-    return rea.link(entities, fx.nodes(spark, sf).where("label in ('Supplier', 'Customer')"))
+    return rea.link(entities, fx.nodes(spark, sf))
 
 
 @query(f"""
@@ -393,31 +395,129 @@ def m5_plan_hop(spark: SparkSession, sf: str) -> DataFrame:
     return rea.plan_hop(keys, steps, fx.edges(spark, sf), fx.nodes(spark, sf)).select("question_id", "node", "other", "type", "level")
 
 
-def chain_edges(spark: SparkSession, sf: str) -> DataFrame:
-    plans = supplier_keys(spark, sf)
-    steps = plans.select("question_id", F.explode(F.array(F.struct(F.lit(0).alias("step"), F.lit("Nation").alias("target_type")), F.struct(F.lit(1).alias("step"), F.lit("Region").alias("target_type")))).alias("s")).select("question_id", "s.step", F.lit("find_neighbors").alias("action"), "s.target_type", F.lit(None).cast("string").alias("relation_hint"), F.lit("out").alias("direction"))
-    return rea.run_plans(plans, steps, fx.edges(spark, sf), fx.nodes(spark, sf))
+#: Regions look for suppliers and nations for parts, both two hops away; others for a label that no node has, or for customers against the edges' direction.
+@query(f"""
+WITH {NODES}, {EDGES},
+rs AS (SELECT n_regionkey AS k, s_suppkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_name, s_suppkey) AS rn FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+np AS (SELECT s_nationkey AS n, 'P' || l_partkey AS p, 'part#' || l_partkey AS name, min('S' || l_suppkey) AS s FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3),
+npr AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY name, p) AS rn FROM np WHERE n % 3 = 0),
+nn AS (SELECT n_nationkey AS n, i.*, row_number() OVER (PARTITION BY n_nationkey ORDER BY m.name, i.type, i.edge_id) AS rn FROM nation JOIN incident i ON i.node = 'N' || n_nationkey JOIN nodes m ON m.node_id = i.other WHERE n_nationkey % 3 = 1),
+nc AS (SELECT c_nationkey AS n, 'C' || c_custkey AS c, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) AS rn FROM customer WHERE c_nationkey % 3 = 2)
+SELECT DISTINCT k AS question_id, 'R' || k AS start, 'R' || k AS node, 'N' || n_nationkey AS other, 'in_region' AS type, 3 AS level FROM rs WHERE rn <= 20
+UNION ALL SELECT k, 'R' || k, 'N' || n_nationkey, 'S' || s_suppkey, 'in_nation', 3 FROM rs WHERE rn <= 20
+UNION ALL SELECT DISTINCT 100 + n, 'N' || n, 'N' || n, s, 'in_nation', 3 FROM npr WHERE rn <= 20
+UNION ALL SELECT 100 + n, 'N' || n, s, p, 'supplies', 3 FROM npr WHERE rn <= 20
+UNION ALL SELECT 100 + n, 'N' || n, node, other, type, 4 FROM nn WHERE rn <= 20
+UNION ALL SELECT 100 + n, 'N' || n, 'N' || n, c, 'in_nation', 3 FROM nc WHERE rn <= 20
+""")
+def m5_nearby(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("question_id")
+    regions = fx.table(spark, sf, "region").select(F.col("r_regionkey").alias("question_id"), F.concat(F.lit("R"), fx.text_of("r_regionkey")).alias("node"), F.lit("Supplier").alias("target_type"), F.lit("both").alias("direction"))
+    nations = nation_keys(spark, sf).select((k + 100).alias("question_id"), "node", F.when(k % 3 == 0, "Part").when(k % 3 == 1, "No such label").otherwise("Customer").alias("target_type"), F.when(k % 3 == 2, "out").otherwise("both").alias("direction"))
+    keys = regions.unionByName(nations).withColumn("relation_hint", F.lit(None).cast("string"))
+    return rea.plan_hop(keys.select("question_id", "node"), keys.drop("node"), fx.edges(spark, sf), fx.nodes(spark, sf)).select("question_id", "start", "node", "other", "type", "level")
+
+
+def supplier_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers with their nation and region as nodes."""
+    n = fx.table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", F.concat(F.lit("R"), fx.text_of("n_regionkey")).alias("region"))
+    return fx.table(spark, sf, "supplier").join(n, "s_nationkey").select(F.col("s_suppkey").alias("question_id"), F.concat(F.lit("S"), fx.text_of("s_suppkey")).alias("node"), "n_name", "region")
 
 
 @query("""
 SELECT s_suppkey AS question_id, 1 AS hop, 'S' || s_suppkey AS node, 'N' || s_nationkey AS other, 'in_nation' AS type FROM supplier
 UNION ALL SELECT s_suppkey, 2, 'N' || s_nationkey, 'R' || n_regionkey, 'in_region' FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT s_suppkey, 2, 'S' || s_suppkey, 'N' || s_nationkey, 'in_nation' FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT s_suppkey, 2, 'S' || s_suppkey, 'R' || n_regionkey, 'in_region' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT s_suppkey, 2, 'N' || s_nationkey, 'R' || n_regionkey, 'in_region' FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """)
 def m6_run_plans(spark: SparkSession, sf: str) -> DataFrame:
-    return chain_edges(spark, sf).select("question_id", "hop", "node", "other", "type")
+    plans = supplier_keys(spark, sf)
+    steps = plans.select("question_id", F.explode(F.array(F.struct(F.lit(0).alias("step"), F.lit("Nation").alias("target_type")), F.struct(F.lit(1).alias("step"), F.lit("Region").alias("target_type")))).alias("s")).select("question_id", "s.step", F.lit("find_neighbors").alias("action"), "s.target_type", F.lit(None).cast("string").alias("relation_hint"), F.lit("out").alias("direction"))
+    return rea.run_plans(plans, steps, fx.edges(spark, sf), fx.nodes(spark, sf)).select("question_id", "hop", "node", "other", "type")
 
 
-@query()
+#: The path from the region (first) to the supplier has two hops, against the edges; the next step, from both, is the third hop. Questions without steps take one plain hop.
+@query(f"""
+WITH {NODES}, {EDGES}, p AS (SELECT s_suppkey AS k, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+plain AS (SELECT s_suppkey AS k, i.*, row_number() OVER (PARTITION BY s_suppkey ORDER BY m.name, i.type, i.edge_id) AS rn FROM supplier JOIN incident i ON i.node = 'S' || s_suppkey JOIN nodes m ON m.node_id = i.other WHERE s_suppkey % 4 = 3),
+near AS (SELECT r, 'N' || n_nationkey AS other FROM (SELECT DISTINCT n_regionkey AS r FROM nation) JOIN nation ON n_regionkey = r)
+SELECT k AS question_id, 1 AS hop, 'R' || r AS node, 'N' || n AS other, 'in_region' AS type FROM p WHERE k % 4 <> 3
+UNION ALL SELECT k, 2, 'N' || n, 'S' || k, 'in_nation' FROM p WHERE k % 4 <> 3
+UNION ALL SELECT k, 3, 'S' || k, 'N' || n, 'in_nation' FROM p WHERE k % 4 = 0
+UNION ALL SELECT k, 3, 'R' || r, other, 'in_region' FROM p JOIN near USING (r) WHERE k % 4 = 0
+UNION ALL SELECT k, 1, node, other, type FROM plain WHERE rn <= 20
+""")
+def m6_paths(spark: SparkSession, sf: str) -> DataFrame:
+    at, k = supplier_places(spark, sf), F.col("question_id")
+    plans = at.where(k % 4 != 3).select("question_id", F.lit(0).alias("ord"), F.col("region").alias("node")).unionByName(at.select("question_id", F.lit(1).alias("ord"), "node"))
+    none = F.lit(None).cast("string")
+    first = at.where(k % 4 != 3).select("question_id", F.lit(0).alias("step"), F.lit("find_by_path").alias("action"), none.alias("target_type"), none.alias("relation_hint"), F.lit("both").alias("direction"))
+    then = at.where(k % 4 == 0).select("question_id", F.lit(1).alias("step"), F.lit("find_neighbors").alias("action"), F.lit("Nation").alias("target_type"), none.alias("relation_hint"), F.lit("both").alias("direction"))
+    return rea.run_plans(plans, first.unionByName(then), fx.edges(spark, sf), fx.nodes(spark, sf)).select("question_id", "hop", "node", "other", "type")
+
+
+@query(f"""
+WITH {NODES}, {EDGES}, p AS (SELECT s_suppkey AS k, 'S' || s_suppkey AS node, 1.0::DOUBLE AS conf FROM supplier),
+x AS (SELECT k, i.node, i.other, i.type, i.edge_id, m.name, conf * i.confidence AS path, row_number() OVER (PARTITION BY k, i.node ORDER BY m.name, i.type, i.edge_id) AS rn FROM p JOIN incident i ON i.node = p.node JOIN nodes m ON m.node_id = i.other),
+y AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path DESC, name, edge_id) AS b FROM x WHERE rn <= 20)
+SELECT k AS question_id, 1 AS hop, node, other, type, edge_id FROM y WHERE b <= 5
+""")
 def m7_run_guided(spark: SparkSession, sf: str) -> DataFrame:
-    out = rea.run_guided(supplier_keys(spark, sf), fx.edges(spark, sf), fx.nodes(spark, sf), hops=2)
+    out = rea.run_guided(supplier_keys(spark, sf), fx.edges(spark, sf), fx.nodes(spark, sf), hops=1)
     return out.select("question_id", "hop", "node", "other", "type", "edge_id")
 
 
+def told(at: DataFrame, then: str) -> DataFrame:
+    """Decisions: to the nation, and from there by edges of the type `then` to a name that no node has."""
+    both = F.array(F.struct(F.lit(1).alias("hop"), F.array(F.col("n_name"), F.lit("nobody")).alias("next_entities"), F.lit(then).alias("relation_filter")), F.struct(F.lit(2).alias("hop"), F.array(F.lit("nobody")).alias("next_entities"), F.lit(None).cast("string").alias("relation_filter")))
+    return at.select("question_id", F.explode(both).alias("d")).select("question_id", "d.hop", F.lit(True).alias("go_on"), "d.next_entities", "d.relation_filter")
+
+
+TOLD = """SELECT s_suppkey AS question_id, 1 AS hop, 'S' || s_suppkey AS node, 'N' || s_nationkey AS other, 'in_nation' AS type FROM supplier
+UNION ALL SELECT s_suppkey, 2, 'N' || s_nationkey, 'R' || n_regionkey, 'in_region' FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+
+
+@query(TOLD)
+def m7_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    at = supplier_places(spark, sf)
+    return rea.run_guided(at, fx.edges(spark, sf), fx.nodes(spark, sf), decisions=told(at, "in_region"), limit=None).select("question_id", "hop", "node", "other", "type")
+
+
+#: At the second hop the edges of the decided type touch no goal, so all types are looked at again.
+@query(TOLD)
+def m7_goals(spark: SparkSession, sf: str) -> DataFrame:
+    at = supplier_places(spark, sf)
+    goals = at.select("question_id", F.col("region").alias("node"))
+    return rea.run_guided(at, fx.edges(spark, sf), fx.nodes(spark, sf), goals=goals, decisions=told(at, "in_nation"), limit=None).select("question_id", "hop", "node", "other", "type")
+
+
 # ── evidence ──
 
 
+def sketch(prompts: list[str]) -> list[str]:
+    """A model for a15_batch: fails on every supplier number that ends in 3."""
+    out = []
+    for p in prompts:
+        name = p.split("## Question\n", 1)[1].split("位于", 1)[0]
+        if name.endswith("3"):
+            raise ValueError("refused")
+        out.append(f"{name} is where its nation is.推理过程:one;two")
+    return out
+
+
+@query(f"""
+WITH {NODES}, {EDGES}, r AS (SELECT s_suppkey AS k, i.confidence, row_number() OVER (PARTITION BY s_suppkey ORDER BY n.name, i.type, i.edge_id) AS rn FROM supplier JOIN incident i ON i.node = 'S' || s_suppkey JOIN nodes n ON n.node_id = i.other),
+c AS (SELECT k, product(confidence) AS c FROM r WHERE rn <= 20 GROUP BY k)
+SELECT s_suppkey AS question_id, CASE WHEN s_suppkey % 10 = 3 THEN 'FAILED' ELSE 'DONE' END AS status, CASE WHEN s_suppkey % 10 <> 3 THEN s_name || ' is where its nation is.' END AS answer,
+  CASE WHEN s_suppkey % 10 <> 3 THEN 'one|two' END AS steps, CASE WHEN s_suppkey % 10 <> 3 THEN round(c + 1e-9, 5) END AS confidence, CASE WHEN s_suppkey % 10 = 3 THEN 'refused' END AS error FROM supplier JOIN c ON k = s_suppkey
+""")
+def a15_batch(spark: SparkSession, sf: str) -> DataFrame:
+    q = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("question_id"), F.concat("s_name", F.lit("位于何处？")).alias("text"))
+    out = batch.answer_batch(q, fx.nodes(spark, sf), fx.edges(spark, sf), sketch)
+    return out.select("question_id", "status", "answer", joined("steps").alias("steps"), F.round(F.col("confidence") + 1e-9, 5).alias("confidence"), "error")
+
+
+
 def order_edges(spark: SparkSession, sf: str) -> DataFrame:
     t = fx.triples(spark, sf)
     return t.select(F.floor(F.col("ord") / 10).alias("question_id"), (F.col("ord") % 10 % 2).cast("int").alias("hop"), "ord", F.col("subject").alias("source"), F.col("predicate").alias("type"), F.col("object").alias("target"), "confidence", F.col("source").alias("source_chunk_id"), F.col("properties")["line"].alias("source_text"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,22 @@ def checked_extension(files: DataFrame, extension: str) -> tuple[DataFrame, Data
     return files.where(ok), files.where(~ok).withColumn("reason", F.lit(f"not {extension}"))
 
 
+def scan_file(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
+    """S3: one file, as scan_directory gives it. FileNotFoundError if it is missing; ValueError if it is a folder or has another extension."""
+    if extension is not None and not path.lower().endswith(extension.lower()):
+        raise ValueError(f"not {extension}: {path}")
+    try:
+        df = scan_directory(spark, path)
+        first = df.select("source_path").first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise
+    if first is None or unquote(first["source_path"]).rstrip("/").rsplit("/", 1)[-1] != path.rstrip("/").rsplit("/", 1)[-1]:
+        raise ValueError(f"not a file: {path}")
+    return df
+
+
 ANNOTATION = "chunk_id string, text string, trace string, entities array<struct<name:string,type:string>>, triples array<struct<subject:string,predicate:string,object:string>>"
 
 
