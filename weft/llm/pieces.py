@@ -122,7 +122,8 @@ class Pieces:
         plain, units, places, offsets = split(texts, (MARK,))
         words = [u if u[0] == "\n" else MARK + u.removeprefix(FIRST) for u in units]
         self.learn(words)
-        ids, at = gather(list(map(self.known.__getitem__, words)), np.dtype("<i4"), places, offsets)
+        data, ends = gather(list(map(self.known.__getitem__, words)), places, offsets)
+        ids, at = np.frombuffer(data, "<i4"), ends.astype(np.int64) // 4
         if plain.all():
             return ids, at
         done = iter([ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])

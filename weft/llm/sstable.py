@@ -29,10 +29,11 @@ import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -41,12 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import partitions, scratch, stage, table
+from .units import gather, split
 
 MAGIC = b"WEFTSST1"
 FOOTER = struct.Struct("<QQQQQQQQ8s")
 BLOCK, RESTART, SHARD, PROBES, BITS = 1 << 16, 16, 64 << 20, 7, 10
-#: Characters that are encoded at a time, and units that are remembered.
-SLICE, CACHE = 4 << 20, 1_600_000
+#: Bytes of text that are encoded at a time, and units that are remembered.
+SLICE, CACHE = 8 << 20, 1_600_000
 #: A unit runs from white space to the next white space. Byte-level pre-tokenization always cuts before white space that follows other characters.
 UNIT = re.compile(r"\s*\S+|\s+")
 #: Punctuation that byte-level pre-tokenization cuts from a letter before it.
@@ -85,17 +87,9 @@ class Encoder:
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """The text's units as cache keys: a unit of one space and a word is the word, a first unit without white space has \x02 before it."""
+        """Units of a text that is not plain, as cache keys: runs of white space and what follows; a first unit without white space has \x02 before it."""
         if not text:
             return []
-        spaced = text.replace("\n", " \n")
-        if "  " not in spaced and "\n\n" not in text and text[-1] not in " \n" and text.replace("\n", "").isprintable():
-            units = spaced.split(" ")
-            if units[0]:
-                units[0] = "\x02" + units[0]
-            else:  # the text starts with white space
-                del units[0]
-            return units
         units = UNIT.findall(text)
         if not units[0][0].isspace():
             units[0] = "\x02" + units[0]
@@ -137,11 +131,7 @@ class Encoder:
         if len(self.tails) > 10_000:
             self.tails.clear()
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = list(map(self.cut, texts))
-        units = list(chain.from_iterable(cut))
-        if len(self.cache) > self.most // 2:  # what the last half did not use goes
-            self.old, self.cache = self.cache, {}
+    def known(self, units: list[str]) -> list[bytes]:
         got = list(map(self.cache.get, units))
         gaps = [i for i, v in enumerate(got) if v is None]
         if gaps:
@@ -149,8 +139,21 @@ class Encoder:
             cache = self.cache
             for i in gaps:
                 got[i] = cache[units[i]]
-        ends = list(accumulate(map(len, cut), initial=0))
-        return [b"".join(got[lo:hi]) + self.end for lo, hi in pairwise(ends)]
+        return got
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        if len(self.cache) > self.most // 2:  # what the last half did not use goes
+            self.old, self.cache = self.cache, {}
+        plain, units, places, offsets = split(texts, tuple(self.whole))
+        data, at = gather(self.known(units), places, offsets)
+        data, at = memoryview(data), at.tolist()
+        out = [b"".join((data[lo:hi], self.end)) for lo, hi in pairwise(at)]
+        if plain.all():
+            return out
+        cut = list(map(self.cut, texts.filter(pa.array(~plain)).to_pylist()))
+        got = iter(self.known(list(chain.from_iterable(cut))))
+        rest, out = iter([b"".join(islice(got, len(us))) + self.end for us in cut]), iter(out)
+        return [next(out) if p else next(rest) for p in plain.tolist()]
 
 
 def varint(n: int) -> bytes:
@@ -328,15 +331,13 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
             made.append((f"{folder}/{path}", id_of(now.keys[0]), len(now.keys), now.tokens))
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
             hi = 0
             while hi < len(ids):
-                lo, size = hi, 0
-                while hi < len(ids) and (hi == lo or size + len(texts[hi] or "") < SLICE):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                values = enc.encode(t or "" for t in texts[lo:hi])
-                for i, v in zip(ids[lo:hi], values, strict=True):
+                lo, before = hi, sizes[hi - 1] if hi else 0
+                hi = max(lo + 1, int(np.searchsorted(sizes, before + SLICE, "right")))
+                for i, v in zip(ids[lo:hi], enc.encode(texts.slice(lo, hi - lo)), strict=True):
                     if now is not None and now.at + len(now.block) >= shard_bytes:
                         close()
                         now = None

@@ -14,27 +14,36 @@ def split(texts: pa.Array, forbidden: tuple[str, ...] = ()) -> tuple[np.ndarray,
     """(plain, units, places, offsets): which texts are plain, their distinct units, and for the plain texts
     units[places[offsets[i]:offsets[i + 1]]].
 
-    Plain texts have single spaces and single line ends inside, no other white space or control characters, and nothing
-    of `forbidden`. Their units: FIRST + word is the first; a unit with a line end in front is as it stands;
-    any other stands for a space and the word.
+    Plain texts are not empty, have single spaces and single line ends inside, no other white space or control characters, and nothing
+    of `forbidden`, which has no white space. Their units: FIRST + word is the first; a unit with a line end in front is as it
+    stands; any other stands for a space and the word. All of that shows in the distinct units, so texts are only cut.
     """
-    ok = pc.and_(pc.utf8_is_printable(pc.replace_substring(texts, "\n", "")), pc.greater(pc.binary_length(texts), 0))
-    for test in (pc.starts_with(texts, " "), pc.starts_with(texts, "\n"), pc.ends_with(texts, " "), pc.ends_with(texts, "\n"), pc.match_substring(texts, "\n\n"), *(pc.match_substring(texts, x) for x in forbidden)):
-        ok = pc.and_not(ok, test)
-    spaced = pc.replace_substring(texts, "\n", " \n")
-    ok = pc.and_not(ok, pc.match_substring(spaced, "  "))
-    ok = pc.fill_null(ok, False)
-    lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST), spaced.filter(ok), ""), " ")
+    spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " \n")
+    lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST), spaced, ""), " ")
     coded = lists.flatten().dictionary_encode()
-    offsets = lists.offsets.to_numpy()
-    return ok.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets - offsets[0]
-
-
-def gather(values: list[bytes], kind: np.dtype, places: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values at places, one behind the other, and where each text's begin and end among them."""
-    n = np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
-    start = np.cumsum(n) - n
-    blob = np.frombuffer(b"".join(values), kind)
-    m = n[places]
-    ends = np.append(0, np.cumsum(m))
-    return blob[np.repeat(start[places] - ends[:-1], m) + np.arange(ends[-1])], ends[offsets]
+    words, places, offsets = coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    front = pc.or_(pc.starts_with(words, "\n"), pc.starts_with(words, FIRST))
+    word = pc.if_else(front, pc.utf8_slice_codeunits(words, 1), words)
+    good = pc.and_(pc.utf8_is_printable(word), pc.greater(pc.binary_length(word), 0))
+    for x in forbidden:
+        good = pc.and_not(good, pc.match_substring(word, x))
+    good = good.to_numpy(zero_copy_only=False)
+    if good.all():
+        return np.ones(len(texts), bool), words.to_numpy(zero_copy_only=False).tolist(), places, offsets
+    plain = np.logical_and.reduceat(good[places], offsets[:-1])
+    n = np.diff(offsets)
+    places = places[np.repeat(plain, n)]
+    used = np.zeros(len(words), bool)
+    used[places] = True
+    at = np.cumsum(used) - 1
+    return plain, words.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist(), at[places], np.append(0, np.cumsum(n[plain]))
+
+
+def gather(values: list[bytes], places: np.ndarray, offsets: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of the values at places, one behind the other, and where each text's begin and end among them."""
+    if not len(places):
+        return pa.py_buffer(b""), np.zeros(len(offsets), np.int32)
+    _, ends, data = pa.array(values, pa.binary()).take(pa.array(places)).buffers()
+    ends = np.frombuffer(ends, np.int32)[: len(places) + 1]
+    return data.slice(0, int(ends[-1])) if data is not None else pa.py_buffer(b""), ends[offsets]
