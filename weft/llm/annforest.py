@@ -31,10 +31,12 @@ from pyspark.sql.window import Window as W
 
 from .common import stage, table
 
-TREES, DEPTH, BLOCK, QUERIES = 24, 16, 8192, 1024
+TREES, BLOCK, QUERIES = 24, 8192, 1024
+#: Bits of a string: enough that a deepest prefix of evenly hashed rows holds one row, between these.
+LEAST_BITS, MOST_BITS = 8, 40
 
 
-def planes(width: int, trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> np.ndarray:
+def planes(width: int, depth: int, trees: int = TREES, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((trees, depth, width + 1))
 
 
@@ -61,13 +63,14 @@ def hashed(classes: DataFrame, planes_: np.ndarray, largest: float) -> DataFrame
                 scale = norm if name == "query" else np.full(n, largest)
                 z = np.column_stack([x / np.maximum(scale, 1e-300)[:, None], added]) @ p.T > 0
                 h = z.reshape(n, trees, depth) @ (1 << np.arange(depth - 1, -1, -1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("c").to_numpy(), trees)), pa.array(np.tile(np.arange(trees), n), pa.int32()), pa.array(h.reshape(-1).astype(np.int32)), pa.array([name] * (n * trees))], names=["c", "tree", "h", "role"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("c").to_numpy(), trees)), pa.array(np.tile(np.arange(trees), n), pa.int32()), pa.array(h.reshape(-1).astype(np.int64)), pa.array([name] * (n * trees))], names=["c", "tree", "h", "role"])
 
-    return classes.select("c", "v").mapInArrow(run, "c long, tree int, h int, role string")
+    return classes.select("c", "v").mapInArrow(run, "c long, tree int, h long, role string")
 
 
-def prefix(h: Column, level: Column) -> Column:
-    return F.shiftright(h, DEPTH - level) if isinstance(level, int) else F.floor(h / F.pow(F.lit(2), F.lit(DEPTH) - level)).cast("int")
+def prefix(h: Column, level: Column | int, depth: int) -> Column:
+    """The first `level` bits of a string of `depth`."""
+    return F.shiftright(h, depth - level) if isinstance(level, int) else F.call_function("shiftright", h, (F.lit(depth) - level).cast("int"))
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.96, least: int = 256, sample: int = 64, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -86,26 +89,27 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.
     classes = stage(small.groupBy("v").agg(F.min("id").alias("c"), F.sort_array(F.collect_list("id")).alias("ids")).select("c", "v", "ids"), "classes")
     asked = stage(rows.where(queries).join(classes.select("c", "v"), "v").select(F.col("id").alias("query_id"), "c"), "asked")
     ask = asked.select("c").distinct()
-    strings = stage(hashed(classes, planes(d), largest), "strings")
+    depth = max(LEAST_BITS, min(MOST_BITS, classes.count().bit_length()))
+    strings = stage(hashed(classes, planes(d, depth), largest), "strings")
     data, probe = strings.where("role = 'row'").drop("role"), strings.where("role = 'query'").drop("role").join(ask, "c", "left_semi")
-    # sizes of all prefixes of all trees; level DEPTH has at most 2^DEPTH * TREES rows, the root has TREES
+    # sizes of all prefixes of all trees; a level has at most as many as there are strings, the root has TREES
     sizes = None
-    for level in range(DEPTH + 1):
-        s = data.groupBy("tree", prefix(F.col("h"), level).alias("p")).agg(F.count("*").alias("n")).select("tree", F.lit(level).alias("level"), "p", "n")
+    for level in range(depth + 1):
+        s = data.groupBy("tree", prefix(F.col("h"), level, depth).alias("p")).agg(F.count("*").alias("n")).select("tree", F.lit(level).alias("level"), "p", "n")
         sizes = s if sizes is None else sizes.unionByName(s)
     sizes = stage(sizes, "sizes")
-    levels = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level")
-    climb = probe.select("c", "tree", "h", levels).select("c", "tree", "level", prefix(F.col("h"), F.col("level")).alias("p")).join(sizes, ["tree", "level", "p"], "left").groupBy("c", "level").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
+    climb = probe.select("c", "tree", "h", levels).select("c", "tree", "level", prefix(F.col("h"), F.col("level"), depth).alias("p")).join(sizes, ["tree", "level", "p"], "left").groupBy("c", "level").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     climb = stage(climb, "climb")
 
-    enough = max(least, fitted(classes, ask, data, probe, climb, k, recall, sample))
+    enough = max(least, fitted(classes, ask, data, probe, climb, k, recall, sample, depth))
     stop = climb.where(F.col("n") >= enough).groupBy("c").agg(F.max("level").alias("level"))
     stop = ask.join(stop, "c", "left").select("c", F.coalesce("level", F.lit(0)).alias("level"))
-    # where queries stop, rows and queries of one prefix meet in blocks
-    asks = probe.join(stop, "c").select("c", "tree", "level", prefix(F.col("h"), F.col("level")).alias("p"))
+    # where queries stop, rows and queries of one prefix meet in blocks; the root is the same in all trees, so one stands for it
+    asks = probe.join(stop, "c").where("level > 0 or tree = 0").select("c", "tree", "level", prefix(F.col("h"), F.col("level"), depth).alias("p"))
     asks = asks.join(sizes.select("tree", "level", "p", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["tree", "level", "p"])
     used = asks.groupBy("tree", "level", "p", "blocks").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    row_side = data.join(used.select("tree", "level").distinct(), "tree").select("c", "tree", "level", prefix(F.col("h"), F.col("level")).alias("p")).join(used, ["tree", "level", "p"])
+    row_side = data.join(used.select("tree", "level").distinct(), "tree").select("c", "tree", "level", prefix(F.col("h"), F.col("level"), depth).alias("p")).join(used, ["tree", "level", "p"])
     row_side = row_side.select("c", "tree", "level", "p", F.pmod(F.xxhash64("c"), F.col("blocks")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("q"), F.lit(0).alias("ask"))
     ask_side = asks.join(used.select("tree", "level", "p", "parts"), ["tree", "level", "p"]).select("c", "tree", "level", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("b"), F.pmod(F.xxhash64("c"), F.col("parts")).alias("q"), F.lit(1).alias("ask"))
     both = row_side.unionByName(ask_side).join(classes.select("c", "v"), "c")
@@ -134,7 +138,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.
     return out.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def fitted(classes: DataFrame, ask: DataFrame, data: DataFrame, probe: DataFrame, climb: DataFrame, k: int, recall: float, sample: int) -> int:
+def fitted(classes: DataFrame, ask: DataFrame, data: DataFrame, probe: DataFrame, climb: DataFrame, k: int, recall: float, sample: int, depth: int) -> int:
     """How many candidates, trees added up, the ascent needs to meet `recall` of the true neighbours of at most `sample` queries."""
     picked = ask.orderBy(F.xxhash64("c"), "c").limit(sample).join(classes.select("c", "v"), "c").collect()
     if not picked:
@@ -159,7 +163,7 @@ def fitted(classes: DataFrame, ask: DataFrame, data: DataFrame, probe: DataFrame
     # the level at which each true neighbour is met: its longest common prefix over the trees
     meets = near.join(data.select("c", "tree", F.col("h").alias("hx")), "c").join(probe.select(F.col("c").alias("q"), "tree", "h"), ["q", "tree"])
     x = F.col("h").bitwiseXOR(F.col("hx"))
-    lcp = F.when(x == 0, F.lit(DEPTH)).otherwise(F.lit(DEPTH - 1) - F.floor(F.log2(x.cast("double"))).cast("int"))
+    lcp = F.when(x == 0, F.lit(depth)).otherwise(F.lit(depth - 1) - F.floor(F.log2(x.cast("double"))).cast("int"))
     needs = meets.groupBy("q", "c").agg(F.max(lcp).alias("level")).join(climb.select(F.col("c").alias("q"), "level", "n"), ["q", "level"])
     counts = sorted(r["n"] for r in needs.select("n").collect())  # at most sample * k
     return counts[min(len(counts) - 1, int(np.ceil(recall * len(counts))) - 1)] if counts else 0
