@@ -14,13 +14,14 @@ visible text in order:
 
 Nulls and odd input: a null or empty page gives an empty text; broken markup is read as far as it goes, a `<` that opens no tag
 is text; an empty table gives an empty result; rows that repeat an id are rendered each for itself. The work is linear
-in the page, but for tables, whose padding is that of the output.
+in the page, however deep it is nested, but for tables: padding is that of the output, and a wide cell takes as many steps as columns, at most 1000.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -58,6 +59,8 @@ SCOPE = frozenset(("table", "td", "th", "caption", "html", "template", "button")
 HEAD = frozenset("head title meta link base style script template noscript".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: What is open at the end of a page without a further ">".
+UNENDED = re.compile(r"<!|<\?|</[a-zA-Z]")
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 GONE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -88,63 +91,91 @@ class Node:
         return not GONE.search(self.attr("style") or "")
 
 
+class Open:
+    """The open elements, and for each tag where it stands among them, so that no look-up walks the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, n: int) -> None:
+        """Close all but the first n."""
+        while len(self.nodes) > n:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost of tags below the root, 0 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def first_after(self, tags: Iterable[str], place: int) -> int | None:
+        """The place of the outermost of tags behind `place`."""
+        found = [p[i] for t in tags if (p := self.places.get(t)) and (i := bisect_right(p, place)) < len(p)]
+        return min(found, default=None)
+
+
 def parse(html: str) -> Node:
     root = Node("html")
     body = None
-    stack = [root]
+    stack = Open(root)
     at, n = 0, len(html)
+    whole = html.rfind(">") + 1  # behind it no tag ends
 
     def text(s: str) -> None:
         nonlocal body
         if not s:
             return
-        if len(stack) == 1 or stack[-1].tag == "head":
+        if len(stack.nodes) == 1 or stack.nodes[-1].tag == "head":
             if not s.strip(" \t\n\r\f"):
                 return
             open_body()
-        stack[-1].children.append(s)
+        stack.nodes[-1].children.append(s)
 
     def open_body() -> None:
         nonlocal body
         if body is None:
             body = Node("body")
             root.children.append(body)
-        del stack[1:]
-        stack.append(body)
+        stack.cut(1)
+        stack.push(body)
 
     def close(tags: tuple[str, ...], bounds: frozenset) -> None:
-        """Close the outermost of tags that is open inside the bounds, with all in it."""
-        found = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
-                break
-            if stack[i].tag in tags:
-                found = i
-                if len(tags) == 1:
-                    break
-        if found is not None:
-            del stack[found:]
+        """Close the outermost of tags that is open inside the bounds (of a single tag the innermost), with all in it."""
+        bound = stack.last(bounds)
+        found = stack.first_after(tags, bound) if len(tags) > 1 else max(stack.last(tags), bound)
+        if found is not None and found > bound:
+            stack.cut(found)
 
     while at < n:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, whole) if at < whole else UNENDED.search(html, at)
         if m is None:
-            text(unescape(html[at:]))
-            break
+            text(unescape(html[at : max(at, whole)]))
+            at = max(at, whole)
+            if at == whole < n and UNENDED.search(html, at) is None:
+                text(unescape(html[at:]))
+                break
+            if at >= n:
+                break
+            continue
         if m.start() > at:
             text(unescape(html[at : m.start()]))
         at = m.end()
+        if m.re is UNENDED or (html.startswith("<!--", m.start()) and not m[0].endswith("-->")):
+            break  # a comment or tag to the end of the page
         if m[1]:
             tag = m[1].lower()
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                stack.nodes[-1].children.append(Node("br"))
             elif tag not in ("html", "body") and tag not in VOID:
+                place = stack.last((tag,))
                 bounds = frozenset() if tag in ("table", "td", "th", "tr", "tbody", "thead", "tfoot", "caption") else SCOPE
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in bounds or (tag not in BLOCK and tag not in CELLS and stack[i].tag in CELLS):
-                        break
+                if tag not in BLOCK and tag not in CELLS:
+                    bounds = bounds | CELLS
+                if place > stack.last(bounds - {tag}):
+                    stack.cut(place)
             continue
         tag = (m[2] or m[4] or "").lower()
         if not tag:
@@ -157,19 +188,19 @@ def parse(html: str) -> Node:
             if body is None:
                 body = Node("body", attrs)
                 root.children.append(body)
-            del stack[1:]
-            stack.append(body)
+            stack.cut(1)
+            stack.push(body)
             continue
-        if len(stack) == 1 and tag not in HEAD or stack[-1].tag == "head" and tag not in HEAD:
+        if len(stack.nodes) == 1 and tag not in HEAD or stack.nodes[-1].tag == "head" and tag not in HEAD:
             open_body()
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in ENDS_P:
             close(("p",), SCOPE)
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack[-1].tag):
-            stack.pop()
+        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack.nodes[-1].tag):
+            stack.cut(len(stack.nodes) - 1)
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(html, at)
             stop = end.start() if end else n
@@ -177,7 +208,7 @@ def parse(html: str) -> Node:
             node.children.append(unescape(raw) if tag in ("textarea", "title") else raw)
             at = end.end() if end else n
         elif tag not in VOID and not (attrs.endswith("/") and tag in ("path", "use")):
-            stack.append(node)
+            stack.push(node)
     return root
 
 
@@ -250,32 +281,46 @@ def number(s: str | None, default: int, most: int) -> int:
     return max(1, min(most, int(m[1]))) if m else default
 
 
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sorted spans, with neighbours that end with the same row as one."""
+    out = spans[:1]
+    for lo, hi, until in spans[1:]:
+        if lo <= out[-1][1] and until == out[-1][2]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]), until)
+        else:
+            out.append((lo, hi, until))
+    return out
+
+
 def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Rows of cells (lines, column span, row span) as aligned lines."""
     placed: list[dict[int, list[str]]] = []
-    busy: dict[tuple[int, int], bool] = {}
+    spans: list[tuple[int, int, int]] = []  # columns from, to, that cells above take up before row `until`; sorted, apart
     widths: dict[int, int] = {}
     wide: list[tuple[int, int, int]] = []
     for r, cells in enumerate(rows):
-        c, row = 0, {}
+        spans = [x for x in spans if x[2] > r]
+        c, row, at, new = 0, {}, 0, []
         for lines, cs, rs in cells:
-            while (r, c) in busy:
-                c += 1
+            while at < len(spans) and spans[at][0] <= c:
+                c = max(c, spans[at][1])
+                at += 1
             row[c] = lines
             w = max(map(len, lines), default=0)
             if cs == 1:
                 widths[c] = max(widths.get(c, 0), w)
             else:
                 wide.append((c, cs, w))
-                for k in range(c, c + cs):
-                    widths.setdefault(k, 0)
-            for k in range(1, min(rs, len(rows) - r)):
-                for j in range(c, c + cs):
-                    busy[r + k, j] = True
+                widths.setdefault(c, 0)
+                widths.setdefault(c + cs - 1, 0)
+            if rs > 1 and r + 1 < len(rows):
+                new.append((c, c + cs, min(r + rs, len(rows))))
             c += cs
+        if new:
+            spans = joined(sorted(spans + new))
         placed.append(row)
     for c, cs, w in wide:  # what a wide cell needs more goes to its last column
-        have = sum(widths[k] for k in range(c, c + cs)) + 2 * (cs - 1)
+        have = sum(widths.get(k, 0) for k in range(c, c + cs)) + 2 * (cs - 1)
         widths[c + cs - 1] += max(0, w - have)
     start, x = {}, 0
     for c in sorted(widths):
