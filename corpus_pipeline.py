@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import langid, minhash, mixing, pieces, suffixarray
-from weft.llm.common import fresh, stage, table
+from weft.llm.common import bounded, fresh, stage, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; `und` and predictions under 0.5 go. All columns stay as they are."""
+    bounded(spark)
     names = fresh(docs, "lang_pred"), fresh(docs, "score")
     told = langid.predict(docs, langid.train(docs), names=names)
     return told.where((F.col(names[0]) != "und") & (F.col(names[1]) >= 0.5)).select(*docs.columns)
@@ -45,6 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """piece_ids and n_pieces of each document, and whether they give back its text, round_trip; columns of these names are replaced."""
+    bounded(spark)
     names = fresh(docs, "ids"), fresh(docs, "back")
     out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), names=names)
     new = {"piece_ids": F.col(names[0]), "n_pieces": F.size(names[0]).cast("long"), "round_trip": F.col(names[1]) == F.coalesce("text", F.lit(""))}

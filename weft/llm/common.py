@@ -17,8 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 LABELS = 10_000
 
 
+#: Bytes of an Arrow batch, at most. Texts are long, and a task has several copies of a batch.
+BATCH = 8 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH bytes; a smaller bound of its own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH:
+        spark.conf.set(name, str(BATCH))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +55,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    spark, path = bounded(df.sparkSession), scratch(df.sparkSession, name)
     df.write.parquet(path)
     # shuffle files of what ran go when the driver forgets it; on a quiet driver that can take long
     gc.collect()

@@ -11,7 +11,8 @@ documents under the threshold twice.
 
 Nulls, ties and empty input: a null text has size 0; a null source is a source of
 its own, weighed last; rows with one id share a hash and are taken or left
-together; a null id hashes as the empty text; an empty table gives an empty result.
+together; a null id hashes as the empty text; an empty table gives an empty result; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, stage, table
+from .common import WORD, fresh, stage, table
 
 BITS, LEVELS = 12, 5
 
@@ -94,12 +95,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
+    """docs with each row as often as the mix takes it; its columns may have any names."""
     sized = stage(docs.select(F.col(source).alias("source"), n_words(text).alias("size"), id_hash(doc_id).alias("h")), "sizes")
-    chosen = plan(sized, **options).select(F.col("k").alias("_k"), "base", "bound").toDF("_k", "_base", "_bound")
-    rows = docs.select("*", F.struct(F.col(source).isNull().alias("n"), F.coalesce(F.col(source), F.lit("")).alias("s")).alias("_k")).join(chosen, "_k")
-    times = F.col("_base") + (id_hash(doc_id) <= F.col("_bound")).cast("int")
-    return rows.select(*docs.columns, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias("_n")).drop("_n")
+    k, base, bound, n = (fresh(docs, x) for x in ("_k", "_base", "_bound", "_n"))
+    chosen = plan(sized, **options).select("k", "base", "bound").toDF(k, base, bound)
+    rows = docs.select("*", F.struct(F.col(source).isNull().alias("n"), F.coalesce(F.col(source), F.lit("")).alias("s")).alias(k)).join(chosen, k)
+    times = F.col(base) + (id_hash(doc_id) <= F.col(bound)).cast("int")
+    return rows.select(*docs.columns, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias(n)).drop(n)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
