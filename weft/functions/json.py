@@ -11,11 +11,12 @@ FENCE = r"(?s)```(?:json|JSON)?\s*(.*?)```"
 
 
 def strict(t: Column) -> Column:
-    """The value if t is one JSON text and nothing else."""
+    """The value if t is one JSON text and nothing else: one item as an array, and one field as an object."""
 
     def one(x: Column) -> Column:
-        alone = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")) == 1
-        return F.when((x != "") & alone & F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}"))).isNotNull(), F.try_parse_json(x))
+        item = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+        field = F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}")))
+        return let(item, lambda p: F.when((x != "") & (F.size(F.try_variant_get(p, "$", "array<variant>")) == 1), F.when(field.isNotNull(), F.try_variant_get(p, "$[0]", "variant"))))
 
     return let(t, one)
 
@@ -90,7 +91,7 @@ def array_in(t: Column) -> Column:
             _between(x, first, last_of(x, "]")),
             F.when((first > 0) & (last_of(x, "}") > first), F.concat(_between(x, first, last_of(x, "}")), F.lit("]"))).otherwise(""),
         ]
-        return let(_first(F.array(*texts), strict), lambda v: F.when(is_array(v), v))
+        return let(_first(texts, strict), lambda v: F.when(is_array(v), v))
 
     return let(t, tries)
 
@@ -99,12 +100,19 @@ def object_in(t: Column) -> Column:
     """The object in a response: fenced, whole, or first to last brace."""
 
     def tries(x: Column) -> Column:
-        texts = F.array(strip(F.regexp_extract(x, FENCE, 1)), x, _between(x, F.locate("{", x), last_of(x, "}")))
+        texts = [strip(F.regexp_extract(x, FENCE, 1)), x, _between(x, F.locate("{", x), last_of(x, "}"))]
         return _first(texts, lambda c: let(strict(c), lambda v: F.when(is_object(v), v)))
 
     return let(t, tries)
 
 
-def _first(texts: Column, read) -> Column:
-    """The first text that can be read."""
-    return F.get(F.filter(F.transform(texts, read), lambda v: v.isNotNull()), F.lit(0))
+def _first(texts: list[Column], read) -> Column:
+    """The first text that can be read; those behind it are neither cut out nor parsed."""
+
+    def or_else(rest: Column | None):
+        return lambda v: v if rest is None else F.coalesce(v, rest)
+
+    out = None
+    for t in reversed(texts):
+        out = let(read(t), or_else(out))
+    return out
