@@ -24,6 +24,7 @@ table has no shards and an empty result.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -48,7 +49,7 @@ MAGIC = b"WEFTSST1"
 FOOTER = struct.Struct("<QQQQQQQQ8s")
 BLOCK, RESTART, SHARD, PROBES, BITS = 1 << 16, 16, 64 << 20, 7, 10
 #: Bytes of text that are encoded at a time, and units that are remembered.
-SLICE, CACHE = 8 << 20, 1_600_000
+SLICE, CACHE = 8 << 20, 2_400_000
 #: A unit runs from white space to the next white space. Byte-level pre-tokenization always cuts before white space that follows other characters.
 UNIT = re.compile(r"\s*\S+|\s+")
 #: Punctuation that byte-level pre-tokenization cuts from a letter before it.
@@ -75,15 +76,15 @@ class Encoder:
     def _alone(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _joined(self, units: list[str]) -> list[bytes]:
-        """Units that start with white space are encoded as one text and cut apart by the bytes that each id covers."""
-        text = "".join(units)
+    def _joined(self, units: list[str], space: str) -> list[bytes]:
+        """Units that start with white space, of which `space` is not written out in them, are encoded as one text and cut apart by the
+        bytes that each id covers."""
+        text = space + space.join(units)
         raw = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
-        n = map(len, units) if text.isascii() else map(len, map(str.encode, units))
-        ends = np.cumsum(np.fromiter(n, np.int64, len(units)))
-        cuts = ((np.searchsorted(np.cumsum(self.length[raw]), ends) + 1) * self.type.itemsize).tolist()
+        n = np.fromiter(map(len, units) if text.isascii() else map(len, map(str.encode, units)), np.int64, len(units))
+        cuts = ((np.searchsorted(np.cumsum(self.length[raw]), np.cumsum(n + len(space))) + 1) * self.type.itemsize).tolist()
         raw = raw.tobytes()
-        return [raw[lo:hi] for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return [raw[lo:hi] for lo, hi in pairwise([0, *cuts])]
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -103,31 +104,39 @@ class Encoder:
         """Put units into the cache. A unit that ends in a letter and then punctuation is the ids of its word and those of the punctuation, as
         pre-tokenization cuts there; so words are encoded once for all that may follow them."""
         cache, old = self.cache, self.old
-        again = [u for u in new if u in old]
-        cache.update((u, old[u]) for u in again)
-        new.difference_update(again)
-        whole, ended, tails = set(), [], set()
+        if old:
+            again = new.intersection(old)
+            cache.update(zip(again, map(old.__getitem__, again), strict=True))
+            new.difference_update(again)
+        ended, spaced, lined, alone, tails = {}, set(), set(), set(), set()
         for u in new:
             word = u.rstrip(TAIL)
-            if word and word != u and word[-1].isalpha() and word[-1] < "\u0250":
-                ended.append((u, word, u[len(word) :]))
-                if word not in cache:
-                    whole.add(word)
+            if word != u and word and word[-1].isalpha() and word[-1] < "\u0250":
+                ended[u] = word
                 tails.add(u[len(word) :])
+                if word in cache or word in old:
+                    cache.setdefault(word, old.get(word))
+                    continue
+                u = word
+            if not u[0].isspace() and u[0] != "\x02":
+                spaced.add(u)
+            elif u[0] == "\x02" or u[-1].isspace():
+                alone.add(u)
             else:
-                whole.add(u)
-        again = [u for u in whole if u in old]
-        cache.update((u, old[u]) for u in again)
-        whole.difference_update(again)
-        special = any(w in u for w in self.whole for u in whole)
-        joined = [u for u in whole if u[0] != "\x02" and not u[-1].isspace() and not (special and any(w in u for w in self.whole))]
-        alone = list(whole.difference(joined))
-        for part, f in ((joined, self._joined), (alone, self._alone)):
+                lined.add(u)
+        for w in self.whole:  # whole ids end what is joined
+            for part in (spaced, lined):
+                odd = {u for u in part if w in u}
+                part -= odd
+                alone |= odd
+        for part, f in ((spaced, lambda us: self._joined(us, " ")), (lined, lambda us: self._joined(us, "")), (alone, lambda us: self._alone(list(map(self.unit, us))))):
+            part = list(part)
             for i in range(0, len(part), 8192):
-                cache.update(zip(part[i : i + 8192], f(list(map(self.unit, part[i : i + 8192]))), strict=True))
+                cache.update(zip(part[i : i + 8192], f(part[i : i + 8192]), strict=True))
         tails = list(tails.difference(self.tails))
         self.tails.update(zip(tails, self._alone(tails), strict=True))
-        cache.update((u, cache[word] + self.tails[tail]) for u, word, tail in ended)
+        for u, word in ended.items():
+            cache[u] = cache[word] + self.tails[u[len(word) :]]
         if len(self.tails) > 10_000:
             self.tails.clear()
 
@@ -142,6 +151,13 @@ class Encoder:
         return got
 
     def encode(self, texts: pa.Array) -> list[bytes]:
+        gc.disable()  # the search for cycles would walk millions of units, which have none
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
         if len(self.cache) > self.most // 2:  # what the last half did not use goes
             self.old, self.cache = self.cache, {}
         plain, units, places, offsets = split(texts, tuple(self.whole))
