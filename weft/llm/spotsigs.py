@@ -17,11 +17,13 @@ Rows that repeat an id follow each other in the order of their texts; null ids c
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stage, table
+from .common import fresh, stage, table
 
 #: Anchors: frequent function words of English, French, German and Spanish.
 ANCHORS = """
@@ -31,7 +33,7 @@ am auf das dem den der die ein eine er für ich im ist mit nicht sich sie und vo
 al con del el lo los no por su y
 """.split()
 
-MOST_BUCKETS, BUCKET_ROWS = 4096, 2000
+MOST_BUCKETS, BUCKET_ROWS = 1 << 16, 2000
 
 
 def spot_signatures(text: Column, chain: int = 2, distance: int = 1) -> Column:
@@ -83,7 +85,8 @@ def with_next(rows: DataFrame, key: str, text: str, carried: list[str]) -> DataF
     """rows with next_<column> from the row after it, by descending key; after the last comes the first.
 
     Rows are dealt to key ranges and each range looks ahead within itself; the first row of the next
-    lower range is also dealt to it. Ranges and their first keys are at most 4096 numbers.
+    lower range is also dealt to it. A range has about BUCKET_ROWS rows, or one in MOST_BUCKETS of a larger table, which its sort may
+    spill; ranges and their first keys are that many numbers. Columns of rows may have any names but those of the result.
     """
     k = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     keys = rows.select(k.alias("k"))
@@ -92,21 +95,27 @@ def with_next(rows: DataFrame, key: str, text: str, carried: list[str]) -> DataF
     bits = max(1, (want - 1).bit_length())
     cuts = keys.agg(F.percentile_approx("k", [i / want for i in range(1, want)], 10 * want).alias("c")).first()["c"] if want > 1 and n else []
     cuts = sorted(set(cuts or []))
-    padded = F.array(*[F.lit(c).cast("long") for c in cuts + [(1 << 63) - 1] * ((1 << bits) - len(cuts))])
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
+    padded = numbers(cuts + [(1 << 63) - 1] * ((1 << bits) - len(cuts)))
+    steps = numbers([1 << b for b in reversed(range(bits))], "int")
     # the number of cuts under the key, by halving
     bucket = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(padded, at + s - 1) < k, at + s).otherwise(at))
     firsts = {r["b"]: r["m"] for r in rows.select(k.alias("k"), bucket.alias("b")).groupBy("b").agg(F.max("k").alias("m")).collect()}
     filled = sorted(firsts)
     above = {b: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
     top = max(filled, default=0)
-    first = F.array(*[F.lit(firsts.get(b)).cast("long") for b in range(top + 1)])
-    upper = F.array(*[F.lit(above.get(b)).cast("int") for b in range(top + 1)])
-    dealt = rows.withColumns({"_k": k, "_b": bucket})
-    dealt = dealt.withColumn("_to", F.explode(F.filter(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("extra")), F.when(F.col("_k") == F.get(first, F.col("_b")), F.struct(F.get(upper, F.col("_b")).alias("b"), F.lit(1).alias("extra")))), lambda x: x.isNotNull())))
-    dealt = dealt.withColumns({"_b": F.col("_to.b"), "_extra": F.col("_to.extra")}).drop("_to")
-    order = W.partitionBy("_b").orderBy("_extra", F.col("_k").desc(), text)
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("_extra = 0").drop("_k", "_b", "_extra")
+    first = numbers([firsts.get(b) for b in range(top + 1)])
+    upper = numbers([above.get(b) for b in range(top + 1)], "int")
+    k_, b_, to, extra = (fresh(rows, x) for x in ("_k", "_b", "_to", "_extra"))
+    dealt = rows.withColumns({k_: k, b_: bucket})
+    dealt = dealt.withColumn(to, F.explode(F.filter(F.array(F.struct(F.col(b_).alias("b"), F.lit(0).alias("extra")), F.when(F.col(k_) == F.get(first, F.col(b_)), F.struct(F.get(upper, F.col(b_)).alias("b"), F.lit(1).alias("extra")))), lambda x: x.isNotNull())))
+    dealt = dealt.withColumns({b_: F.col(f"{to}.b"), extra: F.col(f"{to}.extra")}).drop(to)
+    order = W.partitionBy(b_).orderBy(extra, F.col(k_).desc(), text)
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where(F.col(extra) == 0).drop(k_, b_, extra)
+
+
+def numbers(xs: list[int | None], kind: str = "bigint") -> Column:
+    """A constant array, as one literal."""
+    return F.from_json(F.lit(json.dumps(xs)), f"array<{kind}>")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chain: int = 2, distance: int = 1) -> DataFrame:
