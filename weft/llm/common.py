@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -53,13 +54,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def tidy(spark: SparkSession, every: float = 3.0) -> None:
+    """Shuffle files of what ran go when the driver forgets it; on a quiet driver that can take long. At most once in `every` seconds."""
+    if time.monotonic() - getattr(tidy, "last", -every) >= every:
+        gc.collect()
+        spark._jvm.System.gc()
+        tidy.last = time.monotonic()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark, path = bounded(df.sparkSession), scratch(df.sparkSession, name)
     df.write.parquet(path)
-    # shuffle files of what ran go when the driver forgets it; on a quiet driver that can take long
-    gc.collect()
-    spark._jvm.System.gc()
+    tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
