@@ -93,8 +93,10 @@ def candidate_pairs(entities: DataFrame, least: float, verified: bool = False) -
     df = posts.groupBy("x").agg(F.count("*").alias("df"))
     rank = F.row_number().over(W.partitionBy("ord").orderBy("df", "x"))
     prefix = posts.join(df, "x").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    p, q = prefix.select(F.col("ord").alias("a"), "x", F.col("n").alias("na")), prefix.select(F.col("ord").alias("b"), "x", F.col("n").alias("nb"))
-    near = p.join(q, "x").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b")
+    p, q = (prefix.select(F.col("ord").alias(i), "x", F.col("n").alias(f"n{i}"), F.col("r").alias(f"r{i}")) for i in ("a", "b"))
+    # lengths, and what can still be shared behind the first bigram in common
+    rest = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    near = p.join(q, "x").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (rest >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)).select("a", "b")
     if verified:
         x, y = F.col("x"), F.col("y")
         near = near.distinct().join(grams.select(F.col("ord").alias("a"), F.col("g").alias("x")), "a").join(grams.select(F.col("ord").alias("b"), F.col("g").alias("y")), "b")
