@@ -297,6 +297,7 @@ def removed(rows, length=100):
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_suffix_array_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixarray, "HOT", hot)
+    monkeypatch.setattr(suffixarray, "CROWD", hot)
     rng = random.Random(11)
     base = ["".join(rng.choice("abcdeé  ") for _ in range(400)) for _ in range(4)]
     rows = []
