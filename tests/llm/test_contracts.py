@@ -138,6 +138,12 @@ def test_op10(spark):
     assert same >= 0.9 * len(pages)  # the plain reader knows no implied end tags
 
 
+def test_html_drawings_and_formulas():
+    svg = '<p>See<svg viewBox="0 0 1 1"><title>t</title><defs><text>d</text></defs><rect width="1"/><text>one</text><text>two<tspan>!</tspan></text></svg>end'
+    assert htmltext.render(svg) == "See one two! end"
+    assert htmltext.render("<p>If <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></mrow><annotation>x=1</annotation></semantics></math>, stop.") == "If x=1 , stop."
+
+
 def test_html_is_linear():
     assert htmltext.render("<p>" + "<div>" * 50_000 + "x") == "x"
     assert htmltext.render("<table>" + "<tr><td colspan=1000 rowspan=65534>a" * 300).split() == ["a"] * 300

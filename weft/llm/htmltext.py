@@ -5,7 +5,8 @@ tags that an open paragraph, list item, definition, option, row, cell or row gro
 what stands open inside, and stray end tags that are ignored. The renderer walks the tree without recursion and emits all
 visible text in order:
 
-* not visible: head matter, scripts, styles, templates and the like; `hidden`; `display:none` or `visibility:hidden`
+* not visible: head matter, scripts, styles, templates and the like, what objects, canvas, audio and video hold for browsers without
+  them; titles, descriptions and definitions of drawings, and annotations of formulas, whose labels and symbols are text; `hidden`; `display:none` or `visibility:hidden`
   in a style attribute; hidden inputs; comments;
 * inline white space collapses; blocks begin and end lines, and paragraphs, headings, lists, quotes, tables and preformatted
   text have a blank line around them; `br` breaks; preformatted text is kept as it is; `hr` is a rule;
@@ -33,12 +34,14 @@ from .common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object svg math canvas audio video datalist".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object canvas audio video datalist desc defs metadata annotation annotation-xml".split())
 #: Blocks, and of these the ones with a blank line around them.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul caption xmp".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul xmp".split())
 LISTS = frozenset(("ul", "ol", "menu", "dir"))
 CELLS = frozenset(("td", "th"))
+#: In these, tags can close themselves.
+FOREIGN = frozenset(("svg", "math"))
 #: An opening tag closes these if they are open, looking no further out than the bounds.
 CLOSES = {
     "li": (("li",), LISTS),
@@ -207,7 +210,7 @@ def parse(html: str) -> Node:
             raw = html[at:stop]
             node.children.append(unescape(raw) if tag in ("textarea", "title") else raw)
             at = end.end() if end else n
-        elif tag not in VOID and not (attrs.endswith("/") and tag in ("path", "use")):
+        elif tag not in VOID and not (attrs.endswith("/") and (tag in FOREIGN or stack.last(FOREIGN))):
             stack.push(node)
     return root
 
@@ -371,6 +374,8 @@ def render(html: str | None) -> str:
                 continue
             if tag in VOID:
                 continue
+            if tag in ("text", "foreignobject", "math"):  # a drawing's labels, and formulas, stand apart
+                out.text(" ")
             todo.append((node, True))
             if tag in CELLS and tables:
                 if not tables[-1]:
@@ -405,6 +410,8 @@ def render(html: str | None) -> str:
                 out.indent += 2
             todo.extend((c, False) for c in reversed(node.children))
             continue
+        if tag in ("text", "foreignobject", "math"):
+            out.text(" ")
         if tag in ("pre", "xmp", "textarea"):
             pre -= 1
         if tag in CELLS and tables:
