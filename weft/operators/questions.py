@@ -18,9 +18,10 @@ RELATION = ["关系", "关联", "有什么联系"]
 ENTITY = ["哪些", "有哪些", "列出", "列举"]
 HINTS = ["使用", "包含", "属于", "连接", "支持", "关联", "导致", "引起", "促进", "抑制", "损伤", "发展为", "诱发", "加剧", "缓解", "依赖", "影响"]
 INTENTS = ["FIND_ENTITY", "FIND_RELATION", "FIND_PATH", "COUNT", "COMPARE", "EXPLAIN", "LIST"]
-#: What splits a question into fragments, words that are no fragment, particles at a fragment's ends.
+#: What splits a question into fragments, words that are no fragment, particles at a fragment's ends. Words of one
+#: character are left out, as a fragment has two at least.
 SPLIT = r"(?U)[？?！!。，,、；;：:\s]|如何|怎么|怎样|什么|为什么|通过|之间|发展为|导致|引起"
-STOP = "如何 怎么 怎样 什么 为什么 是否 是不是 能否 能不能 可以 通过 之间 有没有 哪些 多少 有几 有多少".split()
+STOP = ["如何", "怎么", "怎样", "什么", "为什么", "是否", "是不是", "能否", "能不能", "可以", "通过", "之间", "有没有", "哪些", "多少", "有几", "有多少"]
 LEAD, TAIL = "^[的了吗呢啊吧呀和与或及到在是将把被从对向为]", "[的了吗呢啊吧呀]$"
 #: Names in Latin letters: acronyms, mixed case, X-1, G.709, measures.
 LATIN = [r"[A-Z]{2,}(?:-[A-Z0-9]+)*", r"[A-Z][a-zA-Z]*[A-Z][a-zA-Z]*", r"[A-Z]{1,}[a-z]*-\d+", r"[A-Z]\.\d{2,}", r"\d+(?:\.\d+)?\s*(?:Gb/s|Mb/s|GHz|MHz|kHz|TB|GB|MB|KB)"]
