@@ -33,7 +33,7 @@ from .common import stage, table
 
 TREES, BLOCK, QUERIES = 24, 8192, 1024
 #: Bits of a string: enough that a deepest prefix of evenly hashed rows holds one row, between these.
-LEAST_BITS, MOST_BITS = 8, 40
+LEAST_BITS, MOST_BITS = 16, 40
 
 
 def planes(width: int, depth: int, trees: int = TREES, seed: int = 11) -> np.ndarray:
