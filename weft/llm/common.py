@@ -25,7 +25,7 @@ BATCH = 8 << 20
 def bounded(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches of at most BATCH bytes; a smaller bound of its own stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH:  # "64m" is a size too
         spark.conf.set(name, str(BATCH))
     return spark
 
@@ -100,17 +100,37 @@ def fold(doc_id: Column | str, n: int) -> Column:
 
 
 def least_hashes(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """(label, key): of each label the `most` keys with the least hashes. Each task first cuts at twice that many by the label's count, so that
-    few rows reach the window, however many a label has. Labels are few: one row each is broadcast, at most LABELS."""
-    counts = stage(rows.groupBy(label).agg(F.count("*").alias("_n")), "labels").withColumnRenamed(label, "_l")
+    """(label, key): of each label the `most` keys with the least hashes; rows that repeat a pair count once. Each task first cuts at twice
+    that many by the label's count of keys, so that few rows reach the window, however many a label has. Labels are few: one row each is
+    broadcast, at most LABELS."""
+    pairs = stage(rows.select(label, key).distinct(), "pairs")
+    counts = stage(pairs.groupBy(label).agg(F.count("*").alias("_n")), "labels").withColumnRenamed(label, "_l")
     if counts.count() > LABELS:
         raise ValueError(f"over {LABELS} labels")
     share = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
-    cut = rows.join(F.broadcast(counts), rows[label] == F.col("_l")).where(share * F.col("_n") < 2 * most + 50).select(label, key).distinct()
+    cut = pairs.join(F.broadcast(counts), pairs[label] == F.col("_l")).where(share * F.col("_n") < 2 * most + 50).select(label, key)
     order = W.partitionBy(label).orderBy(F.xxhash64(key), key)
     return cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "rank", total: str | None = None) -> DataFrame:
+    """df with each row's place among the rows of its `by`, from 0, in the order of the columns `order`; nulls first, equal rows as they
+    come. `total` adds how many rows the group has. Rows are dealt by ranges and sorted inside tasks, so that no group, however large, meets
+    in one: a row's place is its place in its task behind the counts of the tasks before, one row for each group and task."""
+    at, part, first = (fresh(df, x) for x in ("_at", "_part", "_first"))
+    cols = [*by, *order]
+    lie = df.repartitionByRange(*cols).sortWithinPartitions(*cols) if cols else df
+    lie = stage(lie.withColumn(at, F.monotonically_increasing_id()), "sorted")
+    lie = lie.withColumn(part, F.shiftright(at, 33))
+    before = W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    runs = lie.groupBy(*by, part).agg(F.count("*").alias("_n"), F.min(at).alias("_min"))
+    runs = runs.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(part).alias("_p"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_min")).alias(first), F.sum("_n").over(W.partitionBy(*by)).alias("_total"))
+    same = F.col(part) == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return lie.join(runs, same).select(*df.columns, (F.col(at) + F.col(first)).alias(name), *([F.col("_total").alias(total)] if total else []))
+
+
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(v, c) for every vertex of links(a, b): c is the smallest v that links reach.
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .annforest import op6_ann_forest
 from .htmltext import op10_html_text
+from .importance import op11_importance_resampling
 from .langid import op4_language_id
+from .merkle import op13_merkle_manifest
 from .minhash import op9_minhash_dedup
 from .mixing import op7_mix_sources
 from .pieces import op3_sentencepiece
+from .quality import op12_quality
 from .spotsigs import op2_spotsigs
 from .sstable import op1_token_sstable
 from .suffixarray import op8_suffix_array_dedup
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_text": op10_html_text,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_quality": op12_quality,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {}
