@@ -67,8 +67,12 @@ def test_mentions_match_nested_loop(spark):
     rng = random.Random(5)
     texts = [(i, "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 30)))) for i in range(60)]
     names = list({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(25)})
-    got = {tuple(r) for r in triples.mentions(spark.createDataFrame(texts, "key long, content string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
-    assert got == {(i, n) for i, t in texts for n in names if n in t}
+    want = {(i, n) for i, t in texts for n in names if n in t}
+    texts, names = spark.createDataFrame(texts, "key long, content string"), spark.createDataFrame([(n,) for n in names], "name string")
+    # one automaton, several, and the join beyond them
+    for options in ({}, {"slice_chars": 40}, {"slice_chars": 40, "slices": 1}, {"slice_chars": 5, "slices": 99}):
+        got = triples.mentions(texts, names, **options).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_paths_match_bfs(spark):

@@ -1,37 +1,83 @@
-"""Connected components by least labels, and a written stage to cut lineage between rounds."""
+"""Written stages that cut lineage, and connected components by least labels."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that all executors share, from spark.checkpoint.dir. A local master that names none gets one of its
-    own, as in tests; on a cluster that is an error, as executors do not see each other's disks."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir. A local master that names none gets one of its own, as in tests;
+    on a cluster that is an error, as executors do not see each other's disks."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-weft-"))
-    return df.checkpoint()
+        where = getattr(shared_dir, "own", None)
+        if where is None:
+            where = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="spark-weft-")
+    return where.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weft/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a written stage that nothing reads any more."""
+    path = getattr(df, "_weft_path", None)
+    if path:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Stages:
+    """The stages of one operator: `keep` writes one, `done` writes the result and removes all others."""
+
+    def __init__(self):
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(checkpointed(df))
+        return self.kept[-1]
+
+    def gone(self, *stages: DataFrame) -> None:
+        """Remove these now."""
+        for x in stages:
+            drop(x)
+        self.kept = [x for x in self.kept if not any(x is y for y in stages)]
+
+    def done(self, df: DataFrame) -> DataFrame:
+        out = checkpointed(df)
+        self.gone(*self.kept)
+        return out
 
 
 def connected(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, component): the least vertex that edges(a, b) reach. Labels spread to neighbours, then jump to their label's label."""
     both = edges.select("a", "b").where("a <> b")
-    both = checkpointed(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    own = Stages()
+    both = own.keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(vertices.select("v").distinct().withColumn("component", F.col("v")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near.withColumnRenamed("a", "v"), "v", "left").select("v", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = new.select(F.col("v").alias("component"), F.col("component").alias("j"))
         new = checkpointed(new.join(jump, "component", "left").select("v", F.coalesce("j", "component").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "v").where("component <> old").isEmpty()
+        settled = new.join(labels.withColumnRenamed("component", "old"), "v").where("component <> old").isEmpty()
+        drop(labels)
         labels = new
-        if changed:
+        if settled:
+            own.gone(both)
             return labels
     raise RuntimeError("components did not settle")

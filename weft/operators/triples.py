@@ -2,22 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.text import characters, is_phrase, let, plain_name, strip
+from .components import Stages
 
 #: Lengths of the grams that names are keyed on: the largest that fits.
 GRAMS = (1, 2, 3, 4, 8)
+#: Characters of the names of one automaton (some 100 MB in a worker), and automata at most.
+SLICE, SLICES = 1 << 21, 8
+_automata: dict = {}
 
 
-def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(key, name) for each of texts(key, content) that contains each of names(name), case-sensitively. Exact, and an equi-join:
-    a name is keyed on its rarest gram of 8 characters, shorter names on one of 4 or fewer; texts post the hashes of their grams of the
-    lengths that occur, as far as some name has them, and hits are verified."""
+def mentions(texts: DataFrame, names: DataFrame, slice_chars: int = SLICE, slices: int = SLICES) -> DataFrame:
+    """(key, name) for each of texts(key, content) that contains each of names(name), case-sensitively; blank and null names are in none.
+
+    Names are dealt to slices of at most `slice_chars` characters. A slice becomes an automaton that finds all its names, nested and
+    overlapping ones too, while it reads a text once; so texts are read once a slice. What is broadcast is a slice, whose
+    size is counted before. Over `slices` slices, or where one name alone is too long, the join on rare grams takes over."""
+    n = names.select("name").where("name is not null and name <> ''").distinct()
+    total = n.agg(F.sum(F.length("name") + 1)).first()[0]
+    if not total:
+        return texts.select("key", F.lit("").alias("name")).limit(0)
+    count = -(-total * 4 // (slice_chars * 3)) if total > slice_chars else 1  # hashes deal unevenly
+    if count > slices:
+        return anchored_mentions(texts, n)
+    of = n.withColumn("s", F.pmod(F.xxhash64("name"), F.lit(count)))
+    if count > 1 and of.groupBy("s").agg(F.sum(F.length("name") + 1).alias("n")).where(F.col("n") > slice_chars).count():
+        return anchored_mentions(texts, n)
+    return reduce(DataFrame.unionByName, [scanned(texts, of.where(F.col("s") == i).select("name").toArrow()["name"].to_pylist()) for i in range(count)])
+
+
+def automaton(token: str, names: list[str]):
+    """The automaton of these names; a worker keeps the last one that it built."""
+    import ahocorasick
+
+    if token not in _automata:
+        machine = ahocorasick.Automaton()
+        for name in names:
+            machine.add_word(name, name)
+        machine.make_automaton()
+        _automata.clear()
+        _automata[token] = machine
+    return _automata[token]
+
+
+def scanned(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(key, name) of one slice of names: each text is read once, by an automaton that a worker builds once."""
+    shared, token = texts.sparkSession.sparkContext.broadcast(names), uuid.uuid4().hex
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(token, shared.value)
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                hits = {name for _, name in machine.iter(text)} if text else ()
+                rows += [i] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["key", "name"])
+
+    key = StructField("key", texts.schema["key"].dataType)
+    hits = texts.select("key", "content").mapInArrow(find, StructType([key, StructField("name", StringType())]))
+    return hits.distinct()
+
+
+def anchored_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """As mentions, for names of any number: an equi-join. A name is keyed on its rarest gram of 8 characters, shorter names on one of 4
+    or fewer; texts post the hashes of their grams of the lengths that occur, as far as some name has them, and hits are verified."""
     n = names.select("name").where("name is not null and name <> ''").distinct()
     # characters are cut out of an array: a substring of a string would be searched from its begin each time
     cut = lambda chars, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(chars) - (q - 1)), lambda i: F.xxhash64(F.slice(chars, i, F.lit(q)))))
@@ -31,11 +90,12 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
         return texts.select("key", F.lit("").alias("name")).limit(0)
     every = let(characters("content"), lambda chars: F.flatten(F.array(*[grams(chars, q) for q in sorted(lengths)])))
     # only grams that some name has are posted
-    wanted = n.select("name", F.explode(let(characters("name"), lambda chars: cut(chars, size))).alias("g"))
-    posts = texts.select("key", F.explode(every).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
+    own = Stages()
+    wanted = own.keep(n.select("name", F.explode(let(characters("name"), lambda chars: cut(chars, size))).alias("g")))
+    posts = own.keep(texts.select("key", F.explode(every).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi"))
     often = posts.groupBy("g").agg(F.count("*").alias("df"))
     anchor = wanted.join(often, "g", "left").groupBy("name").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
-    return posts.join(anchor, "g").join(texts.select("key", "content"), "key").where(F.contains("content", "name")).select("key", "name").distinct()
+    return own.done(posts.join(anchor, "g").join(texts.select("key", "content"), "key").where(F.contains("content", "name")).select("key", "name").distinct())
 
 
 def with_mentions(texts: DataFrame, names: DataFrame, least: int = 2) -> DataFrame:
