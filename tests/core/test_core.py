@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weft.functions.text import bigram_jaccard, is_phrase, plain_name
@@ -75,26 +76,61 @@ def test_mentions_match_nested_loop(spark):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def test_paths_match_bfs(spark):
+def least_path(edges, start, end, hops, directed):
+    """Of the shortest paths the least by (node, edge), as (edge, node, other) a hop; None without one."""
+    ways = {}
+    for i, a, b, *_ in edges:
+        for x, y in [(a, b)] if directed else [(a, b), (b, a)]:
+            ways.setdefault(x, []).append((y, i))
+    front = [((), start)]
+    for _ in range(hops):
+        front = [((*p, (y, i)), y) for p, x in front for y, i in ways.get(x, ())]
+        if any(y == end for _, y in front):
+            path, at = min(p for p, y in front if y == end), start
+            out = []
+            for y, i in path:
+                out.append((i, at, y))
+                at = y
+            return out
+    return None
+
+
+@pytest.mark.parametrize("directed", [True, False])
+@pytest.mark.parametrize("hops", [1, 3, 4])
+def test_paths_are_the_least_of_the_shortest(spark, directed, hops):
     rng = random.Random(7)
-    es = list({(f"n{rng.randint(0, 14)}", f"n{rng.randint(0, 14)}") for _ in range(22)})
-    edges = spark.createDataFrame([(f"e{i}", a, b, "t") for i, (a, b) in enumerate(es)], "edge_id string, src string, dst string, type string")
-    pairs = [(i, f"n{i}", f"n{j}") for i in range(15) for j in range(15)]
+    rows = [(f"e{i:02}", f"n{rng.randint(0, 11)}", f"n{rng.randint(0, 11)}", "t") for i in range(20)]
+    rows += [(f"h{i}", "n0", f"n{i}", "t") for i in range(5)] + [("x1", "n1", "n2", "u"), ("x0", "n1", "n2", "v"), ("x2", "n2", "n1", "v")]
+    pairs = [(i * 100 + j, f"n{i}", f"n{j}") for i in range(12) for j in range(13)]
+    edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, type string")
     got = {}
-    for r in graph.shortest_paths(spark.createDataFrame(pairs, "question_id long, start string, end string"), edges, 3, directed=False).collect():
-        got[r["start"], r["end"]] = max(got.get((r["start"], r["end"]), 0), r["hop"])
-    near = {f"n{i}": set() for i in range(15)}
+    for r in graph.shortest_paths(spark.createDataFrame(pairs, "question_id long, start string, end string"), edges, hops, directed).collect():
+        got.setdefault(r["question_id"], []).append((r["hop"], r["edge_id"], r["node"], r["other"]))
+    want = {q: [(h + 1, *x) for h, x in enumerate(p)] for q, a, b in pairs if a != b and (p := least_path(rows, a, b, hops, directed))}
+    assert {q: sorted(p) for q, p in got.items()} == want and len(want) < len(pairs)
+
+
+def test_reach_of_more_keys_than_bits(spark):
+    rng = random.Random(3)
+    es = [(f"n{rng.randint(0, 199)}", f"n{rng.randint(0, 199)}") for _ in range(260)]
+    near = {f"n{i}": set() for i in range(200)}
     for a, b in es:
         near[a].add(b)
         near[b].add(a)
-    want = {}
-    for s in near:
+    keys = [(q, f"n{i}") for i in range(200) for q in range(1 + i % 2)]
+    want = set()
+    for q, s in keys:
         seen, front = {s}, {s}
+        want.add((q, s, s, 0))
         for d in (1, 2, 3):
             front = {y for x in front for y in near[x]} - seen
             seen |= front
-            want |= {(s, t): d for t in front}
-    assert got == want
+            want |= {(q, s, t, d) for t in front}
+    edges = spark.createDataFrame([(str(i), *e) for i, e in enumerate(es)], "edge_id string, src string, dst string")
+    got = graph.reach(spark.createDataFrame(keys, "question_id long, node string"), edges, 3).collect()
+    assert {tuple(r[c] for c in ("question_id", "start", "node", "hop")) for r in got} == want and len(got) == len(want)
+    start = graph.sources(spark.createDataFrame(keys, "question_id long, node string"))
+    assert start.select("chunk").distinct().count() <= 4 + len(keys) // 64 + 1
 
 
 def test_questions(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import strip
-from .components import checkpointed
+from .components import Stages, checkpointed
 from .triples import mentions
 
 #: Fixed value: the label of nodes that only triples name.
@@ -116,12 +116,14 @@ def degrees(edges: DataFrame, type_: str | None = None) -> DataFrame:
     return incident(e.select("src", "dst")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def neighbours(keys: DataFrame, edges: DataFrame, nodes: DataFrame, direction: str = "both", type_: str | None = None, label: str | None = None, limit: int | None = 20) -> DataFrame:
-    """For keys(question_id, node), at most `limit` edges each with the neighbour; src and dst keep the edge's own direction."""
-    e = edges if type_ is None else edges.where(F.col("type") == type_)
+def neighbours(keys: DataFrame, edges: DataFrame, nodes: DataFrame, direction: str = "both", type_: str | None = None, label: str | None = None, limit: int | None = 20, around: DataFrame | None = None) -> DataFrame:
+    """For keys(question_id, node), at most `limit` edges each with the neighbour; src and dst keep the edge's own direction. `around`
+    are incident(edges, direction) where the caller has them."""
+    around = incident(edges, direction) if around is None else around
+    around = around if type_ is None else around.where(F.col("type") == type_)
     n = nodes.select(F.col("node_id").alias("other"), F.col("name").alias("other_name"), F.col("label").alias("other_label"))
     n = n if label is None else n.where(F.col("other_label") == label)
-    hits = keys.select("question_id", "node").join(incident(e, direction), "node").join(n, "other")
+    hits = keys.select("question_id", "node").join(around, "node").join(n, "other")
     if limit is None:
         return hits
     order = W.partitionBy("question_id", "node").orderBy("other_name", "type", "edge_id")
@@ -140,28 +142,53 @@ def search_nodes(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataF
     return hit.unionByName(every).withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "rank", "node_id", "name")
 
 
-def reach(keys: DataFrame, edges: DataFrame, hops: int, direction: str = "both") -> DataFrame:
-    """(question_id, start, node, hop): every node within `hops` of the start and the hop at which it is first met; the start is hop 0."""
-    pairs = incident(edges.select("src", "dst"), direction).select("node", "other").distinct()
-    seen = keys.select("question_id", F.col("node").alias("start"), "node").distinct().withColumn("hop", F.lit(0))
-    front = seen
+def sources(keys: DataFrame) -> DataFrame:
+    """keys(question_id, node), distinct, with chunk and bit: 64 keys share a chunk, in which each has a bit of its own. Keys of one node lie
+    together, so that their searches share rows."""
+    lie = checkpointed(keys.select("question_id", "node").distinct().repartitionByRange("node").sortWithinPartitions("node").withColumn("_i", F.monotonically_increasing_id()))
+    out = lie.select("question_id", "node", F.shiftright("_i", 6).alias("chunk"), F.expr("shiftleft(1L, cast(_i % 64 as int))").alias("bit"))
+    out._weft_path = lie._weft_path
+    return out
+
+
+def levels(start: DataFrame, edges: DataFrame, hops: int, direction: str = "both") -> DataFrame:
+    """(chunk, node, hop, bits): which of a chunk's sources first meet the node at that hop, from sources(chunk, node, bit) at hop 0.
+
+    One row stands for a node and up to 64 sources: a hop is one join of the frontier with the edges, whose bits are put together before they
+    are shuffled, and the bits that the node had before are taken off."""
+    own = Stages()
+    pairs = own.keep(incident(edges.select("src", "dst"), direction).where("node <> other").select("node", "other").distinct())
+    front = own.keep(start.groupBy("chunk", "node").agg(F.bit_or("bit").alias("bits")).withColumn("hop", F.lit(0)).select("chunk", "node", "hop", "bits"))
+    parts = [front]
     for h in range(1, hops + 1):
-        found = front.join(pairs, "node").select("question_id", "start", F.col("other").alias("node")).distinct()
-        front = checkpointed(found.join(seen, ["question_id", "start", "node"], "left_anti").withColumn("hop", F.lit(h)))
-        seen = seen.unionByName(front)
+        met = front.join(pairs, "node").groupBy("chunk", F.col("other").alias("node")).agg(F.bit_or("bits").alias("bits"))
+        seen = reduce(DataFrame.unionByName, parts).groupBy("chunk", "node").agg(F.bit_or("bits").alias("old"))
+        new = met.join(seen, ["chunk", "node"], "left").select("chunk", "node", F.lit(h).alias("hop"), F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits"))
+        front = own.keep(new.where("bits <> 0"))
         if front.isEmpty():
             break
-    return seen
+        parts.append(front)
+    return own.done(reduce(DataFrame.unionByName, parts))
+
+
+def reach(keys: DataFrame, edges: DataFrame, hops: int, direction: str = "both") -> DataFrame:
+    """(question_id, start, node, hop): every node within `hops` of the start and the hop at which it is first met; the start is hop 0.
+    The rows of the result are the keys times their balls; on the way there is one for a node and 64 keys."""
+    s = sources(keys)
+    met = levels(s, edges, hops, direction)
+    return met.join(s.withColumnRenamed("node", "start"), "chunk").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("question_id", "start", "node", "hop")
 
 
 def labelled_nearby(keys: DataFrame, edges: DataFrame, nodes: DataFrame, label: str | None = None, hops: int = 3, limit: int | None = 20) -> DataFrame:
     """(question_id, start, node, hop, label, name): labelled nodes of other name within `hops`, either direction. The label is
-    one for all, or each key's own in keys(question_id, node, label)."""
+    one for all, or each key's own in keys(question_id, node, label). Bits become keys only at nodes whose label a key of the chunk wants."""
     keys = keys.select("question_id", "node", F.lit(label).alias("label")) if label is not None else keys.select("question_id", "node", "label")
-    met = reach(keys, edges, hops).where("hop > 0").join(keys.select("question_id", F.col("node").alias("start"), "label").distinct(), ["question_id", "start"])
-    met = met.join(nodes.select(F.col("node_id").alias("node"), "label", "name"), ["node", "label"])
-    own = nodes.select(F.col("node_id").alias("start"), F.col("name").alias("_start_name"))
-    met = met.join(own, "start").where("name <> _start_name").drop("_start_name")
+    s = sources(keys)
+    named = nodes.select(F.col("node_id").alias("start"), F.col("name").alias("_start_name"))
+    wants = s.withColumnRenamed("node", "start").join(keys.withColumnRenamed("node", "start").distinct(), ["question_id", "start"]).join(named, "start")
+    met = levels(s, edges, hops).where("hop > 0").join(nodes.select(F.col("node_id").alias("node"), "label", "name"), "node")
+    met = met.join(wants, ["chunk", "label"]).where((F.col("bits").bitwiseAND(F.col("bit")) != 0) & (F.col("name") != F.col("_start_name")))
+    met = met.select("question_id", "start", "node", "hop", "label", "name")
     if limit is None:
         return met
     return met.withColumn("_r", F.row_number().over(W.partitionBy("question_id", "start").orderBy("hop", "name", "node"))).where(F.col("_r") <= limit).drop("_r")
@@ -170,46 +197,99 @@ def labelled_nearby(keys: DataFrame, edges: DataFrame, nodes: DataFrame, label:
 def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 3, directed: bool = True) -> DataFrame:
     """One row a hop (question_id, start, end, hop, node, other, edge_id, src, dst, type) of one shortest path for each
     pairs(question_id, start, end); node and other follow the direction of travel. Of paths of one length it is the least by
-    (node, edge) along the way; a pair stops when it arrives. Start = end, and hops = 0, have no rows."""
-    e = incident(edges.select("edge_id", "src", "dst", "type"), "out" if directed else "both")
-    live = pairs.select("question_id", "start", "end").distinct().where("start <> end")
-    path = "array<struct<other:string,edge_id:string,src:string,dst:string,type:string>>"
-    front = live.select("question_id", "start", "end", F.col("start").alias("node"), F.array().cast(path).alias("path"))
-    seen = front.select("question_id", "start", "end", "node")
-    done = front.where("false")
+    (node, edge) along the way; a pair stops when it arrives. Start = end, and hops = 0, have no rows.
+
+    A pair is searched from both ends, a whole level at a time, on the side whose frontier has fewer edges to follow, so that a hub is
+    not entered while the other end can go on. A level keeps one row for each new node and the node before it, no paths. Where
+    the frontiers meet first, the levels that lead there are marked back to the start, and the least path is read off them forward."""
+    cols, pair = ["question_id", "start", "end"], ["question_id", "start", "end"]
+    own = Stages()
+    live = own.keep(pairs.select(*cols).distinct().where("start <> end"))
+    empty = live.select(*cols, F.lit(1).alias("hop"), F.col("start").alias("node"), F.col("end").alias("other"), *[F.lit("").alias(c) for c in ("edge_id", "src", "dst", "type")]).where("false")
+    if hops <= 0 or live.isEmpty():
+        return own.done(empty)
+    # node -> other on side 0 as one travels, on side 1 against that; of parallel edges the least
+    e = edges.select("edge_id", "src", "dst", "type")
+    way = incident(e, "out" if directed else "both").where("node <> other").groupBy("node", "other").agg(F.min(F.struct("edge_id", "src", "dst", "type")).alias("edge"))
+    way = own.keep(way.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), "node", "other", "edge"), F.struct(F.lit(1).alias("side"), F.col("other").alias("node"), F.col("node").alias("other"), "edge"))).alias("w")).select("w.*"))
+    degree = own.keep(way.groupBy("side", "node").agg(F.count("*").alias("degree")))
+    # steps(pair, side, depth, before, node, edge): the nodes first met at each depth of a side, with each way into them
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("node")), F.struct(F.lit(1).alias("side"), F.col("end").alias("node")))).alias("x")
+    edge = way.schema["edge"].dataType
+    first = own.keep(live.select(*cols, ends).select(*cols, "x.side", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("before"), "x.node", F.lit(None).cast(edge).alias("edge")))
+    steps, met = [first], []
     for _ in range(hops):
-        step = front.join(e, "node").select("question_id", "start", "end", F.col("other").alias("node"), F.concat("path", F.array(F.struct(*[F.col(c).cast("string") for c in ("other", "edge_id", "src", "dst", "type")])).cast(path)).alias("path"))
-        step = step.groupBy("question_id", "start", "end", "node").agg(F.min("path").alias("path")).join(seen, ["question_id", "start", "end", "node"], "left_anti")
-        step = checkpointed(step)
-        hit = step.where(F.col("node") == F.col("end"))
-        done = done.unionByName(hit)
-        front = step.join(hit.select("question_id", "start", "end"), ["question_id", "start", "end"], "left_anti")
-        seen = seen.unionByName(front.select("question_id", "start", "end", "node"))
-        if front.isEmpty():
+        every = reduce(DataFrame.unionByName, steps)
+        at = every.groupBy(*pair, "side").agg(F.max("depth").alias("depth"))
+        # the frontiers' edges decide the side of each pair; a side without any ends the pair
+        ahead = every.join(live, pair, "left_semi").select(*pair, "side", "depth", "node").distinct().join(at, [*pair, "side", "depth"], "left_semi")
+        cost = ahead.join(degree, ["side", "node"], "left").groupBy(*pair).agg(*[F.sum(F.when(F.col("side") == i, F.coalesce("degree", F.lit(0)))).alias(f"d{i}") for i in (0, 1)])
+        turn = cost.where("d0 > 0 and d1 > 0").select(*pair, F.when(F.col("d1") < F.col("d0"), 1).otherwise(0).alias("side"))
+        go = ahead.join(turn, [*pair, "side"]).join(way, ["side", "node"])
+        seen = every.select(*pair, "side", F.col("node").alias("other")).distinct()
+        new = own.keep(go.join(seen, [*pair, "side", "other"], "left_anti").select(*pair, "side", (F.col("depth") + 1).alias("depth"), F.col("node").alias("before"), F.col("other").alias("node"), "edge"))
+        steps.append(new)
+        far = every.select(*pair, (1 - F.col("side")).alias("side"), "node", F.col("depth").alias("far")).distinct()
+        hit = own.keep(new.select(*pair, "side", "depth", "node").distinct().join(far, [*pair, "side", "node"]))
+        met.append(hit)
+        live = own.keep(turn.select(*pair).join(hit.select(*pair).distinct(), pair, "left_anti").join(new.select(*pair).distinct(), pair, "left_semi"))
+        if live.isEmpty():
+            break
+    every = own.keep(reduce(DataFrame.unionByName, steps).where("depth > 0"))
+    hit = reduce(DataFrame.unionByName, met)
+    # where a pair's sides meet: depth a from the start, b from the end
+    meet = own.keep(hit.select(*pair, "node", F.when(F.col("side") == 0, F.col("depth")).otherwise(F.col("far")).alias("a"), F.when(F.col("side") == 0, F.col("far")).otherwise(F.col("depth")).alias("b")))
+    lengths = own.keep(meet.groupBy(*pair).agg(F.first("a").alias("a"), F.first("b").alias("b")))
+    # marked(pair, at, node, other, edge): the ways of the shortest paths, at steps away from the start
+    mine = every.join(lengths, pair, "left_semi")
+    front, marked = meet.select(*pair, "node").distinct(), []
+    for back in range(hops):
+        way_in = mine.where("side = 0").join(lengths.select(*pair, (F.col("a") - back).alias("depth")), [*pair, "depth"]).join(front, [*pair, "node"])
+        part = own.keep(way_in.select(*pair, (F.col("depth") - 1).alias("at"), F.col("before").alias("node"), F.col("node").alias("other"), "edge"))
+        if part.isEmpty():
+            break
+        marked.append(part)
+        front = part.select(*pair, "node").distinct()
+    onward = mine.where("side = 1").join(lengths, pair).select(*pair, (F.col("a") + F.col("b") - F.col("depth")).alias("at"), "node", F.col("before").alias("other"), "edge")
+    marked = own.keep(reduce(DataFrame.unionByName, [*marked, onward]))
+    here, parts = lengths.select(*pair, F.col("start").alias("node")), []
+    for at in range(hops):
+        step = here.join(marked.where(F.col("at") == at), [*pair, "node"]).groupBy(*pair, "node").agg(F.min(F.struct("other", "edge")).alias("x"))
+        step = own.keep(step.select(*pair, F.lit(at + 1).alias("hop"), "node", "x.other", "x.edge.*"))
+        if step.isEmpty():
             break
-    rows = done.select("question_id", "start", "end", "path", F.posexplode("path").alias("hop", "x"))
-    before = F.when(F.col("hop") == 0, F.col("start")).otherwise(F.get("path", F.col("hop") - 1)["other"])
-    return rows.select("question_id", "start", "end", (F.col("hop") + 1).alias("hop"), before.alias("node"), "x.other", "x.edge_id", "x.src", "x.dst", "x.type")
+        parts.append(step)
+        here = step.select(*pair, F.col("other").alias("node"))
+    return own.done(reduce(DataFrame.unionByName, parts, empty))
 
 
 def node_context(keys: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 1, limit: int | None = 20) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): (question_id, start, level, node) without repeats inside a level, and (question_id, start, level, node, other, edge
-    columns) with them: the neighbours of each level's new nodes, at most `limit` edges a node. Depth 0 or less gives empty tables."""
-    seen = keys.select("question_id", F.col("node").alias("start"), "node").distinct()
-    front, parts = seen, []
+    columns) with them: the neighbours of each level's new nodes, at most `limit` edges a node. Depth 0 or less gives empty tables.
+
+    A node's first `limit` edges are the same for every key, so they are taken once for each node that any key has in front, and keys
+    that share a node share its row: a frontier is a node and the bits of up to 64 keys."""
+    s, own = sources(keys), Stages()
+    around = own.keep(incident(edges))
+    front = own.keep(s.groupBy("chunk", "node").agg(F.bit_or("bit").alias("bits")))
+    seen, parts = [front], []
     for level in range(1, depth + 1):
-        at = F.struct("question_id", "start").alias("question_id")
-        met = neighbours(front.select(at, "node"), edges, nodes, limit=limit)
-        met = checkpointed(met.select("question_id.question_id", "question_id.start", F.lit(level).alias("level"), *[c for c in met.columns if c != "question_id"]))
+        once = neighbours(front.select(F.lit(0).alias("question_id"), "node").distinct(), edges, nodes, limit=limit, around=around).drop("question_id")
+        met = own.keep(front.join(once, "node").withColumn("level", F.lit(level)))
         parts.append(met)
-        front = checkpointed(met.select("question_id", "start", F.col("other").alias("node")).distinct().join(seen, ["question_id", "start", "node"], "left_anti"))
-        seen = seen.unionByName(front)
+        old = reduce(DataFrame.unionByName, seen).groupBy("chunk", "node").agg(F.bit_or("bits").alias("old"))
+        new = met.groupBy("chunk", F.col("other").alias("node")).agg(F.bit_or("bits").alias("bits")).join(old, ["chunk", "node"], "left")
+        front = own.keep(new.select("chunk", "node", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0"))
+        seen.append(front)
         if front.isEmpty():
             break
     if not parts:
         met = neighbours(keys, edges, nodes, limit=limit).where("false").withColumn("start", F.col("node")).withColumn("level", F.lit(0))
-        parts.append(met.select("question_id", "start", "level", *[c for c in met.columns if c not in ("question_id", "start", "level")]))
-    out = reduce(DataFrame.unionByName, parts)
+        out = met.select("question_id", "start", "level", *[c for c in met.columns if c not in ("question_id", "start", "level")])
+    else:
+        met = own.done(reduce(DataFrame.unionByName, parts))
+        out = met.join(s.select("question_id", F.col("node").alias("start"), "chunk", "bit"), "chunk").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        out = out.select("question_id", "start", "level", *[c for c in met.columns if c not in ("chunk", "bits", "level")])
     return out.select("question_id", "start", "level", F.col("other").alias("node")).distinct(), out
 
 
