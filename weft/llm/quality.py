@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", may_learn:
     marks = stage(labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & may).groupBy("doc_id").agg(F.max(y).alias("y")), "marks")
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & may)
     count = np.zeros((SIZE + 1, 2), np.int64)
-    for r in rows.join(marks, "doc_id").select("text", "y").mapInArrow(counted, "place int, bad long, good long").groupBy("place").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect():
+    # a merge join at every size: where labels are few Spark would broadcast them, and the disk needed would jump with the input
+    for r in rows.join(marks.hint("merge"), "doc_id").select("text", "y").mapInArrow(counted, "place int, bad long, good long").groupBy("place").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect():
         count[r["place"]] = r["bad"], r["good"]  # place -1 is the last
     n = count[SIZE]
     if not n.all():
