@@ -196,6 +196,45 @@ def test_greedy_merge_equals_plain_model(spark):
     assert len(want) < 140
 
 
+def greedy(rows, threshold, weights):
+    """The merge one by one; rows (ord, name, type, aliases, properties)."""
+    grams = lambda s: {s[i : i + 2] for i in range(len(s) - 1)}
+
+    def like(a, b):
+        na, nb = ({x.strip().lower() for x in [e["name"], *e["aliases"]]} for e in (a, b))
+        sa, sb = ("".join(e["name"].lower().split()) for e in (a, b))
+        name = 1.0 if na & nb or a["canonical"] == b["canonical"] else 0.0 if not sa or not sb else float(sa == sb) if min(len(sa), len(sb)) < 2 else len(grams(sa) & grams(sb)) / len(grams(sa) | grams(sb))
+        ta, tb = a["type"].strip().lower(), b["type"].strip().lower()
+        kind = 0.0 if not ta or not tb else 1.0 if ta == tb else 0.5 if ta in tb or tb in ta else 0.0
+        pa, pb = a["properties"].keys(), b["properties"].keys()
+        return weights[0] * name + weights[1] * kind + weights[2] * (len(pa & pb) / len(pa | pb) if pa and pb else 0.0)
+
+    out = []
+    for o, name, kind, aliases, properties in rows:
+        if name is None:
+            continue
+        e = {"ord": o, "name": name, "type": kind or "", "aliases": [x for x in aliases or [] if x is not None], "canonical": name.strip().lower(), "properties": properties or {}, "n": 1}
+        for i, k in enumerate(out):
+            if like(k, e) >= threshold:
+                base, other = (k, e) if len(k["name"]) >= len(name) else (e, k)
+                out[i] = base | {"ord": k["ord"], "n": k["n"] + 1, "properties": other["properties"] | base["properties"], "aliases": [x for x in dict.fromkeys([*base["aliases"], other["name"], *other["aliases"]]) if x != base["name"]]}
+                break
+        else:
+            out.append(e)
+    return sorted((e["ord"], e["name"], e["type"], tuple(e["aliases"]), tuple(sorted(e["properties"].items())), e["n"]) for e in out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_greedy_merge_in_rounds_equals_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    word = lambda a, b: "".join(rng.choices("abcA ", k=rng.randint(a, b)))
+    rows = [(i, None if i % 37 == 5 else word(1, 6), rng.choice(["red", "red wine", "blue", "", None]), rng.choice([None, [], [word(2, 3)], [word(3, 4), None]]), rng.choice([None, {}, {"x": str(i)}, {"x": "1", "y": str(i)}, {"z": str(i)}])) for i in range(220)]
+    got = entities.merge_across(entities.canonical(spark.createDataFrame(rows, ENTITY)), 0.7, (0.6, 0.2, 0.1)).collect()
+    want = greedy(rows, 0.7, (0.6, 0.2, 0.1))
+    assert sorted((r["ord"], r["name"], r["entity_type"], tuple(r["aliases"]), tuple(sorted(r["properties"].items())), r["n_merged"]) for r in got) == want
+    assert any(x[5] > 2 for x in want)
+
+
 def test_candidate_pairs_verified(spark):
     e = entities.canonical(spark.createDataFrame([(1, "abcdefgh", "t", [], {}), (2, "abqrstuv", "t", [], {}), (3, "abcdefgx", "t", [], {})], ENTITY))
     assert {(r["a"], r["b"]) for r in entities.candidate_pairs(e, 0.5, verified=True).collect()} == {(1, 3)}

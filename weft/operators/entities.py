@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import bigram_jaccard, bigrams, col, strip
+from .components import Stages, checkpointed, drop
 
 WEIGHTS = (0.5, 0.3, 0.2)
 
@@ -22,8 +23,9 @@ def _empty_map() -> Column:
 
 
 def dedup_entities(entities: DataFrame) -> DataFrame:
-    """One row a stripped name: the first row's type, aliases in order of appearance, first-wins properties."""
-    e = entities.withColumn("name", strip("name"))
+    """One row a stripped name: the first row's type, aliases in order of appearance, first-wins properties.
+    Rows without a name are left out."""
+    e = entities.where("name is not null").withColumn("name", strip("name"))
     base = e.groupBy("name").agg(F.min("ord").alias("ord"), F.min_by("entity_type", "ord").alias("entity_type"))
     alias = e.select("name", "ord", F.posexplode("aliases").alias("i", "alias")).where("alias <> name").groupBy("name", "alias").agg(F.min(F.struct("ord", "i")).alias("o"))
     aliases = alias.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "alias"))), lambda x: x["alias"]).alias("aliases"))
@@ -42,7 +44,9 @@ def canonical(entities: DataFrame, synonyms: DataFrame | None = None) -> DataFra
 
 
 def merge_groups(entities: DataFrame) -> DataFrame:
-    """One row a canonical key: the longest name (the first of these), other names and aliases behind its own, properties of the base first."""
+    """One row a canonical key: the longest name (the first of these), other names and aliases behind its own, properties of the base first.
+    Rows without a name are left out."""
+    entities = entities.where("name is not null")
     base = entities.groupBy("canonical").agg(F.min_by(F.struct("ord", "name", "entity_type"), F.struct(-F.length("name"), F.col("ord"))).alias("b"), F.min("ord").alias("first"), F.count("*").alias("n_merged"))
     e = entities.join(base, "canonical").withColumn("rank", F.when(F.col("ord") == F.col("b.ord"), -1).otherwise(F.col("ord")))
     # order: the base's aliases, other names, their aliases
@@ -79,29 +83,54 @@ def similarity(a: str, b: str, weights: tuple[float, float, float] = WEIGHTS) ->
     return wn * name_similarity(a, b) + wt * type_similarity(f"{a}.entity_type", f"{b}.entity_type") + wa * attribute_similarity(f"{a}.properties", f"{b}.properties")
 
 
-def candidate_pairs(entities: DataFrame, least: float, verified: bool = False) -> DataFrame:
-    """(a, b) of ords whose name likeness can reach `least`: shared names, aliases, canonical keys, or enough shared
-    bigrams. A name posts its rarest n - ceil(least * n) + 1 bigrams; two names that are near enough share one of these. No cross join.
-    `verified`: of pairs by bigrams only those whose likeness reaches `least`."""
-    e = entities.select("ord", "name", "aliases", "canonical")
-    keys = e.select("ord", F.explode(F.array_distinct(F.concat(F.transform(F.concat(F.array("name"), "aliases"), lambda n: F.lower(strip(n))), F.array("canonical"), F.array(F.regexp_replace(F.lower("name"), r"(?U)\s+", ""))))).alias("k"))
-    # rows that share a key are linked through the key's first row; rows of one component meet in replay
-    first = keys.groupBy("k").agg(F.min("ord").alias("a"))
-    equal = keys.join(first, "k").where("a <> ord").select("a", F.col("ord").alias("b"))
-    grams = e.select("ord", bigrams("name").alias("g")).withColumn("n", F.size("g")).where("n > 0")
-    posts = grams.select("ord", "n", F.explode("g").alias("x"))
+def named_rows(entities: DataFrame) -> DataFrame:
+    """entities without rows that have no name; other nulls become blanks, empty arrays and maps, aliases that are null go."""
+    none = F.array().cast("array<string>")
+    e = entities.where("name is not null")
+    return e.withColumns({"aliases": F.filter(F.coalesce("aliases", none), lambda x: x.isNotNull()), "canonical": F.coalesce("canonical", F.lower(strip("name")))})
+
+
+def entity_keys(entities: DataFrame) -> DataFrame:
+    """(ord, kind, k): n, the names and aliases; c, the canonical key; w, the name without white space. All in lower case."""
+    lower = lambda n: F.lower(strip(n))
+    key = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("k")))
+    whole = F.array(F.regexp_replace(F.lower("name"), r"(?U)\s+", ""))
+    every = F.concat(key("n", F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), lower))), key("c", F.array("canonical")), key("w", F.filter(whole, lambda x: x != "")))
+    return entities.select("ord", F.explode(every).alias("x")).select("ord", "x.kind", "x.k")
+
+
+def near_pairs(entities: DataFrame, least: float, verified: bool = False) -> DataFrame:
+    """(a, b) of ords, a < b, whose names share enough bigrams for a likeness of `least`. A name posts its rarest n - ceil(least * n) + 1
+    bigrams; two names that are near enough share one of these. No cross join. Names of one set of bigrams are one class: classes are joined,
+    and dealt out to their names afterwards. `verified`: only pairs whose likeness does reach `least`."""
+    grams = entities.select("ord", F.array_sort(bigrams("name")).alias("g")).where(F.size("g") > 0)
+    cls = grams.groupBy("g").agg(F.min("ord").alias("c"))
+    of = grams.join(cls, "g").select("ord", "c")
+    sets = cls.select("c", "g", F.size("g").alias("n"))
+    posts = sets.select("c", "n", F.explode("g").alias("x"))
     df = posts.groupBy("x").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(W.partitionBy("ord").orderBy("df", "x"))
+    rank = F.row_number().over(W.partitionBy("c").orderBy("df", "x"))
     prefix = posts.join(df, "x").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    p, q = (prefix.select(F.col("ord").alias(i), "x", F.col("n").alias(f"n{i}"), F.col("r").alias(f"r{i}")) for i in ("a", "b"))
+    p, q = (prefix.select(F.col("c").alias(i), "x", F.col("n").alias(f"n{i}"), F.col("r").alias(f"r{i}")) for i in ("a", "b"))
     # lengths, and what can still be shared behind the first bigram in common
     rest = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
-    near = p.join(q, "x").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (rest >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)).select("a", "b")
+    near = p.join(q, "x").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (rest >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)).select("a", "b").distinct()
     if verified:
         x, y = F.col("x"), F.col("y")
-        near = near.distinct().join(grams.select(F.col("ord").alias("a"), F.col("g").alias("x")), "a").join(grams.select(F.col("ord").alias("b"), F.col("g").alias("y")), "b")
+        near = near.join(sets.select(F.col("c").alias("a"), F.col("g").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("g").alias("y")), "b")
         near = near.where(F.size(F.array_intersect(x, y)) >= F.size(F.array_union(x, y)) * least - 1e-9).select("a", "b")
-    return equal.unionByName(near).distinct()
+    same = cls.select(F.col("c").alias("a"), F.col("c").alias("b"))
+    pairs = near.unionByName(same).join(of.toDF("oa", "a"), "a").join(of.toDF("ob", "b"), "b").where((F.col("a") < F.col("b")) | (F.col("oa") < F.col("ob")))
+    return pairs.select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
+
+
+def candidate_pairs(entities: DataFrame, least: float, verified: bool = False) -> DataFrame:
+    """(a, b) of ords whose name likeness can reach `least`: those of near_pairs, and rows with a name, alias or canonical key in
+    common, each linked with the first row that has it."""
+    keys = entity_keys(named_rows(entities)).select("ord", "k").distinct()
+    first = keys.groupBy("k").agg(F.min("ord").alias("a"))
+    equal = keys.join(first, "k").where("a <> ord").select("a", F.col("ord").alias("b"))
+    return equal.unionByName(near_pairs(named_rows(entities), least, verified)).distinct()
 
 
 def similar_pairs(entities: DataFrame, least: float = 0.5) -> DataFrame:
@@ -111,77 +140,82 @@ def similar_pairs(entities: DataFrame, least: float = 0.5) -> DataFrame:
     return pairs.withColumn("likeness", bigram_jaccard("name_a", "name_b")).where(F.col("likeness") >= least)
 
 
-def merge_across(entities: DataFrame, threshold: float = 0.75, weights: tuple[float, float, float] = WEIGHTS, checkpoint=None) -> DataFrame:
-    """The greedy merge in list order, replayed inside each component of pairs that could merge.
+def merge_across(entities: DataFrame, threshold: float = 0.75, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """(ord, name, entity_type, aliases, properties, n_merged): the greedy merge in list order. Each row joins the first merged entity, in the
+    order in which these began, that is like it as it then stands, or begins one; the longer name gives name, type and canonical key.
 
-    A merge needs a name likeness of at least (threshold - w_type - w_attr) / w_name, which merging never raises above its best member's.
-    Only verified pairs make components. A component is replayed in one task, whatever its size; each row is compared with those before
-    it that share a name, a canonical key or a bigram.
+    The decision of a row depends only on those before it. So all rows decide at once, each on the entities that the last round's decisions
+    put before it, until a round changes nothing: that is the greedy result, since after n rounds the first n rows have
+    decided as they would one by one. Rounds are as many as the longest chain of decisions that hang on one another. What an entity was before
+    a row came is read off aggregates: by length of name the first member that has it, and by property key the first member that brings it. No
+    group meets in one task. Rows without a name are left out; other nulls count as blank. Where many rows share a name and do not merge,
+    each meets all entities that hold that name, as it would one by one.
     """
-    import pandas as pd
-
-    from .components import connected
-
     wn, wt, wa = weights
     least = (threshold - wt - wa) / wn - 1e-9
     if least <= 0:
         raise ValueError("the weights let entities of unlike names merge; no candidate join is possible")
-    labels = connected(entities.select(F.col("ord").alias("v")), candidate_pairs(entities, max(least, 1e-6), verified=True))
-    grouped = entities.join(labels.withColumnRenamed("v", "ord"), "ord")
-    grouped = grouped.select("component", "ord", "name", "entity_type", "aliases", "canonical", F.to_json("properties").alias("properties"))
-
-    def replay(t: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        def grams(s: str) -> set[str]:
-            s = "".join(s.lower().split())
-            return {s[i : i + 2] for i in range(len(s) - 1)} if len(s) > 1 else set()
-
-        def name_sim(a: dict, b: dict) -> float:
-            na, nb = ({x.strip().lower() for x in [e["name"], *e["aliases"]]} for e in (a, b))
-            if na & nb or a["canonical"] == b["canonical"]:
-                return 1.0
-            sa, sb = ("".join(e["name"].lower().split()) for e in (a, b))
-            if not sa or not sb:
-                return 0.0
-            if len(sa) < 2 or len(sb) < 2:
-                return float(sa == sb)
-            return len(grams(sa) & grams(sb)) / len(grams(sa) | grams(sb))
-
-        def type_sim(a: str, b: str) -> float:
-            a, b = a.strip().lower(), b.strip().lower()
-            return 0.0 if not a or not b else 1.0 if a == b else 0.5 if a in b or b in a else 0.0
-
-        def attr_sim(a: dict, b: dict) -> float:
-            return len(a.keys() & b.keys()) / len(a.keys() | b.keys()) if a and b else 0.0
-
-        def merged(a: dict, b: dict) -> dict:
-            base, other = (a, b) if len(a["name"]) >= len(b["name"]) else (b, a)
-            names = [x for x in dict.fromkeys([*base["aliases"], other["name"], *other["aliases"]]) if x != base["name"]]
-            return base | {"ord": a["ord"], "aliases": names, "properties": other["properties"] | base["properties"], "n": a["n"] + b["n"]}
-
-        rows = [{"ord": r.ord, "name": r.name_, "entity_type": r.entity_type or "", "aliases": list(r.aliases), "canonical": r.canonical, "properties": json.loads(r.properties or "{}"), "n": 1} for r in t.rename(columns={"name": "name_"}).sort_values("ord").itertuples()]
-        out: list[dict] = []
-        # where each key was seen; a row without a key in common has a name likeness of 0 and never merges
-        seen: dict[tuple[str, str], set[int]] = {}
-
-        def keys(e: dict) -> set[tuple[str, str]]:
-            names = {("name", x.strip().lower()) for x in [e["name"], *e["aliases"]]}
-            return names | {("canonical", e["canonical"]), ("whole", "".join(e["name"].lower().split()))} | {("gram", g) for g in grams(e["name"])}
-
-        for e in rows:
-            own = keys(e)
-            for i in sorted(set().union(*(seen.get(k, ()) for k in own))):
-                kept = out[i]
-                if wn * name_sim(kept, e) + wt * type_sim(kept["entity_type"], e["entity_type"]) + wa * attr_sim(kept["properties"], e["properties"]) >= threshold:
-                    out[i] = merged(kept, e)
-                    break
-            else:
-                i = len(out)
-                out.append(e)
-            for k in own:
-                seen.setdefault(k, set()).add(i)
-        return pd.DataFrame({"ord": [e["ord"] for e in out], "name": [e["name"] for e in out], "entity_type": [e["entity_type"] for e in out], "aliases": [e["aliases"] for e in out], "properties": [json.dumps(e["properties"], sort_keys=True) for e in out], "n_merged": [e["n"] for e in out]})
-
-    done = grouped.groupBy("component").applyInPandas(replay, "ord long, name string, entity_type string, aliases array<string>, properties string, n_merged int")
-    return done.withColumn("properties", F.from_json("properties", "map<string,string>"))
+    own = Stages()
+    e = own.keep(named_rows(entities).select("ord", "name", F.length("name").alias("len"), F.coalesce("entity_type", F.lit("")).alias("entity_type"), "aliases", "canonical", F.coalesce("properties", _empty_map()).alias("properties")))
+    e = e.withColumn("keys", F.array_sort(F.map_keys("properties")))
+    keys = own.keep(entity_keys(e))
+    near = own.keep(near_pairs(e, max(least, 1e-6), verified=True))
+    # the first guess: with the first row that has a name in common, the same type and the same property keys
+    alike = keys.where("kind = 'n'").join(e.select("ord", F.lower(strip("entity_type")).alias("t"), "keys"), "ord")
+    guess = alike.join(alike.groupBy("k", "t", "keys").agg(F.min("ord").alias("c")), ["k", "t", "keys"]).groupBy("ord").agg(F.min("c").alias("c"))
+    now = checkpointed(guess)
+    while True:
+        new = checkpointed(_decisions(e, keys, near, now, threshold, weights))
+        settled = new.join(now.withColumnRenamed("c", "old"), "ord").where("c <> old").isEmpty()
+        drop(now)
+        now = new
+        if settled:
+            break
+    own.kept.append(now)
+    return own.done(_merged(e, now))
+
+
+def _members(e: DataFrame, now: DataFrame) -> DataFrame:
+    """(c, firsts): of each entity, by length of name, the longest first, the first member that has it."""
+    by_length = e.join(now, "ord").groupBy("c", "len").agg(F.min_by(F.struct("ord", "len", "name", "entity_type", "canonical"), "ord").alias("x"))
+    return by_length.groupBy("c").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("x.len").alias("len"), F.col("x").alias("x"))))).alias("firsts"))
+
+
+def _decisions(e: DataFrame, keys: DataFrame, near: DataFrame, now: DataFrame, threshold: float, weights: tuple[float, float, float]) -> DataFrame:
+    """(ord, c): the entity that each row joins, given (ord, c) of the rows before it; its own ord where it begins one."""
+    wn, wt, wa = weights
+    brought = e.join(now, "ord").select("c", "ord", F.explode("keys").alias("key")).groupBy("c", "key").agg(F.min("ord").alias("o"))
+    state = _members(e, now).join(brought.groupBy("c").agg(F.collect_list(F.struct("key", "o")).alias("brought")), "c", "left")
+    held = keys.join(now, "ord").groupBy("kind", "k", "c").agg(F.min("ord").alias("o"))
+    meets = keys.join(held, ["kind", "k"]).where("o < ord").select("ord", "c", (F.col("kind") == "n").alias("shares"))
+    meets = meets.unionByName(near.join(now, near["a"] == now["ord"]).select(F.col("b").alias("ord"), "c", F.lit(False).alias("shares"))).groupBy("ord", "c").agg(F.max("shares").alias("shares"))
+    row = e.select("ord", F.struct("name", "entity_type", "canonical", "keys").alias("e"))
+    met = meets.join(row, "ord").join(state, "c")
+    # the entity as it stood before the row came
+    base = F.get(F.filter("firsts", lambda f: f["x"]["ord"] < F.col("ord")), F.lit(0))["x"]
+    had = F.transform(F.filter(F.coalesce("brought", F.array().cast("array<struct<key:string,o:bigint>>")), lambda b: b["o"] < F.col("ord")), lambda b: b["key"])
+    met = met.select("ord", "c", "shares", "e", base.alias("k"), had.alias("had"))
+    names = F.when(F.col("shares") | (F.col("k.canonical") == F.col("e.canonical")), 1.0).otherwise(bigram_jaccard("k.name", "e.name"))
+    both = F.size(F.array_intersect("had", "e.keys"))
+    attributes = F.when((F.size("had") == 0) | (F.size("e.keys") == 0), 0.0).otherwise(both / (F.size("had") + F.size("e.keys") - both))
+    like = wn * names + wt * type_similarity("k.entity_type", "e.entity_type") + wa * attributes
+    joins = met.where(like >= threshold).groupBy("ord").agg(F.min("c").alias("c"))
+    return e.select("ord").join(joins, "ord", "left").select("ord", F.coalesce("c", "ord").alias("c"))
+
+
+def _merged(e: DataFrame, now: DataFrame) -> DataFrame:
+    """One row for each entity. A member whose name is longer than all before it became the base: its values and aliases come before what was
+    there, later bases first; other members' come behind, in their order."""
+    firsts = _members(e, now)
+    # a base is the first of its length, with no longer name before it
+    bases = F.filter("firsts", lambda f: ~F.exists("firsts", lambda g: (g["len"] > f["len"]) & (g["x"]["ord"] < f["x"]["ord"])))
+    firsts = firsts.select("c", F.transform(bases, lambda f: f["x"]["ord"]).alias("bases"), F.element_at("firsts", 1)["x"].alias("b"))
+    m = e.join(now, "ord").join(firsts, "c")
+    place = F.when(F.array_contains("bases", F.col("ord")), F.struct(F.lit(0).alias("part"), (-F.col("ord")).alias("o"))).otherwise(F.struct(F.lit(1).alias("part"), F.col("ord").alias("o")))
+    m = m.withColumn("place", place)
+    alias = m.select("c", "b", "place", F.posexplode(F.concat(F.array("name"), "aliases")).alias("i", "alias")).where(F.col("alias") != F.col("b.name"))
+    alias = alias.groupBy("c", "alias").agg(F.min(F.struct("place", "i")).alias("o")).groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    props = _first_properties(m, "c", "place")
+    out = m.groupBy("c").agg(F.count("*").cast("int").alias("n_merged"), F.first("b").alias("b"))
+    out = out.join(alias, "c", "left").join(props, "c", "left")
+    return out.select(F.col("c").alias("ord"), "b.name", "b.entity_type", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("properties", _empty_map()).alias("properties"), "n_merged")
