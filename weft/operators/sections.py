@@ -25,10 +25,31 @@ def by_chars(text: Column, most: int) -> Column:
     return F.when(n == 0, empty()).when(n <= most, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), k), lambda i: F.substring(text, i * step + 1, F.lit(most))))
 
 
+#: Items that a fold takes at a time: results are put together once a block, so that no long array is copied a step.
+BLOCK = 128
+
+
+def blocks(items: Column) -> Column:
+    """The array cut into blocks."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(items), 1, 0))
+
+
+def fold_blocks(items: Column, carried: Column, none: Column, step) -> Column:
+    """(done, now) after a fold over the array: step(done, now, item) gives a struct of both, where done begins empty in each block. The
+    blocks' done are put together at the end, so the work is in proportion to the items."""
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+
+    def block(s: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, state(none, s["now"]), lambda t, x: step(t["done"], t["now"], x))
+        return let(inner, lambda r: state(F.concat(s["done"], F.array(r["done"])), r["now"]))
+
+    cut = let(items, blocks)  # else the items would be made anew for each block
+    return F.aggregate(cut, state(F.slice(F.array(none), 1, 0), carried), block, lambda s: state(F.flatten(s["done"]), s["now"]))
+
+
 def _fold(items: Column, step) -> Column:
     """Fold to an array of chunks: step(done, now, item) gives (done, now); a last `now` is a chunk."""
-    start = F.struct(empty().alias("done"), F.lit("").alias("now"))
-    return F.aggregate(items, start, lambda s, x: step(s["done"], s["now"], x), lambda s: F.concat(s["done"], F.when(s["now"] != "", F.array(s["now"])).otherwise(empty())))
+    return let(fold_blocks(items, F.lit(""), empty(), step), lambda s: _flushed(s["done"], s["now"]))
 
 
 def _pair(done: Column, now: Column) -> Column:
@@ -116,12 +137,11 @@ def split_sections(docs: DataFrame, most: int = 1500, doc_id: str = "doc_id", co
     open_ = "array<struct<level:int,title:string>>"
     done = "array<struct<level:int,chain:array<string>,body:string>>"
 
-    def push(s: Column, p: Column) -> Column:
-        stack = F.when(p["level"] == 0, F.array().cast(open_)).otherwise(F.concat(F.filter(s["stack"], lambda h: h["level"] < p["level"]), F.array(F.struct(p["level"].alias("level"), p["title"].alias("title"))).cast(open_)))
-        return let(stack, lambda st: F.struct(st.alias("stack"), F.concat(s["out"], F.array(F.struct(p["level"].alias("level"), F.transform(st, lambda h: h["title"]).alias("chain"), p["body"].alias("body"))).cast(done)).alias("out")))
+    def push(out: Column, stack: Column, p: Column) -> Column:
+        stack = F.when(p["level"] == 0, F.array().cast(open_)).otherwise(F.concat(F.filter(stack, lambda h: h["level"] < p["level"]), F.array(F.struct(p["level"].alias("level"), p["title"].alias("title"))).cast(open_)))
+        return let(stack, lambda st: _pair(F.concat(out, F.array(F.struct(p["level"].alias("level"), F.transform(st, lambda h: h["title"]).alias("chain"), p["body"].alias("body"))).cast(done)), st))
 
-    start = F.struct(F.array().cast(open_).alias("stack"), F.array().cast(done).alias("out"))
-    chained = F.aggregate(F.transform(parts, part), start, push, lambda s: s["out"])
+    chained = fold_blocks(F.transform(parts, part), F.array().cast(open_), F.array().cast(done), push)["done"]
     headed = F.flatten(F.transform(F.filter(chained, lambda x: x["body"] != ""), lambda x: F.transform(ensure_size(x["body"], most), lambda c: F.struct(x["level"].alias("level"), x["chain"].alias("heading_chain"), c.alias("content")))))
     plain = F.transform(split_plain(text, most), lambda c: F.struct(F.lit(0).alias("level"), empty().alias("heading_chain"), c.alias("content")))
     out = F.when(strip(text) == "", F.array().cast("array<struct<level:int,heading_chain:array<string>,content:string>>")).when(F.size(parts) > 1, headed).otherwise(plain)
