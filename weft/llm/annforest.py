@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Every vector has one long hash string a tree: bit i is the side of a random hyperplane. A tree is the sorted
-array of its strings, dealt by prefix. A query descends to its longest prefix in every tree and ascends in all trees
-at once, a bit at a time, until the prefixes together hold enough candidates; those are then ranked by the true
-inner product, in double precision.
+array of its strings, cut into cells of neighbours. A query descends to its longest prefix in every tree and ascends in all trees
+at once, a bit at a time, until the prefixes together hold enough candidates: a prefix is a range of the sorted strings, found in a cell
+by binary search. Candidates are then ranked by the true inner product, in double precision.
 
 How many are enough is fitted: on a bounded sample of queries (`sample`), whose true neighbours are found by
 brute force over all rows, it is the least count at which the ascent meets `recall` of them, at least `least`.
@@ -13,7 +13,7 @@ Vectors are scaled for the hashes only: with M the largest norm, x becomes (x /
 (q / |q|, 0), so that the largest inner product is the least angle.
 
 Equal vectors are one class, and only its k + 1 smallest ids can be among anyone's k nearest; the others stay out of
-the trees as candidates and, as queries, share the class's answer. A prefix is compared in blocks of rows, so
+the trees as candidates and, as queries, share the class's answer. A cell of many rows or queries is compared in blocks, so
 no task holds one whole.
 
 Nulls and ties: vectors that are null, zero, of another width than most, or that hold null or non-finite components take no part,
@@ -92,11 +92,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.
     depth = max(LEAST_BITS, min(MOST_BITS, classes.count().bit_length()))
     strings = stage(hashed(classes, planes(d, depth), largest), "strings")
     data, probe = strings.where("role = 'row'").drop("role"), strings.where("role = 'query'").drop("role").join(ask, "c", "left_semi")
-    # sizes of all prefixes of all trees; a level has at most as many as there are strings, the root has TREES
-    sizes = None
-    for level in range(depth + 1):
-        s = data.groupBy("tree", prefix(F.col("h"), level, depth).alias("p")).agg(F.count("*").alias("n")).select("tree", F.lit(level).alias("level"), "p", "n")
-        sizes = s if sizes is None else sizes.unionByName(s)
+    # sizes of all prefixes of all trees, out of the counts of the whole strings; the root has TREES
+    whole = data.groupBy("tree", "h").agg(F.count("*").alias("n"))
+    sizes = whole.select("tree", "h", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).groupBy("tree", "level", prefix(F.col("h"), F.col("level"), depth).alias("p")).agg(F.sum("n").alias("n"))
     sizes = stage(sizes, "sizes")
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
     climb = probe.select("c", "tree", "h", levels).select("c", "tree", "level", prefix(F.col("h"), F.col("level"), depth).alias("p")).join(sizes, ["tree", "level", "p"], "left").groupBy("c", "level").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
@@ -105,28 +103,41 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.
     enough = max(least, fitted(classes, ask, data, probe, climb, k, recall, sample, depth))
     stop = climb.where(F.col("n") >= enough).groupBy("c").agg(F.max("level").alias("level"))
     stop = ask.join(stop, "c", "left").select("c", F.coalesce("level", F.lit(0)).alias("level"))
-    # where queries stop, rows and queries of one prefix meet in blocks; the root is the same in all trees, so one stands for it
-    asks = probe.join(stop, "c").where("level > 0 or tree = 0").select("c", "tree", "level", prefix(F.col("h"), F.col("level"), depth).alias("p"))
-    asks = asks.join(sizes.select("tree", "level", "p", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["tree", "level", "p"])
-    used = asks.groupBy("tree", "level", "p", "blocks").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    row_side = data.join(used.select("tree", "level").distinct(), "tree").select("c", "tree", "level", prefix(F.col("h"), F.col("level"), depth).alias("p")).join(used, ["tree", "level", "p"])
-    row_side = row_side.select("c", "tree", "level", "p", F.pmod(F.xxhash64("c"), F.col("blocks")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("q"), F.lit(0).alias("ask"))
-    ask_side = asks.join(used.select("tree", "level", "p", "parts"), ["tree", "level", "p"]).select("c", "tree", "level", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("b"), F.pmod(F.xxhash64("c"), F.col("parts")).alias("q"), F.lit(1).alias("ask"))
+    # a prefix is a range of a tree's sorted strings; the root is the same in all trees, so one stands for it
+    wide = (F.lit(depth) - F.col("level")).cast("int")
+    low = F.call_function("shiftleft", F.call_function("shiftright", F.col("h"), wide), wide)
+    asks = probe.join(stop, "c").where("level > 0 or tree = 0").select("c", "tree", low.alias("lo"), (low + F.call_function("shiftleft", F.lit(1).cast("long"), wide) - 1).alias("hi"))
+    # trees lie in cells of some 4096 neighbouring strings; a query goes to the cells that its range meets, a row to its own cell, once a tree
+    cells = max(0, min(depth, classes.count().bit_length() - 12))
+    cell = lambda h: F.shiftright(h, depth - cells)
+    asks = stage(asks.select("c", "tree", "lo", "hi", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell")), "asks")
+    rows_in = data.withColumn("cell", cell("h"))
+    shape = rows_in.groupBy("tree", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(asks.groupBy("tree", "cell").agg(F.ceil(F.count("*") / QUERIES).alias("parts")), ["tree", "cell"])
+    shape = stage(shape, "shape")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    row_side = rows_in.join(shape, ["tree", "cell"]).select("c", "tree", "cell", F.pmod(F.xxhash64("c"), F.col("blocks")).alias("b"), upto("parts").alias("q"), F.col("h").alias("lo"), F.lit(-1).cast("long").alias("hi"))
+    ask_side = asks.join(shape, ["tree", "cell"]).select("c", "tree", "cell", upto("blocks").alias("b"), F.pmod(F.xxhash64("c"), F.col("parts")).alias("q"), "lo", "hi")
     both = row_side.unionByName(ask_side).join(classes.select("c", "v"), "c")
 
     def rank(t: pa.Table) -> pa.Table:
-        ask_, c = t.column("ask").to_numpy() == 1, t.column("c").to_numpy()
+        c, lo, hi = (t.column(n).to_numpy() for n in ("c", "lo", "hi"))
         v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(c), -1)
-        q, x = np.flatnonzero(ask_), np.flatnonzero(~ask_)
-        if not len(q) or not len(x):
-            return pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
-        x = x[np.argsort(c[x])]
-        s = v[q] @ v[x].T
-        m = min(len(x), k + 21)  # rounding in a block may swap near-equal products; true products are taken below
-        top = np.sort(np.argpartition(-s, m - 1, axis=1)[:, :m], axis=1)
-        return pa.table({"q": np.repeat(c[q], m), "c": c[x][top].reshape(-1), "s": np.take_along_axis(s, top, 1).reshape(-1)})
-
-    found = both.withColumnRenamed("q", "part").groupBy("tree", "level", "p", "b", "part").applyInArrow(rank, "q long, c long, s double")
+        q, x = np.flatnonzero(hi >= 0), np.flatnonzero(hi < 0)
+        # the cell's sorted strings; each range is found by binary search
+        x = x[np.lexsort([c[x], lo[x]])]
+        ends = np.column_stack([np.searchsorted(lo[x], lo[q], "left"), np.searchsorted(lo[x], hi[q], "right")])
+        ranges, which = np.unique(ends, axis=0, return_inverse=True) if len(q) else (ends, np.zeros(0, int))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, (a, b) in enumerate(ranges):
+            m = min(b - a, k + 21)  # rounding in a block may swap near-equal products; true products are taken below
+            if m > 0:
+                mine, near = q[which.reshape(-1) == i], x[a:b][np.argsort(c[x[a:b]])]
+                s = v[mine] @ v[near].T
+                top = np.sort(np.argpartition(-s, m - 1, axis=1)[:, :m], axis=1)
+                out.append((np.repeat(c[mine], m), c[near][top].reshape(-1), np.take_along_axis(s, top, 1).reshape(-1)))
+        return pa.table(dict(zip("qcs", map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = both.withColumnRenamed("q", "part").groupBy("tree", "cell", "b", "part").applyInArrow(rank, "q long, c long, s double")
     found = stage(found.groupBy("q", "c").agg(F.max("s").alias("s")), "found")
     best = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.col("s").desc(), "c"))).where(F.col("r") <= k + 21)
     # products on the original vectors, added up in order
