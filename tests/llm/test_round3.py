@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import common, importance, merkle, quality
+from weft.llm import common, htmltext, importance, merkle, quality
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -216,3 +216,12 @@ def test_batch_bound_reads_sizes(spark, size):
     common.bounded(spark)
     assert int(spark.conf.get(name)) == common.BATCH
     spark.conf.set(name, was)
+
+
+def test_wide_cells_do_not_widen_other_rows():
+    rows = lambda n: "<table>" + f"<tr><td>{'w ' * n}<td>end</tr>" + "<tr><td>a<td>b</tr>" * n + "</table>"
+    out = htmltext.render(rows(3000)).split("\n")
+    assert len(out) == 3001 and out[0] == "w " * 3000 + " end" and set(out[1:]) == {"a  b"}
+    spread = lambda n: "<table>" + "<tr>" + "".join(f"<td>{'c' * 50}{i}" for i in range(n)) + "</tr>" + f"<tr><td colspan={n - 1}><td>x</tr>" * n + "</table>"
+    assert len(htmltext.render(spread(600))) < 2.2 * len(htmltext.render(spread(300)))
+    assert htmltext.render("<table><tr><td>one<td>two</tr><tr><td>three<td>4</tr></table>") == "one    two\nthree  4"

@@ -15,7 +15,7 @@ visible text in order:
 
 Nulls and odd input: a null or empty page gives an empty text; broken markup is read as far as it goes, a `<` that opens no tag
 is text; an empty table gives an empty result; rows that repeat an id are rendered each for itself. The work is linear
-in the page, however deep it is nested, but for tables: padding is that of the output, and a wide cell takes as many steps as columns, at most 1000.
+in the page, however deep it is nested, tables too: a line is filled up to 1000 places, and a wide cell takes as many steps as columns, at most 1000.
 """
 
 from __future__ import annotations
@@ -295,8 +295,13 @@ def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Cells are aligned as far as this place of a line; what begins behind it, or behind a wider cell, follows after two spaces.
+LAYOUT = 1000
+
+
 def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of cells (lines, column span, row span) as aligned lines."""
+    """Rows of cells (lines, column span, row span) as aligned lines. A line is filled up to LAYOUT places at most, so that a wide cell does
+    not widen all other rows: the output stays in proportion to the page. No text is cut."""
     placed: list[dict[int, list[str]]] = []
     spans: list[tuple[int, int, int]] = []  # columns from, to, that cells above take up before row `until`; sorted, apart
     widths: dict[int, int] = {}
@@ -331,12 +336,18 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         x += widths[c] + 2 if widths[c] else 0
     out = []
     for row in placed:
-        for i in range(max((len(v) for v in row.values()), default=0)):
-            line = ""
-            for c in sorted(row):
-                if i < len(row[c]) and row[c][i]:
-                    line = line.ljust(start[c]) + row[c][i]
-            out.append(line.rstrip())
+        left = [c for c in sorted(row) if row[c]]
+        i = 0
+        while left:
+            line, size = [], 0
+            for c in left:
+                if row[c][i]:
+                    at = max(start[c] if start[c] <= LAYOUT else 0, size + 2 if size else 0)
+                    line += [" " * (at - size), row[c][i]]
+                    size = at + len(row[c][i])
+            out.append("".join(line).rstrip())
+            i += 1
+            left = [c for c in left if len(row[c]) > i]
     return out
 
 
