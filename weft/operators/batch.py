@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .components import checkpointed
-from .evidence import answers, append_hop, chain_xml, chains, citations, contexts
+from .evidence import answers, append_hop, chain_totals, chain_xml, citations, contexts
 from .graph import find_nodes
 from .questions import parse_rules, rule_plans
 from .reasoning import evidence_rows, link, run_plans
@@ -23,9 +24,9 @@ def chain_tables(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
     name = nodes.select("node_id", "name")
     e = e.withColumn("place", place)
     e = e.join(name.toDF("src", "source"), "src").join(name.toDF("dst", "target"), "dst")
-    rows = e.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("place", "source", "type", "target", "confidence", "source_chunk_id", "source_text", "other"))).alias("es"))
-    rows = rows.select("question_id", F.posexplode("es").alias("ord", "e"))
-    out = checkpointed(rows.select("question_id", F.col("e.place.hop").alias("hop"), "ord", "e.source", "e.type", "e.target", "e.confidence", "e.source_chunk_id", "e.source_text", "e.other"))
+    # numbered by a sort that streams: no question's edges are held as one array
+    order = W.partitionBy("question_id").orderBy("place", "source", "target", "confidence", "source_chunk_id", "source_text")
+    out = checkpointed(e.select("question_id", "hop", (F.row_number().over(order) - 1).alias("ord"), "source", "type", "target", "confidence", "source_chunk_id", "source_text", "other"))
     far = out.join(nodes.select(F.col("node_id").alias("other"), "name", "label", "properties"), "other").select("question_id", "hop", "ord", "name", "label", "properties")
     return out.drop("other"), far
 
@@ -43,10 +44,10 @@ def answer_batch(questions: DataFrame, nodes: DataFrame, edges: DataFrame, model
     hints = parsed.select("question_id", F.get("relation_hints", F.lit(0)).alias("type"))
     got, far = chain_tables(run_plans(at, steps, edges, nodes, limit, fallback=True, hints=hints), nodes)
     taken, _ = append_hop(got)
-    heads = chains(got, questions).select("question_id", "confidence").join(at.groupBy("question_id").agg(F.min_by("name", "ord").alias("start")), "question_id", "left")
+    heads = questions.select("question_id").join(chain_totals(got), "question_id", "left").select("question_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence")).join(at.groupBy("question_id").agg(F.min_by("name", "ord").alias("start")), "question_id", "left")
     heads = heads.select("question_id", F.coalesce("start", F.lit("")).alias("start"), F.lit(None).cast("string").alias("end"), "confidence")
     prompts = contexts(questions, chain_xml(got, far, taken, heads), taken, citations(got), most)
-    asked = checkpointed(infer(prompts.select(F.col("question_id").alias("prompt_id"), "prompt"), model, batch=1))
+    asked = checkpointed(infer(prompts.select(F.col("question_id").alias("prompt_id"), "prompt"), model))
     failed = asked.groupBy("prompt_id").agg(F.min("error").alias("error"))
     said = chosen_attempt(asked).join(failed, "prompt_id").select(F.col("prompt_id").alias("key"), "text", "error")
     responses = questions.select("question_id", F.col("question_id").cast("string").alias("key")).join(said, "key").select("question_id", "text", "error")

@@ -99,31 +99,58 @@ def entity_keys(entities: DataFrame) -> DataFrame:
     return entities.select("ord", F.explode(every).alias("x")).select("ord", "x.kind", "x.k")
 
 
-def near_pairs(entities: DataFrame, least: float, verified: bool = False) -> DataFrame:
-    """(a, b) of ords, a < b, whose names share enough bigrams for a likeness of `least`. A name posts its rarest n - ceil(least * n) + 1
-    bigrams; two names that are near enough share one of these. No cross join. Names of one set of bigrams are one class: classes are joined,
-    and dealt out to their names afterwards. `verified`: only pairs whose likeness does reach `least`."""
+def bigram_classes(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): (ord, c) and (c, g, size): names with one set of bigrams g are one class, under its least ord. Names without
+    bigrams are in none."""
     grams = entities.select("ord", F.array_sort(bigrams("name")).alias("g")).where(F.size("g") > 0)
-    cls = grams.groupBy("g").agg(F.min("ord").alias("c"))
-    of = grams.join(cls, "g").select("ord", "c")
-    sets = cls.select("c", "g", F.size("g").alias("n"))
+    classes = grams.groupBy("g").agg(F.min("ord").alias("c"), F.count("*").alias("size"))
+    return grams.join(classes, "g").select("ord", "c"), classes.select("c", "g", "size")
+
+
+def near_classes(classes: DataFrame, least: float, verified: bool = True) -> DataFrame:
+    """(a, b), a < b, of classes(c, g) that can reach a likeness of `least`. A class posts its rarest n - ceil(least * n) + 1 bigrams; two
+    that are near enough share one of these, and what stands behind the first one that they share bounds what they can. No cross join.
+    `verified`: only those that do reach it."""
+    sets = classes.select("c", "g", F.size("g").alias("n"))
     posts = sets.select("c", "n", F.explode("g").alias("x"))
     df = posts.groupBy("x").agg(F.count("*").alias("df"))
     rank = F.row_number().over(W.partitionBy("c").orderBy("df", "x"))
     prefix = posts.join(df, "x").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
     p, q = (prefix.select(F.col("c").alias(i), "x", F.col("n").alias(f"n{i}"), F.col("r").alias(f"r{i}")) for i in ("a", "b"))
-    # lengths, and what can still be shared behind the first bigram in common
     rest = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     near = p.join(q, "x").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (rest >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)).select("a", "b").distinct()
     if verified:
         x, y = F.col("x"), F.col("y")
         near = near.join(sets.select(F.col("c").alias("a"), F.col("g").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("g").alias("y")), "b")
         near = near.where(F.size(F.array_intersect(x, y)) >= F.size(F.array_union(x, y)) * least - 1e-9).select("a", "b")
-    same = cls.select(F.col("c").alias("a"), F.col("c").alias("b"))
-    pairs = near.unionByName(same).join(of.toDF("oa", "a"), "a").join(of.toDF("ob", "b"), "b").where((F.col("a") < F.col("b")) | (F.col("oa") < F.col("ob")))
+    return near
+
+
+def near_pairs(entities: DataFrame, least: float, verified: bool = False) -> DataFrame:
+    """(a, b) of ords, a < b, whose names share enough bigrams for a likeness of `least`: pairs of classes, dealt out to their names."""
+    of, classes = bigram_classes(entities)
+    same = classes.select(F.col("c").alias("a"), F.col("c").alias("b"))
+    pairs = near_classes(classes, least, verified).unionByName(same).join(of.toDF("oa", "a"), "a").join(of.toDF("ob", "b"), "b").where((F.col("a") < F.col("b")) | (F.col("oa") < F.col("ob")))
     return pairs.select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
 
 
+def similar_classes(entities: DataFrame, least: float = 0.5) -> DataFrame:
+    """(ord, class, links): each named row's class, the least ord with the same bigrams, and with how many other rows its likeness
+    reaches `least`. Links are counted by classes: copies of a name cost a row each, not a pair each. Names of one character or none
+    are classes of their own, linked with equal ones only."""
+    e = named_rows(entities)
+    of, classes = bigram_classes(e)
+    own = Stages()
+    of, classes = own.keep(of), own.keep(classes)
+    near = own.keep(near_classes(classes, least))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(classes.select(F.col("c").alias("b"), "size"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("size").alias("far"))
+    linked = of.join(classes.select("c", "size"), "c").join(far, "c", "left").select("ord", F.col("c").alias("class"), (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    short = e.join(of.select("ord"), "ord", "left_anti").select("ord", F.regexp_replace(F.lower("name"), r"(?U)\s+", "").alias("w"))
+    alone = short.join(short.groupBy("w").agg(F.min("ord").alias("c"), F.count("*").alias("n")), "w")
+    return own.done(linked.unionByName(alone.select("ord", F.when(F.col("w") == "", F.col("ord")).otherwise(F.col("c")).alias("class"), F.when(F.col("w") == "", 0).otherwise(F.col("n") - 1).cast("long").alias("links"))))
+
+
 def candidate_pairs(entities: DataFrame, least: float, verified: bool = False) -> DataFrame:
     """(a, b) of ords whose name likeness can reach `least`: those of near_pairs, and rows with a name, alias or canonical key in
     common, each linked with the first row that has it."""

@@ -3,6 +3,9 @@ chain_nodes(question_id, hop, ord, name, label, properties); steps(question_id,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -23,6 +26,29 @@ def append_hop(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return steps, last.select("question_id", F.explode("n").alias("name"))
 
 
+def chain_totals(edges: DataFrame) -> DataFrame:
+    """A2: (question_id, n_edges, confidence), the product in the chain's order. Each question's edges come sorted to one task, which
+    multiplies them as they pass and holds none; a null confidence counts as 1."""
+    rows = edges.select("question_id", "hop", "ord", F.coalesce("confidence", F.lit(1.0)).alias("confidence")).repartition("question_id").sortWithinPartitions("question_id", "hop", "ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, product, first = None, 0, 1.0, True
+        give = lambda: pa.RecordBatch.from_arrays([now, pa.array([n], pa.int64()), pa.array([product])], names=["question_id", "n_edges", "confidence"])
+        for batch in batches:
+            keys = batch.column(0)
+            for i, (key, confidence) in enumerate(zip(keys.to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if first or key != last:
+                    if not first:
+                        yield give()
+                    now, n, product, last, first = keys.slice(i, 1), 0, 1.0, key, False
+                n, product = n + 1, product * confidence
+        if not first:
+            yield give()
+
+    kind = edges.schema["question_id"].dataType.simpleString()
+    return rows.select("question_id", "confidence").mapInArrow(run, f"question_id {kind}, n_edges long, confidence double")
+
+
 def chains(edges: DataFrame, questions: DataFrame | None = None, chain_nodes: DataFrame | None = None) -> DataFrame:
     """A2, A3: (question_id, n_edges, confidence, path, description), products in order. The path is the first edge's source and every target.
     With `questions`, those without edges have a row too: confidence 1.0, and the names of their chain_nodes, in order, as the path."""

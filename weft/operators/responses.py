@@ -43,19 +43,38 @@ def prompts(rows: DataFrame, template: str, **slots: Column) -> DataFrame:
     return rows.withColumn("prompt", out)
 
 
-def infer(rows: DataFrame, model: Callable[[list[str]], list[str | None]], batch: int = 32) -> DataFrame:
-    """(prompt_id, attempt, text, error) from rows(prompt_id, prompt): the caller's model, batch by batch on the executors. A batch that raises becomes error rows."""
+def answered(model: Callable[[list[str]], list[str | None]], prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """(text, error) of each prompt. A batch that raises, or answers too few, is halved until the prompts that fail stand alone."""
+    if not prompts:
+        return []
+    try:
+        texts = list(model(prompts))
+        if len(texts) != len(prompts):
+            raise ValueError(f"{len(texts)} answers to {len(prompts)} prompts")
+        return [(t, None) for t in texts]
+    except Exception as e:  # noqa: BLE001  a failed call is a row, not a failed job
+        if len(prompts) == 1:
+            return [(None, str(e) or type(e).__name__)]
+        half = len(prompts) // 2
+        return answered(model, prompts[:half]) + answered(model, prompts[half:])
+
+
+def infer(rows: DataFrame, model: Callable[[list[str]], list[str | None]], batch: int = 32, attempts: int = 1) -> DataFrame:
+    """(prompt_id, attempt, text, error) from rows(prompt_id, prompt): the caller's model, batch by batch on the executors. A prompt that
+    fails is an error row and leaves the others of its batch alone. With more `attempts`, those that failed are asked again, and after
+    attempt 0 those with a blank answer too, as chosen_attempt (P4) reads them; each attempt made is a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ps = b.column("prompt_id").to_pylist(), b.column("prompt").to_pylist()
             for lo in range(0, len(ids), batch):
-                part = ids[lo : lo + batch]
-                try:
-                    texts, errors = list(model(ps[lo : lo + batch])), [None] * len(part)
-                except Exception as e:  # noqa: BLE001  a failed call is a row, not a failed job
-                    texts, errors = [None] * len(part), [str(e) or type(e).__name__] * len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([0] * len(part), pa.int32()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["prompt_id", "attempt", "text", "error"])
+                todo = list(range(lo, min(lo + batch, len(ids))))
+                for attempt in range(attempts):
+                    got = answered(model, [ps[i] for i in todo])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in todo], pa.string()), pa.array([attempt] * len(todo), pa.int32()), pa.array([t for t, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["prompt_id", "attempt", "text", "error"])
+                    todo = [i for i, (t, e) in zip(todo, got, strict=True) if e is not None or (attempt == 0 and not (t or "").strip())]
+                    if not todo:
+                        break
 
     return rows.select(F.col("prompt_id").cast("string").alias("prompt_id"), "prompt").mapInArrow(run, "prompt_id string, attempt int, text string, error string")
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .components import Stages
+
 
 def predicate_profile(triples: DataFrame) -> DataFrame:
     """(predicate, n, self_loops, share)."""
@@ -14,13 +18,29 @@ def predicate_profile(triples: DataFrame) -> DataFrame:
     return g.select("predicate", "n", "self_loops", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("share"))
 
 
-def reduction(**stages: DataFrame) -> DataFrame:
-    """(stage, n) in the given order."""
-    out = None
-    for i, (name, df) in enumerate(stages.items()):
-        one = df.agg(F.count("*").alias("n")).select(F.lit(i).alias("pos"), F.lit(name).alias("stage"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+def extraction_profile(sections: DataFrame, entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """(kind, name, n): the numbers of sections, entities and triples, of self-loops, and of each predicate's triples. The triples are
+    read once: their counts are sums over the few rows of predicates."""
+    by = predicate_profile(triples)
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n")
+    counted = by.agg(F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(k).alias("name"), F.coalesce(F.sum(c), F.lit(0)).alias("n")) for k, c in (("triples", "n"), ("self_loops", "self_loops"))]).alias("xs")).select(F.explode("xs").alias("x")).select("x.*")
+    return one(sections, "sections").unionByName(one(entities, "entities")).unionByName(counted).unionByName(by.select(F.lit("predicate").alias("kind"), F.col("predicate").alias("name"), "n"))
+
+
+def reduction(start: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], first: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """((pos, stage, n), result): how many rows each step left, and what the last one gave. Rows are counted by observations while
+    the steps' results are written: each is made once, and nothing is read to be counted."""
+    spark, own = start.sparkSession, Stages()
+    seen = [(first, Observation())]
+    df = start.observe(seen[0][1], F.count(F.lit(1)).alias("n"))
+    for name, step in steps:
+        seen.append((name, Observation()))
+        df = own.keep(step(df).observe(seen[-1][1], F.count(F.lit(1)).alias("n")))
+    if not steps:
+        df = own.keep(df)
+    own.kept.remove(df)
+    own.gone(*own.kept)
+    return spark.createDataFrame([(i, name, o.get["n"]) for i, (name, o) in enumerate(seen)], "pos int, stage string, n long"), df
 
 
 def qa_scores(pairs: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -590,8 +590,9 @@ def x1_predicate_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {TRIPLES}, {FILTERED}, d AS (SELECT DISTINCT s, predicate, o FROM kept WHERE s <> '' AND o <> '')
 SELECT 0 AS pos, 'raw' AS stage, count(*) AS n FROM triples UNION ALL SELECT 1, 'filtered', count(*) FROM kept UNION ALL SELECT 2, 'unique', count(*) FROM d""")
 def x2_reduction(spark: SparkSession, sf: str) -> DataFrame:
-    f = filtered(spark, sf)
-    return stats.reduction(raw=fx.triples(spark, sf), filtered=f, unique=triples.dedup_triples(f))
+    names = fx.table(spark, sf, "supplier").select(F.col("s_name").alias("name"))
+    out, _ = stats.reduction(fx.triples(spark, sf), [("filtered", lambda t: triples.filter_triples(t, names, ["supplies"])), ("unique", triples.dedup_triples)])
+    return out
 
 
 @query("""SELECT o_orderkey AS question_id, count(DISTINCT l_partkey) AS expected, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_partkey END) AS found,

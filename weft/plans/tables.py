@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ from ..operators import questions as que
 from ..operators import reasoning as rea
 from ..operators import responses as res
 from ..operators import sections as sec
-from ..operators import training, triples, validation
+from ..operators import stats, store, training, triples, validation
+from ..operators.components import shared_dir
 from ..sources import files
 from . import fixtures as fx
 from .fixtures import EDGES, ENTITIES, NODES, QUESTIONS, TRIPLES
-from .queries import ORDER_EDGES, joined, order_edges, query, supplier_keys
+from .queries import ORACLE, ORDER_EDGES, joined, order_edges, query, supplier_keys
 
 
 def quoted(c) -> F.Column:
@@ -315,3 +318,153 @@ def s3_checked_extension(spark: SparkSession, sf: str) -> DataFrame:
     names = fx.table(spark, sf, "region").select(F.concat("r_name", F.lit(".MD")).alias("filename")).unionByName(fx.table(spark, sf, "nation").select(F.concat("n_name", F.lit(".txt")).alias("filename")))
     yes, no = files.checked_extension(names, ".md")
     return yes.select("filename", F.lit(True).alias("accepted")).unionByName(no.select("filename", F.lit(False).alias("accepted")))
+
+
+# ── the store, retries, profiles and chains ──
+
+
+def own_store(spark: SparkSession) -> store.GraphStore:
+    """A store of its own in the shared folder."""
+    name = "g" + uuid.uuid4().hex
+    return store.GraphStore(spark, name, f"{shared_dir(spark)}/weft/{spark.sparkContext.applicationId}/{name}", parts=8, buckets=8)
+
+
+@query(f"""WITH {ENTITIES}, e AS (SELECT *, trim(name) AS n, (ord % 2) * 1000000000000 + ord AS o FROM entities)
+SELECT entity_type AS label, n AS name, arg_max(size, o) AS size, arg_max(brand, o) FILTER (WHERE brand IS NOT NULL) AS brand, arg_max(alias, o) AS aliases FROM e GROUP BY entity_type, n""")
+def b1_two_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of even, then of odd ord, upserted into a store."""
+    s, e = own_store(spark), fx.entities(spark, sf)
+    nodes, _ = g.upsert_nodes(e.where("ord % 2 = 0"))
+    s.write(nodes, fx.edges(spark, sf).where("false"))
+    s.upsert(e.where("ord % 2 = 1"))
+    p = F.col("properties")
+    return s.nodes().select("label", "name", p["size"].alias("size"), p["brand"].alias("brand"), p["aliases"].alias("aliases"))
+
+
+@query(ORACLE["g5_neighbours"])
+def b6_store_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours out of a store into which suppliers' edges came as a second batch."""
+    s, e = own_store(spark), fx.edges(spark, sf)
+    s.write(fx.nodes(spark, sf), e.where("type <> 'supplies'"))
+    s.add_edges(e.where("type = 'supplies'"))
+    keys = supplier_keys(spark, sf)
+    return g.neighbours(keys, s.edges(), s.nodes(), limit=20, around=s.ways()).select("question_id", "node", "other", "other_name", "other_label", "type", "src", "dst")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, len(text) AS n FROM conversations WHERE text IS NOT NULL),
+a AS (SELECT *, unnest([0, 1, 2]) AS attempt FROM p)
+SELECT conv_id, turn, attempt::INT AS attempt, CASE WHEN n % 11 <> 0 THEN CASE WHEN n % 5 = 0 THEN '' ELSE 'said ' || n END END AS text, CASE WHEN n % 11 = 0 THEN 'refused' END AS error
+FROM a WHERE attempt = 0 OR n % 11 = 0 OR (attempt = 1 AND n % 5 = 0)""")
+def p3_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that raises on some prompts and answers others with nothing, asked up to three times."""
+
+    def model(prompts: list[str]) -> list[str]:
+        if any(int(p) % 11 == 0 for p in prompts):
+            raise RuntimeError("refused")
+        return ["" if int(p) % 5 == 0 else f"said {p}" for p in prompts]
+
+    c = fx.table(spark, sf, "conversations").where("text is not null")
+    out = res.infer(c.select(F.concat_ws(":", "conv_id", "turn").alias("prompt_id"), F.length("text").cast("string").alias("prompt")), model, attempts=3)
+    return out.select(F.split("prompt_id", ":")[0].cast("long").alias("conv_id"), F.split("prompt_id", ":")[1].cast("long").alias("turn"), "attempt", "text", "error")
+
+
+@query(f"""WITH {TRIPLES}, {ENTITIES} SELECT 'total' AS kind, 'sections' AS name, count(*) AS n FROM documents UNION ALL SELECT 'total', 'entities', count(*) FROM entities
+UNION ALL SELECT 'total', 'triples', count(*) FROM triples UNION ALL SELECT 'total', 'self_loops', count(*) FROM triples WHERE subject = object UNION ALL SELECT 'predicate', predicate, count(*) FROM triples GROUP BY predicate""")
+def x1_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.extraction_profile(fx.table(spark, sf, "documents"), fx.entities(spark, sf), fx.triples(spark, sf))
+
+
+@query(f"""WITH {TRIPLES}, {ORDER_EDGES} SELECT question_id, count(*) AS n_edges, round(product(confidence) + 1e-9, 6) AS confidence FROM oe GROUP BY question_id""")
+def a2_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return evi.chain_totals(order_edges(spark, sf)).select("question_id", "n_edges", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"))
+
+
+def order_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The far end of each edge, with a description where the order's number is even."""
+    e = order_edges(spark, sf)
+    described = F.when(F.col("question_id") % 2 == 0, F.create_map(F.lit("description"), F.concat(F.lit("<"), "target", F.lit(">")))).otherwise(F.create_map().cast("map<string,string>"))
+    return e.select("question_id", "hop", "ord", F.col("target").alias("name"), F.lit("Part").alias("label"), described.alias("properties"))
+
+
+@query(f"""WITH {TRIPLES}, {ORDER_EDGES} SELECT question_id, sha256('{{"nodes":[' || string_agg('{{"hop":' || hop || ',"ord":' || ord || ',"name":"' || target || '","label":"Part"}}', ',' ORDER BY hop, ord)
+ || '],"edges":[' || string_agg('{{"hop":' || hop || ',"ord":' || ord || ',"source":"' || source || '","type":"' || type || '","target":"' || target || '","confidence":' || confidence::VARCHAR || ',"source_chunk_id":"' || chunk || '"}}', ',' ORDER BY hop, ord) || ']}}') AS sha256
+FROM oe GROUP BY question_id""")
+def a4_chain_json(spark: SparkSession, sf: str) -> DataFrame:
+    return evi.chain_json(order_edges(spark, sf), order_nodes(spark, sf)).select("question_id", F.sha2("chain", 256).alias("sha256"))
+
+
+@query(f"""WITH {TRIPLES}, {ORDER_EDGES},
+hops AS (SELECT question_id, hop, arg_min(type, ord) AS used, string_agg('      <edge source="' || source || '" relation="' || type || '" target="' || target || '" confidence="' || printf('%.2f', confidence) || '" chunk_id="' || chunk || '"'
+  || CASE WHEN line <> '' THEN '>' || chr(10) || '        <source_text>' || line || '</source_text>' || chr(10) || '      </edge>' ELSE ' />' END, chr(10) ORDER BY ord) AS t,
+  list(target ORDER BY ord) AS ts FROM oe GROUP BY question_id, hop),
+firsts AS (SELECT question_id, hop, used, t, list_reduce(list_prepend([]::VARCHAR[], list_transform(ts, lambda x: [x])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE a || x END) AS seen,
+  dense_rank() OVER (PARTITION BY question_id ORDER BY hop) AS step FROM hops),
+body AS (SELECT question_id, string_agg('    <hop number="' || hop || '">' || chr(10) || t || chr(10) || '    </hop>' || chr(10), '' ORDER BY hop) AS edges,
+  string_agg('    <step hop="' || step || '">通过' || used || '探索 ' || array_to_string(seen, '、') || '</step>' || chr(10), '' ORDER BY step) AS steps FROM firsts GROUP BY question_id),
+ents AS (SELECT question_id, string_agg('    <entity name="' || target || '" label="Part" hop="' || hop || '"' || CASE WHEN question_id % 2 = 0 THEN '>&lt;' || target || '&gt;</entity>' ELSE ' />' END || chr(10), '' ORDER BY hop, ord) AS nodes FROM oe GROUP BY question_id)
+SELECT question_id, sha256('<evidence_chain start="q' || question_id || '" confidence="0.50">' || chr(10) || '  <reasoning_path>' || chr(10) || edges || '  </reasoning_path>' || chr(10) || '  <entities>' || chr(10) || nodes
+ || '  </entities>' || chr(10) || '  <reasoning_steps>' || chr(10) || steps || '  </reasoning_steps>' || chr(10) || '</evidence_chain>') AS sha256 FROM body JOIN ents USING (question_id)""")
+def a5_chain_xml(spark: SparkSession, sf: str) -> DataFrame:
+    e = order_edges(spark, sf)
+    steps, _ = evi.append_hop(e)
+    heads = e.select("question_id").distinct().select("question_id", F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("start"), F.lit(None).cast("string").alias("end"), F.lit(0.5).alias("confidence"))
+    return evi.chain_xml(e, order_nodes(spark, sf), steps, heads).select("question_id", F.sha2("xml", 256).alias("sha256"))
+
+
+#: Names with repeats: of parts, nations, regions and suppliers.
+EVERY_NAME = """every AS (SELECT name, row_number() OVER (ORDER BY kind, k) AS ord FROM (SELECT 'p' AS kind, p_partkey AS k, p_name AS name FROM part UNION ALL SELECT 'n', n_nationkey, n_name FROM nation UNION ALL SELECT 'r', r_regionkey, r_name FROM region UNION ALL SELECT 's', s_suppkey, s_name FROM supplier)),
+w AS (SELECT replace(lower(name), ' ', '') AS w, count(*) AS n FROM every GROUP BY 1),
+g AS (SELECT w, n, list_distinct(list_transform(range(1, len(w)), lambda i: substr(w, i, 2))) AS x FROM w)"""
+
+
+@query(f"""WITH {EVERY_NAME}, l AS (SELECT a.w, sum(b.n) - 1 AS links FROM g a JOIN g b ON len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::DOUBLE >= 0.5 GROUP BY a.w)
+SELECT name, count(*) AS n, any_value(links)::BIGINT AS links FROM every JOIN l ON w = replace(lower(name), ' ', '') GROUP BY name""")
+def e9_similar_classes(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda table, key, name: fx.table(spark, sf, table).select(F.lit(table).alias("t"), F.col(key).cast("long").alias("k"), F.col(name).alias("name"))
+    names = t("part", "p_partkey", "p_name").unionByName(t("nation", "n_nationkey", "n_name")).unionByName(t("region", "r_regionkey", "r_name")).unionByName(t("supplier", "s_suppkey", "s_name"))
+    e = names.select(F.struct("t", "k").alias("ord"), "name", F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("canonical"))
+    return ent.similar_classes(e, 0.5).join(e.select("ord", "name"), "ord").groupBy("name").agg(F.count("*").alias("n"), F.max("links").alias("links"))
+
+
+@query()
+def e10_near_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers of one nation whose names differ in little; every seventh name has a digit changed, every fifth supplier has no balance."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 7 == 0, F.concat(F.expr("substr(s_name, 1, length(s_name) - 1)"), F.lit("x"))).otherwise(F.col("s_name"))
+    props = F.when(k % 5 == 0, F.create_map(F.lit("nation"), F.lit("1"))).otherwise(F.create_map(F.lit("nation"), F.lit("1"), F.lit("balance"), fx.text_of("s_acctbal")))
+    e = fx.table(spark, sf, "supplier").select(k.cast("long").alias("ord"), name.alias("name"), F.concat(F.lit("of nation "), fx.text_of("s_nationkey")).alias("entity_type"), F.array().cast("array<string>").alias("aliases"), props.alias("properties"))
+    out = ent.merge_across(ent.canonical(e), 0.85)
+    return out.select("ord", "name", "entity_type", joined("aliases").alias("aliases"), "n_merged")
+
+
+@query(f"""WITH {PAIRED} SELECT k, round(0.5 * CASE WHEN na = nb OR ba = bb THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE END
+  + 0.3 * CASE WHEN lower(ta) = lower(tb) THEN 1.0 WHEN contains(lower(ta), lower(tb)) OR contains(lower(tb), lower(ta)) THEN 0.5 ELSE 0.0 END
+  + 0.2 * CASE k % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0.0 END, 6) AS likeness FROM gr""")
+def e8_property_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys {a}, {a, b}, {b, c, d}, none by id: half, a quarter, nothing in common."""
+    p = fx.table(spark, sf, "part")
+    made = lambda *keys: F.create_map(*[x for key in keys for x in (F.lit(key), F.lit("1"))]) if keys else F.create_map().cast("map<string,string>")
+    m = F.col("p_partkey") % 4
+    own = F.when(m == 0, made("a")).when(m == 1, made("a", "b")).when(m == 2, made("b", "c", "d")).otherwise(made())
+    e = p.select(F.col("p_partkey").alias("k"), F.struct(F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.lower("p_name").alias("canonical"), F.col("p_type").alias("entity_type"), own.alias("properties")).alias("e"))
+    pairs = e.select("k", F.col("e").alias("a")).join(e.select((F.col("k") - 1).alias("k"), F.col("e").alias("b")), "k")
+    return pairs.select("k", F.round(ent.similarity("a", "b"), 6).alias("likeness"))
+
+
+@query(f"WITH {NODES} SELECT 'C' || c_custkey AS node_id, c_name AS name, 'segment' AS key, c_mktsegment AS value FROM customer")
+def g3_node_properties(spark: SparkSession, sf: str) -> DataFrame:
+    return g.node_properties(fx.table(spark, sf, "customer").select(F.col("c_name").alias("name")), fx.nodes(spark, sf)).select("node_id", "name", "key", "value")
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN trim(p_name) = p_brand THEN p_brand ELSE p_brand || '|' || p_name END || CASE WHEN p_type IN (p_brand, p_name) THEN '' ELSE '|' || p_type END AS names FROM part""")
+def m3_unique_entities(spark: SparkSession, sf: str) -> DataFrame:
+    listed = F.array("p_brand", F.lit("  "), F.concat(F.lit(" "), "p_name"), F.col("p_brand"), F.concat("p_type", F.lit(" ")), F.lit(""), F.col("p_name"))
+    return fx.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.array_join(rea.unique_entities(listed), "|").alias("names"))
+
+
+@query("""SELECT c_custkey AS k, greatest(0.0, round(greatest(0.0, least(1.0, c_acctbal / 5000)) - CASE WHEN c_custkey % 3 = 0 THEN 0.2 ELSE 0.0 END - CASE WHEN c_custkey % 2 = 0 THEN 0.1 ELSE 0.0 END, 6)) AS confidence FROM customer""")
+def a10_hedged(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that hedge where 3 divides the key and are short where 2 does."""
+    k = F.col("c_custkey")
+    answer = F.concat(F.when(k % 3 == 0, F.lit("可能")).otherwise(""), F.when(k % 2 == 0, F.lit("short")).otherwise(F.concat(F.lit("an answer of more than twenty characters, "), "c_name")))
+    return fx.table(spark, sf, "customer").select(k.alias("k"), F.round(evi.answer_confidence(answer, F.col("c_acctbal") / 5000), 6).alias("confidence"))
