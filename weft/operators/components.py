@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+UNION = "spark.sql.unionOutputPartitioning"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir. A local master that names none gets one of its own, as in tests;
     on a cluster that is an error, as executors do not see each other's disks."""
@@ -27,7 +30,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Spark 4.1 zips the partitions of a union whose sides report one partitioning, and fails where adaptive execution has split one of them
+    was = spark.conf.get(UNION, None)
+    spark.conf.set(UNION, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(UNION) if was is None else spark.conf.set(UNION, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out

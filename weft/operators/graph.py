@@ -202,65 +202,64 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 3, directed:
     A pair is searched from both ends, a whole level at a time, on the side whose frontier has fewer edges to follow, so that a hub is
     not entered while the other end can go on. A level keeps one row for each new node and the node before it, no paths. Where
     the frontiers meet first, the levels that lead there are marked back to the start, and the least path is read off them forward."""
-    cols, pair = ["question_id", "start", "end"], ["question_id", "start", "end"]
+    pair = ["question_id", "start", "end"]
     own = Stages()
-    live = own.keep(pairs.select(*cols).distinct().where("start <> end"))
-    empty = live.select(*cols, F.lit(1).alias("hop"), F.col("start").alias("node"), F.col("end").alias("other"), *[F.lit("").alias(c) for c in ("edge_id", "src", "dst", "type")]).where("false")
+    live = own.keep(pairs.select(*pair).distinct().where("start <> end"))
+    empty = live.select(*pair, F.lit(1).alias("hop"), F.col("start").alias("node"), F.col("end").alias("other"), *[F.lit("").alias(c) for c in ("edge_id", "src", "dst", "type")]).where("false")
     if hops <= 0 or live.isEmpty():
         return own.done(empty)
-    # node -> other on side 0 as one travels, on side 1 against that; of parallel edges the least
+    # way(node, other, edge): one step of travel, of parallel edges the least; side 0 takes it from node to other, side 1 back
     e = edges.select("edge_id", "src", "dst", "type")
-    way = incident(e, "out" if directed else "both").where("node <> other").groupBy("node", "other").agg(F.min(F.struct("edge_id", "src", "dst", "type")).alias("edge"))
-    way = own.keep(way.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), "node", "other", "edge"), F.struct(F.lit(1).alias("side"), F.col("other").alias("node"), F.col("node").alias("other"), "edge"))).alias("w")).select("w.*"))
-    degree = own.keep(way.groupBy("side", "node").agg(F.count("*").alias("degree")))
-    # steps(pair, side, depth, before, node, edge): the nodes first met at each depth of a side, with each way into them
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("node")), F.struct(F.lit(1).alias("side"), F.col("end").alias("node")))).alias("x")
+    way = own.keep(incident(e, "out" if directed else "both").where("node <> other").groupBy("node", "other").agg(F.min(F.struct("edge_id", "src", "dst", "type")).alias("edge")))
+    count = lambda side, key: way.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("degree")).select(F.lit(side).alias("side"), "node", "degree")
+    degree = own.keep(count(0, "node").unionByName(count(1, "other")))
+    # steps(pair, side, depth, before, node, edge, far): the nodes first met at each depth of a side, with each way into them; far: their depth
+    # on the other side, if it has them
     edge = way.schema["edge"].dataType
-    first = own.keep(live.select(*cols, ends).select(*cols, "x.side", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("before"), "x.node", F.lit(None).cast(edge).alias("edge")))
-    steps, met = [first], []
-    for _ in range(hops):
+    none = lambda kind: F.lit(None).cast(kind)
+    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("node")) for i, c in ((0, "start"), (1, "end"))])).alias("x")
+    steps = [live.select(*pair, ends).select(*pair, "x.side", F.lit(0).alias("depth"), none("string").alias("before"), "x.node", none(edge).alias("edge"), none("int").alias("far"))]
+    for i in range(hops):
         every = reduce(DataFrame.unionByName, steps)
-        at = every.groupBy(*pair, "side").agg(F.max("depth").alias("depth"))
-        # the frontiers' edges decide the side of each pair; a side without any ends the pair
-        ahead = every.join(live, pair, "left_semi").select(*pair, "side", "depth", "node").distinct().join(at, [*pair, "side", "depth"], "left_semi")
+        met = every.groupBy(*pair, "side", "node").agg(F.first("depth").alias("depth"))
+        last = met.groupBy(*pair, "side").agg(F.max("depth").alias("depth"))
+        ahead = met.join(live.select(*pair), pair, "left_semi").join(last, [*pair, "side", "depth"], "left_semi")
+        # the edges ahead decide the side of each pair; a side without any ends the pair
         cost = ahead.join(degree, ["side", "node"], "left").groupBy(*pair).agg(*[F.sum(F.when(F.col("side") == i, F.coalesce("degree", F.lit(0)))).alias(f"d{i}") for i in (0, 1)])
         turn = cost.where("d0 > 0 and d1 > 0").select(*pair, F.when(F.col("d1") < F.col("d0"), 1).otherwise(0).alias("side"))
-        go = ahead.join(turn, [*pair, "side"]).join(way, ["side", "node"])
-        seen = every.select(*pair, "side", F.col("node").alias("other")).distinct()
-        new = own.keep(go.join(seen, [*pair, "side", "other"], "left_anti").select(*pair, "side", (F.col("depth") + 1).alias("depth"), F.col("node").alias("before"), F.col("other").alias("node"), "edge"))
+        ahead = ahead.join(turn, [*pair, "side"])
+        out = ahead.where("side = 0").join(way, "node").select(*pair, "side", "depth", F.col("node").alias("before"), F.col("other").alias("node"), "edge")
+        back = ahead.where("side = 1").withColumnRenamed("node", "other").join(way, "other").select(*pair, "side", "depth", F.col("other").alias("before"), "node", "edge")
+        known = met.groupBy(*pair, "node").agg(*[F.max(F.when(F.col("side") == i, F.col("depth"))).alias(f"at{i}") for i in (0, 1)])
+        new = out.unionByName(back).join(known, [*pair, "node"], "left")
+        mine, other = (F.when(F.col("side") == j, F.col("at0")).otherwise(F.col("at1")) for j in (0, 1))
+        # after the last hop only those count where the sides meet
+        new = own.keep(new.where(mine.isNull() if i < hops - 1 else mine.isNull() & other.isNotNull()).select(*pair, "side", (F.col("depth") + 1).alias("depth"), "before", "node", "edge", other.alias("far")))
         steps.append(new)
-        far = every.select(*pair, (1 - F.col("side")).alias("side"), "node", F.col("depth").alias("far")).distinct()
-        hit = own.keep(new.select(*pair, "side", "depth", "node").distinct().join(far, [*pair, "side", "node"]))
-        met.append(hit)
-        live = own.keep(turn.select(*pair).join(hit.select(*pair).distinct(), pair, "left_anti").join(new.select(*pair).distinct(), pair, "left_semi"))
+        live = new.groupBy(*pair).agg(F.max("far").alias("far")).where("far is null")
         if live.isEmpty():
             break
-    every = own.keep(reduce(DataFrame.unionByName, steps).where("depth > 0"))
-    hit = reduce(DataFrame.unionByName, met)
-    # where a pair's sides meet: depth a from the start, b from the end
-    meet = own.keep(hit.select(*pair, "node", F.when(F.col("side") == 0, F.col("depth")).otherwise(F.col("far")).alias("a"), F.when(F.col("side") == 0, F.col("far")).otherwise(F.col("depth")).alias("b")))
-    lengths = own.keep(meet.groupBy(*pair).agg(F.first("a").alias("a"), F.first("b").alias("b")))
-    # marked(pair, at, node, other, edge): the ways of the shortest paths, at steps away from the start
-    mine = every.join(lengths, pair, "left_semi")
+    keep = own.keep if hops > 3 else lambda df: df  # few hops are one plan
+    every = reduce(DataFrame.unionByName, steps[1:])
+    # where a pair's sides meet: a away from the start, b from the end
+    first = F.col("side") == 0
+    meet = every.where("far is not null").select(*pair, "node", F.when(first, F.col("depth")).otherwise(F.col("far")).alias("a"), F.when(first, F.col("far")).otherwise(F.col("depth")).alias("b")).distinct()
+    lengths = meet.select(*pair, "a", "b").distinct()
+    mine = every.join(lengths, pair).select(*pair, "side", "depth", "before", "node", "edge", "a", "b")
+    # marked(pair, at, node, other, edge): the ways of the shortest paths, `at` steps away from the start
     front, marked = meet.select(*pair, "node").distinct(), []
-    for back in range(hops):
-        way_in = mine.where("side = 0").join(lengths.select(*pair, (F.col("a") - back).alias("depth")), [*pair, "depth"]).join(front, [*pair, "node"])
-        part = own.keep(way_in.select(*pair, (F.col("depth") - 1).alias("at"), F.col("before").alias("node"), F.col("node").alias("other"), "edge"))
-        if part.isEmpty():
-            break
+    for i in range(min(hops, len(steps) - 1)):
+        part = keep(mine.where(first & (F.col("depth") == F.col("a") - i)).join(front, [*pair, "node"], "left_semi").select(*pair, (F.col("depth") - 1).alias("at"), F.col("before").alias("node"), F.col("node").alias("other"), "edge"))
         marked.append(part)
         front = part.select(*pair, "node").distinct()
-    onward = mine.where("side = 1").join(lengths, pair).select(*pair, (F.col("a") + F.col("b") - F.col("depth")).alias("at"), "node", F.col("before").alias("other"), "edge")
+    onward = mine.where(~first).select(*pair, (F.col("a") + F.col("b") - F.col("depth")).alias("at"), "node", F.col("before").alias("other"), "edge")
     marked = own.keep(reduce(DataFrame.unionByName, [*marked, onward]))
     here, parts = lengths.select(*pair, F.col("start").alias("node")), []
-    for at in range(hops):
-        step = here.join(marked.where(F.col("at") == at), [*pair, "node"]).groupBy(*pair, "node").agg(F.min(F.struct("other", "edge")).alias("x"))
-        step = own.keep(step.select(*pair, F.lit(at + 1).alias("hop"), "node", "x.other", "x.edge.*"))
-        if step.isEmpty():
-            break
-        parts.append(step)
-        here = step.select(*pair, F.col("other").alias("node"))
-    return own.done(reduce(DataFrame.unionByName, parts, empty))
+    for i in range(min(hops, len(steps) - 1)):
+        step = here.join(marked.where(F.col("at") == i), [*pair, "node"]).groupBy(*pair, "node").agg(F.min(F.struct("other", "edge")).alias("x"))
+        parts.append(keep(step.select(*pair, F.lit(i + 1).alias("hop"), "node", "x.other", "x.edge.*")))
+        here = parts[-1].select(*pair, F.col("other").alias("node"))
+    return own.done(reduce(DataFrame.unionByName, parts))
 
 
 def node_context(keys: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 1, limit: int | None = 20) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from ..operators import reasoning as rea
 from ..operators import responses as res
 from ..operators import sections as sec
 from ..operators import stats, training, triples, validation
+from ..operators.components import checkpointed
 from ..sources import files
 from . import fixtures as fx
 from .fixtures import EDGES, ENTITIES, NODES, PLAIN, QUESTIONS, TRIPLES
@@ -36,6 +37,15 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def stored_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph's nodes as a written table, as walks over a graph find them."""
+    return checkpointed(fx.nodes(spark, sf))
+
+
+def stored_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return checkpointed(fx.edges(spark, sf))
+
+
 def joined(c: str):
     return F.array_join(c, "|")
 
@@ -303,7 +313,7 @@ def nation_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {EDGES}, {REACH} SELECT question_id, start, hop, count(*) AS n FROM (SELECT question_id, start, node, min(hop) AS hop FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2, 3")
 def g7_reach(spark: SparkSession, sf: str) -> DataFrame:
-    return g.reach(nation_keys(spark, sf), fx.edges(spark, sf), 2).groupBy("question_id", "start", "hop").agg(F.count("*").alias("n"))
+    return g.reach(nation_keys(spark, sf), stored_edges(spark, sf), 2).groupBy("question_id", "start", "hop").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {EDGES}, p AS (SELECT s_suppkey AS k, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT k AS question_id, 1 AS hop, 'S' || k AS src, 'N' || n AS dst, 'in_nation' AS type FROM p UNION ALL SELECT k, 2, 'N' || n, 'R' || r, 'in_region' FROM p")
@@ -311,7 +321,7 @@ def g8_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.table(spark, sf, "supplier").join(fx.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     key = lambda m, c: F.concat(F.lit(m), F.col(c).cast("string"))
     pairs = s.select(F.col("s_suppkey").alias("question_id"), key("S", "s_suppkey").alias("start"), key("R", "n_regionkey").alias("end"))
-    return g.shortest_paths(pairs, fx.edges(spark, sf), 3).select("question_id", "hop", "src", "dst", "type")
+    return g.shortest_paths(pairs, stored_edges(spark, sf), 3).select("question_id", "hop", "src", "dst", "type")
 
 
 @query(f"""WITH {EDGES}, t AS (SELECT node, source_text, min(source_chunk_id) AS c FROM incident WHERE node LIKE 'P%' AND source_text IS NOT NULL GROUP BY 1, 2),
@@ -380,7 +390,7 @@ SELECT question_id, node, other, type FROM r WHERE rn <= 20
 def m4_expand(spark: SparkSession, sf: str) -> DataFrame:
     keys = supplier_keys(spark, sf)
     hints = keys.select("question_id", F.when(F.col("question_id") % 2 == 0, "in_nation").otherwise("no such type").alias("type"))
-    return rea.expand(keys, fx.edges(spark, sf), fx.nodes(spark, sf), hints).select("question_id", "node", "other", "type")
+    return rea.expand(keys, stored_edges(spark, sf), stored_nodes(spark, sf), hints).select("question_id", "node", "other", "type")
 
 
 @query(f"""
@@ -392,7 +402,7 @@ def m5_plan_hop(spark: SparkSession, sf: str) -> DataFrame:
     keys = supplier_keys(spark, sf)
     k = F.col("question_id") % 3
     steps = keys.select("question_id", F.when(k == 2, "Nation").otherwise("Part").alias("target_type"), F.when(k == 0, "supplies").when(k == 1, "wrong").alias("relation_hint"), F.lit("both").alias("direction"))
-    return rea.plan_hop(keys, steps, fx.edges(spark, sf), fx.nodes(spark, sf)).select("question_id", "node", "other", "type", "level")
+    return rea.plan_hop(keys, steps, stored_edges(spark, sf), stored_nodes(spark, sf)).select("question_id", "node", "other", "type", "level")
 
 
 #: Regions look for suppliers and nations for parts, both two hops away; others for a label that no node has, or for customers against the edges' direction.
@@ -415,7 +425,7 @@ def m5_nearby(spark: SparkSession, sf: str) -> DataFrame:
     regions = fx.table(spark, sf, "region").select(F.col("r_regionkey").alias("question_id"), F.concat(F.lit("R"), fx.text_of("r_regionkey")).alias("node"), F.lit("Supplier").alias("target_type"), F.lit("both").alias("direction"))
     nations = nation_keys(spark, sf).select((k + 100).alias("question_id"), "node", F.when(k % 3 == 0, "Part").when(k % 3 == 1, "No such label").otherwise("Customer").alias("target_type"), F.when(k % 3 == 2, "out").otherwise("both").alias("direction"))
     keys = regions.unionByName(nations).withColumn("relation_hint", F.lit(None).cast("string"))
-    return rea.plan_hop(keys.select("question_id", "node"), keys.drop("node"), fx.edges(spark, sf), fx.nodes(spark, sf)).select("question_id", "start", "node", "other", "type", "level")
+    return rea.plan_hop(keys.select("question_id", "node"), keys.drop("node"), stored_edges(spark, sf), stored_nodes(spark, sf)).select("question_id", "start", "node", "other", "type", "level")
 
 
 def supplier_places(spark: SparkSession, sf: str) -> DataFrame:
@@ -433,7 +443,7 @@ UNION ALL SELECT s_suppkey, 2, 'N' || s_nationkey, 'R' || n_regionkey, 'in_regio
 def m6_run_plans(spark: SparkSession, sf: str) -> DataFrame:
     plans = supplier_keys(spark, sf)
     steps = plans.select("question_id", F.explode(F.array(F.struct(F.lit(0).alias("step"), F.lit("Nation").alias("target_type")), F.struct(F.lit(1).alias("step"), F.lit("Region").alias("target_type")))).alias("s")).select("question_id", "s.step", F.lit("find_neighbors").alias("action"), "s.target_type", F.lit(None).cast("string").alias("relation_hint"), F.lit("out").alias("direction"))
-    return rea.run_plans(plans, steps, fx.edges(spark, sf), fx.nodes(spark, sf)).select("question_id", "hop", "node", "other", "type")
+    return rea.run_plans(plans, steps, stored_edges(spark, sf), stored_nodes(spark, sf)).select("question_id", "hop", "node", "other", "type")
 
 
 #: The path from the region (first) to the supplier has two hops, against the edges; the next step, from both, is the third hop. Questions without steps take one plain hop.
@@ -453,7 +463,7 @@ def m6_paths(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("string")
     first = at.where(k % 4 != 3).select("question_id", F.lit(0).alias("step"), F.lit("find_by_path").alias("action"), none.alias("target_type"), none.alias("relation_hint"), F.lit("both").alias("direction"))
     then = at.where(k % 4 == 0).select("question_id", F.lit(1).alias("step"), F.lit("find_neighbors").alias("action"), F.lit("Nation").alias("target_type"), none.alias("relation_hint"), F.lit("both").alias("direction"))
-    return rea.run_plans(plans, first.unionByName(then), fx.edges(spark, sf), fx.nodes(spark, sf)).select("question_id", "hop", "node", "other", "type")
+    return rea.run_plans(plans, first.unionByName(then), stored_edges(spark, sf), stored_nodes(spark, sf)).select("question_id", "hop", "node", "other", "type")
 
 
 @query(f"""
@@ -463,7 +473,7 @@ y AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path DESC, name, edge
 SELECT k AS question_id, 1 AS hop, node, other, type, edge_id FROM y WHERE b <= 5
 """)
 def m7_run_guided(spark: SparkSession, sf: str) -> DataFrame:
-    out = rea.run_guided(supplier_keys(spark, sf), fx.edges(spark, sf), fx.nodes(spark, sf), hops=1)
+    out = rea.run_guided(supplier_keys(spark, sf), stored_edges(spark, sf), stored_nodes(spark, sf), hops=1)
     return out.select("question_id", "hop", "node", "other", "type", "edge_id")
 
 
@@ -480,7 +490,7 @@ UNION ALL SELECT s_suppkey, 2, 'N' || s_nationkey, 'R' || n_regionkey, 'in_regio
 @query(TOLD)
 def m7_decisions(spark: SparkSession, sf: str) -> DataFrame:
     at = supplier_places(spark, sf)
-    return rea.run_guided(at, fx.edges(spark, sf), fx.nodes(spark, sf), decisions=told(at, "in_region"), limit=None).select("question_id", "hop", "node", "other", "type")
+    return rea.run_guided(at, stored_edges(spark, sf), stored_nodes(spark, sf), decisions=told(at, "in_region"), limit=None).select("question_id", "hop", "node", "other", "type")
 
 
 #: At the second hop the edges of the decided type touch no goal, so all types are looked at again.
@@ -488,7 +498,7 @@ def m7_decisions(spark: SparkSession, sf: str) -> DataFrame:
 def m7_goals(spark: SparkSession, sf: str) -> DataFrame:
     at = supplier_places(spark, sf)
     goals = at.select("question_id", F.col("region").alias("node"))
-    return rea.run_guided(at, fx.edges(spark, sf), fx.nodes(spark, sf), goals=goals, decisions=told(at, "in_nation"), limit=None).select("question_id", "hop", "node", "other", "type")
+    return rea.run_guided(at, stored_edges(spark, sf), stored_nodes(spark, sf), goals=goals, decisions=told(at, "in_nation"), limit=None).select("question_id", "hop", "node", "other", "type")
 
 
 # ── evidence ──
@@ -513,7 +523,7 @@ SELECT s_suppkey AS question_id, CASE WHEN s_suppkey % 10 = 3 THEN 'FAILED' ELSE
 """)
 def a15_batch(spark: SparkSession, sf: str) -> DataFrame:
     q = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("question_id"), F.concat("s_name", F.lit("位于何处？")).alias("text"))
-    out = batch.answer_batch(q, fx.nodes(spark, sf), fx.edges(spark, sf), sketch)
+    out = batch.answer_batch(q, stored_nodes(spark, sf), stored_edges(spark, sf), sketch)
     return out.select("question_id", "status", "answer", joined("steps").alias("steps"), F.round(F.col("confidence") + 1e-9, 5).alias("confidence"), "error")
 
 
