@@ -176,3 +176,27 @@ def test_folds_cross_their_blocks(spark):
         else:
             want, now = want + ([now] if now else []), w
     assert [r[0] for r in got] == [[*want, now], [], ["a"]]
+
+
+def test_batch_follows_what_a_model_said(spark):
+    from weft.operators import batch
+
+    nodes = spark.createDataFrame([(i, "T" if i != "d" else "Topic", i.upper() * 3, {}) for i in "abcd"], "node_id string, label string, name string, properties map<string,string>")
+    rows = [("e1", "a", "b", "x", 0.9, "c1", "one"), ("e2", "b", "c", "x", 0.5, "c2", "two"), ("e3", "d", "c", "x", 1.0, None, None)]
+    edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, type string, confidence double, source_chunk_id string, source_text string")
+    q = spark.createDataFrame([(1, "what of AAA"), (2, "what of DDD"), (3, "refuse BBB")], "question_id long, text string")
+    plan = lambda *starts: '{"start_entities": [%s], "steps": [{"action": "find_neighbors", "direction": "in"}]}' % ", ".join(f'"{s}"' for s in starts)  # noqa: E731, UP031
+    plans = spark.createDataFrame([(1, plan("AAA")), (2, plan("DDD")), (3, plan("BBB"))], "question_id long, response string")
+    decisions = spark.createDataFrame([(1, 1, True, ["BBB", "ZZZ"], None), (1, 2, True, ["CCC"], None)], "question_id long, hop int, go_on boolean, next_entities array<string>, relation_filter string")
+    prompts, heads = batch.prompt_batch(q, nodes, edges, plan_responses=plans, abstract=["Topic"], decisions=decisions)
+    got = {r["question_id"]: r["prompt"] for r in prompts.collect()}
+    assert all(x in got[1] for x in ('source="AAA" relation="x" target="BBB"', 'source="BBB" relation="x" target="CCC"', "[1] (c1) one", "[2] (c2) two", 'confidence="0.45"'))
+    assert "<edge" not in got[2] and 'target="BBB"' in got[3]
+
+    def model(ps):
+        if any("refuse" in p for p in ps):
+            raise RuntimeError("refused")
+        return [f"{len(p)} characters are enough of a prompt" for p in ps]
+
+    out = {r["question_id"]: (r["status"], r["error"]) for r in batch.answer_batch(q, nodes, edges, model, plan_responses=plans, abstract=["Topic"], decisions=decisions).collect()}
+    assert out == {1: ("DONE", None), 2: ("DONE", None), 3: ("FAILED", "refused")}

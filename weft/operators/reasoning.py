@@ -117,14 +117,15 @@ def default_steps(plans: DataFrame) -> DataFrame:
     return plans.select("question_id").distinct().select("question_id", F.lit(0).alias("step"), F.lit("find_neighbors").alias("action"), none.alias("target_type"), none.alias("relation_hint"), F.lit("both").alias("direction"))
 
 
-def run_plans(plans: DataFrame, steps: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int | None = 20, fallback: bool = False, hints: DataFrame | None = None) -> DataFrame:
+def run_plans(plans: DataFrame, steps: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int | None = 20, fallback: bool = False, hints: DataFrame | None = None, decisions: DataFrame | None = None, reflections: DataFrame | None = None) -> DataFrame:
     """M6: evidence edges (question_id, hop, ...) of plans(question_id, node[, ord]) and their steps, numbered from 0.
 
     A question's current nodes are its start nodes, by (ord, node), then what the last plain step found, in the order met. A find_by_path
     step over two or more current nodes chains shortest paths over consecutive ones, each edge a hop of its own, in the direction of
     travel; it leaves the current nodes alone, also where it finds nothing. Other steps are M5 hops; a question whose
     step finds no edge stops. Questions without steps take one plain hop. With `fallback`, questions that got no edge at
-    all run M7 from their first node with the others as goals, under hints(question_id, type). No plans: an empty table.
+    all run M7 from their first node with the others as goals, under hints(question_id, type), decisions and reflections. No plans: an
+    empty table.
     """
     starts = plans.select("question_id", *([F.col("ord").cast("long").alias("ord")] if "ord" in plans.columns else [F.lit(0).cast("long").alias("ord")]), "node")
     starts = starts.groupBy("question_id", "node").agg(F.min("ord").alias("ord"))
@@ -165,8 +166,10 @@ def run_plans(plans: DataFrame, steps: DataFrame, edges: DataFrame, nodes: DataF
             break
     out = reduce(DataFrame.unionByName, parts) if parts else no_evidence(starts, edges, nodes)
     if fallback:
-        rest = starts.join(out.select("question_id").distinct(), "question_id", "left_anti")
-        out = out.unionByName(run_guided(rest.where("place = 1").select("question_id", "node"), edges, nodes, goals=rest.where("place > 1").select("question_id", "node"), hints=hints, limit=limit))
+        rest = checkpointed(starts.join(out.select("question_id").distinct(), "question_id", "left_anti"))
+        if rest.isEmpty():
+            return out
+        out = out.unionByName(run_guided(rest.where("place = 1").select("question_id", "node"), edges, nodes, goals=rest.where("place > 1").select("question_id", "node"), decisions=decisions, reflections=reflections, hints=hints, limit=limit))
     return out
 
 

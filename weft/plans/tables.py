@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import batch
 from ..operators import entities as ent
 from ..operators import evidence as evi
 from ..operators import graph as g
@@ -468,3 +469,21 @@ def a10_hedged(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     answer = F.concat(F.when(k % 3 == 0, F.lit("可能")).otherwise(""), F.when(k % 2 == 0, F.lit("short")).otherwise(F.concat(F.lit("an answer of more than twenty characters, "), "c_name")))
     return fx.table(spark, sf, "customer").select(k.alias("k"), F.round(evi.answer_confidence(answer, F.col("c_acctbal") / 5000), 6).alias("confidence"))
+
+
+@query(r"""WITH p AS (SELECT s_suppkey AS k, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+x AS (SELECT k, 'Answer from the evidence.' || repeat(chr(10), 2) || '## Question' || chr(10) || s_name || '位于何处？' || CASE WHEN k % 3 = 0 THEN repeat(chr(10), 2) || '## Evidence' || chr(10)
+  || '<evidence_chain start="" confidence="1.00">' || chr(10) || '  <reasoning_path>' || chr(10) || '  </reasoning_path>' || chr(10) || '  <entities>' || chr(10) || '  </entities>' || chr(10) || '</evidence_chain>'
+ ELSE repeat(chr(10), 2) || '## Evidence' || chr(10)
+  || '<evidence_chain start="' || s_name || '" confidence="1.00">' || chr(10) || '  <reasoning_path>' || chr(10) || '    <hop number="1">' || chr(10) || '      <edge source="' || s_name || '" relation="in_nation" target="' || n_name || '" confidence="1.00" />' || chr(10)
+  || '    </hop>' || chr(10) || '  </reasoning_path>' || chr(10) || '  <entities>' || chr(10) || '    <entity name="' || n_name || '" label="Nation" hop="1" />' || chr(10) || '  </entities>' || chr(10) || '  <reasoning_steps>' || chr(10)
+  || '    <step hop="1">通过in_nation探索 ' || n_name || '</step>' || chr(10) || '  </reasoning_steps>' || chr(10) || '</evidence_chain>' || repeat(chr(10), 2) || '## Steps' || chr(10) || '第1跳: 通过in_nation探索 ' || n_name END AS p FROM p)
+SELECT k AS question_id, least(len(p), 520)::INT AS n, sha256(CASE WHEN len(p) > 520 THEN substr(p, 1, 519) || '…' ELSE p END) AS sha256 FROM x""")
+def a15_planned_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Plans out of responses: to the supplier's nation, or, where 3 divides the key, from a nation, whose label is abstract here."""
+    s = fx.table(spark, sf, "supplier").join(fx.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    q = s.select(F.col("s_suppkey").alias("question_id"), F.concat("s_name", F.lit("位于何处？")).alias("text"))
+    start = F.when(F.col("s_suppkey") % 3 == 0, F.col("n_name")).otherwise(F.col("s_name"))
+    plan = F.concat(F.lit('{"start_entities": ['), quoted(start), F.lit('], "steps": [{"action": "find_neighbors", "target_type": "Nation", "relation_hint": "in_nation", "direction": "out"}]}'))
+    prompts, _ = batch.prompt_batch(q, stored_nodes(spark, sf), stored_edges(spark, sf), most=520, plan_responses=s.select(F.col("s_suppkey").alias("question_id"), plan.alias("response")), abstract=["Nation"])
+    return prompts.select("question_id", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("sha256"))
