@@ -55,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("encode", encode)]
 
-#: Language models, component search and the piece search have no SQL form; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: Language models, component search and the piece search have no SQL form; tests/llm/test_contracts.py holds run() against brute-force versions of its stages.
 ORACLE_SQL = None
 
 
