@@ -1,4 +1,5 @@
-"""The registered queries for the graph operators, and the SQL that DuckDB can hold them against. All run over whole tables."""
+"""The registered queries for the graph operators, and the SQL that DuckDB can hold them against. Each
+reads the whole of its tables, though some keep the rows of one label or kind."""
 
 from __future__ import annotations
 

@@ -1,4 +1,5 @@
-"""More registered queries, for operators whose inputs are tables of keys, responses or annotations. All run over whole tables."""
+"""More registered queries, for operators whose inputs are tables of keys, responses or annotations. Each
+reads the whole of its tables, though some keep the rows of one label or kind."""
 
 from __future__ import annotations
 
@@ -487,3 +488,25 @@ def a15_planned_prompts(spark: SparkSession, sf: str) -> DataFrame:
     plan = F.concat(F.lit('{"start_entities": ['), quoted(start), F.lit('], "steps": [{"action": "find_neighbors", "target_type": "Nation", "relation_hint": "in_nation", "direction": "out"}]}'))
     prompts, _ = batch.prompt_batch(q, stored_nodes(spark, sf), stored_edges(spark, sf), most=520, plan_responses=s.select(F.col("s_suppkey").alias("question_id"), plan.alias("response")), abstract=["Nation"])
     return prompts.select("question_id", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("sha256"))
+
+
+@query(f"""WITH {TRIPLES}, {ORDER_EDGES}, f AS (SELECT *, row_number() OVER (PARTITION BY question_id, line ORDER BY hop, ord) AS rn FROM oe WHERE line <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hop, ord, line) AS rank FROM f WHERE rn = 1)
+SELECT question_id, rank::INT AS rank, line AS chunk_id, chunk AS text, source || ' --' || type || '--> ' || target AS relation FROM r WHERE rank <= 5""")
+def a6_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of an order is a chunk of its own, so that orders of six and more lose some."""
+    e = order_edges(spark, sf)
+    return evi.citations(e.withColumns({"source_chunk_id": F.col("source_text"), "source_text": F.col("source_chunk_id")})).select("question_id", "rank", "chunk_id", "text", "relation")
+
+
+@query("SELECT c_custkey AS k, (c_custkey % 5 = 0 OR c_custkey % 4 >= 3 OR c_acctbal / 10000 < 0.5) AS stop FROM customer")
+def m8_stop_rule(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return fx.table(spark, sf, "customer").select(k.alias("k"), rea.should_stop(k % 5 != 0, k % 4, F.col("c_acctbal") / 10000).alias("stop"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS q, l_linenumber AS hop, max(round(1 - l_discount, 6)) AS c FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, hop) AS r FROM c)
+SELECT q AS question_id, hop, c AS confidence FROM r WHERE r = 1""")
+def m9_best_hop(spark: SparkSession, sf: str) -> DataFrame:
+    c = fx.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("hop")).agg(F.max(F.round(1 - F.col("l_discount"), 6)).alias("confidence"))
+    return rea.best_so_far(c).select("question_id", "hop", "confidence")
