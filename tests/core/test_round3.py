@@ -200,3 +200,56 @@ def test_batch_follows_what_a_model_said(spark):
 
     out = {r["question_id"]: (r["status"], r["error"]) for r in batch.answer_batch(q, nodes, edges, model, plan_responses=plans, abstract=["Topic"], decisions=decisions).collect()}
     assert out == {1: ("DONE", None), 2: ("DONE", None), 3: ("FAILED", "refused")}
+
+
+def model_plain(text, most):
+    """Sections of a text without headings, in plain Python: paragraphs, else merged lines, else by size."""
+    from .test_core import model_sections
+
+    strips = lambda xs: [x.strip() for x in xs if x.strip()]
+    sized = lambda t: [c for _, _, c in model_sections(t, most)]
+    if not text.strip():
+        return []
+
+    def pieces(parts):
+        # what is too long goes to sentences: a lone paragraph that is over the size
+        return [x for p in parts for x in ([p] if len(p) <= most else by_sentences(p, most))]
+
+    strong, weak = strips(text.split("\n\n")), strips(text.split("\n"))
+    if len(strong) > 1:
+        return pieces(strong)
+    if len(weak) > 1:
+        out, now = [], ""
+        for c in pieces(weak):
+            if now and len(now) + len(c) + 2 <= max(most // 3, 300):
+                now += "\n\n" + c
+            else:
+                out, now = out + ([now] if now else []), c
+        return out + ([now] if now else [])
+    return sized(text) if text.strip() else []
+
+
+def by_sentences(text, most):
+    import math
+    import re
+
+    step, out, now = most - min(100, most // 10), [], ""
+    parts = [x.strip() for x in re.split(r"(?<=[。！？.!?])\s*", text) if x.strip()]
+    for s in parts:
+        if len(s) > most:
+            out, now = out + ([now] if now else []) + [s[i * step : i * step + most] for i in range(math.ceil((len(s) - most) / step) + 1)], ""
+        elif len(now) + len(s) > most:
+            out, now = out + ([now] if now else []), s
+        else:
+            now += s
+    return out + ([now] if now else [])
+
+
+def test_plain_sections_of_every_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "replace(text, '#', ' ') as content")
+    got = {}
+    for r in sections.split_sections(docs, 700).orderBy("doc_id", "idx").collect():
+        assert r["level"] == 0 and r["heading_chain"] == []
+        got.setdefault(r["doc_id"], []).append(r["content"])
+    texts = {r["doc_id"]: r["content"] for r in docs.collect()}
+    assert all(got.get(i, []) == model_plain(t or "", 700) for i, t in texts.items()) and len(texts) > 50
