@@ -54,12 +54,13 @@ def prompt_batch(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit
     return contexts(questions, chain_xml(got, far, taken, heads), taken, citations(got), most), heads
 
 
-def answer_batch(questions: DataFrame, nodes: DataFrame, edges: DataFrame, model: Callable[[list[str]], list[str | None]], limit: int | None = 20, most: int = 4000, **said: DataFrame | list[str]) -> DataFrame:
+def answer_batch(questions: DataFrame, nodes: DataFrame, edges: DataFrame, model: Callable[[list[str]], list[str | None]], limit: int | None = 20, most: int = 4000, batch: int = 1, **said: DataFrame | list[str]) -> DataFrame:
     """(question_id, status, answer, steps, confidence, error) for each of questions(question_id, text). A question whose model call fails is
-    FAILED with its error and leaves the others alone; one that links to nothing is answered from an empty chain. `said`: as in prompt_batch."""
+    FAILED with its error and leaves the others alone; one that links to nothing is answered from an empty chain. The model
+    gets `batch` prompts a call. `said`: as in prompt_batch."""
     questions = questions.select("question_id", "text")
     prompts, heads = prompt_batch(questions, nodes, edges, limit, most, **said)
-    asked = checkpointed(infer(prompts.select(F.col("question_id").alias("prompt_id"), "prompt"), model))
+    asked = checkpointed(infer(prompts.select(F.col("question_id").alias("prompt_id"), "prompt"), model, batch))
     failed = asked.groupBy("prompt_id").agg(F.min("error").alias("error"))
     answered = chosen_attempt(asked).join(failed, "prompt_id").select(F.col("prompt_id").alias("key"), "text", "error")
     responses = questions.select("question_id", F.col("question_id").cast("string").alias("key")).join(answered, "key").select("question_id", "text", "error")
