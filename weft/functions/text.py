@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: What Python's str.strip takes off, as a Java pattern: Unicode white space and the four separators.
 _ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: A character that strip would keep.
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def col(c: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Written stages that cut lineage, and connected components by least labels."""
+"""Written stages that cut lineage."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 UNION = "spark.sql.unionOutputPartitioning"
@@ -70,23 +69,3 @@ class Stages:
         out = checkpointed(df)
         self.gone(*self.kept)
         return out
-
-
-def connected(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(v, component): the least vertex that edges(a, b) reach. Labels spread to neighbours, then jump to their label's label."""
-    both = edges.select("a", "b").where("a <> b")
-    own = Stages()
-    both = own.keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(vertices.select("v").distinct().withColumn("component", F.col("v")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(near.withColumnRenamed("a", "v"), "v", "left").select("v", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = new.select(F.col("v").alias("component"), F.col("component").alias("j"))
-        new = checkpointed(new.join(jump, "component", "left").select("v", F.coalesce("j", "component").alias("component")))
-        settled = new.join(labels.withColumnRenamed("component", "old"), "v").where("component <> old").isEmpty()
-        drop(labels)
-        labels = new
-        if settled:
-            own.gone(both)
-            return labels
-    raise RuntimeError("components did not settle")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, no_blanks, strip, strip_images
+from ..functions.text import NOT_BLANK, let, no_blanks, strip, strip_images
 
 #: A heading line, and where a sentence ends.
 HEADING = r"(?dmU)^(#{1,6})\s+(.+)$"
@@ -87,21 +87,26 @@ def _pieces(paragraphs: Column, most: int) -> Column:
     return F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(by_sentences(p, most))))
 
 
+def _paragraphs(text: Column, body) -> Column:
+    """body(paragraphs, lines), with each made once."""
+    both = F.struct(no_blanks(F.split(text, "\n\n")).alias("strong"), no_blanks(F.split(text, "\n")).alias("weak"))
+    return let(both, lambda b: body(b["strong"], b["weak"]))
+
+
 def ensure_size(text: Column, most: int) -> Column:
     """C4: unchanged if it fits, else paragraphs, else lines, long ones by sentences, small ones merged."""
-    strong, weak = no_blanks(F.split(text, "\n\n")), no_blanks(F.split(text, "\n"))
-    parts = F.when((F.size(strong) <= 1) & (F.size(weak) > F.size(strong)), weak).otherwise(strong)
+    parts = _paragraphs(text, lambda strong, weak: F.when((F.size(strong) <= 1) & (F.size(weak) > F.size(strong)), weak).otherwise(strong))
     return F.when(F.length(text) <= most, F.array(text)).otherwise(let(parts, lambda ps: merge_small(_pieces(ps, most), most)))
 
 
 def split_plain(text: Column, most: int) -> Column:
     """Without headings: a section for each paragraph, or lines merged to max(most // 3, 300), or by size."""
-    strong, weak = no_blanks(F.split(text, "\n\n")), no_blanks(F.split(text, "\n"))
-    return (
-        F.when(F.size(strong) > 1, let(strong, lambda ps: _pieces(ps, most)))
-        .when(F.size(weak) > 1, let(weak, lambda ps: merge_small(_pieces(ps, most), max(most // 3, 300))))
-        .otherwise(ensure_size(text, most))
-    )
+
+    def cut(strong: Column, weak: Column) -> Column:
+        lines = F.when(F.size(weak) > 1, merge_small(_pieces(weak, most), max(most // 3, 300))).otherwise(ensure_size(text, most))
+        return F.when(F.size(strong) > 1, _pieces(strong, most)).otherwise(lines)
+
+    return _paragraphs(text, cut)
 
 
 #: Marks that split_sections puts around headings; where a text has them itself they are escaped meanwhile.
@@ -122,8 +127,8 @@ def _plain(text: Column) -> Column:
 
 def split_sections(docs: DataFrame, most: int = 1500, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
     """(doc_id, idx, chunk_id, level, heading_chain, content). A blank document has no sections."""
-    text = strip_images(F.coalesce(content, F.lit("")))
-    parts = F.split(F.regexp_replace(_escaped(text), HEADING, "\u0001$1\u0002$2\u0003"), "\u0001")
+    def parts(t: Column) -> Column:
+        return F.split(F.regexp_replace(_escaped(t), HEADING, "\u0001$1\u0002$2\u0003"), "\u0001")
 
     def part(p: Column) -> Column:
         head = F.contains(p, F.lit("\u0002"))
@@ -141,11 +146,20 @@ def split_sections(docs: DataFrame, most: int = 1500, doc_id: str = "doc_id", co
         stack = F.when(p["level"] == 0, F.array().cast(open_)).otherwise(F.concat(F.filter(stack, lambda h: h["level"] < p["level"]), F.array(F.struct(p["level"].alias("level"), p["title"].alias("title"))).cast(open_)))
         return let(stack, lambda st: _pair(F.concat(out, F.array(F.struct(p["level"].alias("level"), F.transform(st, lambda h: h["title"]).alias("chain"), p["body"].alias("body"))).cast(done)), st))
 
-    chained = fold_blocks(F.transform(parts, part), F.array().cast(open_), F.array().cast(done), push)["done"]
-    headed = F.flatten(F.transform(F.filter(chained, lambda x: x["body"] != ""), lambda x: F.transform(ensure_size(x["body"], most), lambda c: F.struct(x["level"].alias("level"), x["chain"].alias("heading_chain"), c.alias("content")))))
-    plain = F.transform(split_plain(text, most), lambda c: F.struct(F.lit(0).alias("level"), empty().alias("heading_chain"), c.alias("content")))
-    out = F.when(strip(text) == "", F.array().cast("array<struct<level:int,heading_chain:array<string>,content:string>>")).when(F.size(parts) > 1, headed).otherwise(plain)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(out).alias("idx", "s"))
+    section = "array<struct<level:int,heading_chain:array<string>,content:string>>"
+
+    def headed(ps: Column) -> Column:
+        chained = fold_blocks(F.transform(ps, part), F.array().cast(open_), F.array().cast(done), push)["done"]
+        return F.flatten(F.transform(F.filter(chained, lambda x: x["body"] != ""), lambda x: F.transform(ensure_size(x["body"], most), lambda c: F.struct(x["level"].alias("level"), x["chain"].alias("heading_chain"), c.alias("content")))))
+
+    def plain(t: Column) -> Column:
+        return F.transform(split_plain(t, most), lambda c: F.struct(F.lit(0).alias("level"), empty().alias("heading_chain"), c.alias("content")))
+
+    # the text and its parts are made once and then only referred to
+    split = lambda t: let(parts(t), lambda ps: F.when(F.size(ps) > 1, headed(ps)).otherwise(plain(t)))
+    out = let(strip_images(F.coalesce(content, F.lit(""))), lambda t: F.when(~t.rlike(NOT_BLANK), F.array().cast(section)).otherwise(split(t)))
+    # an inner explode would be planned behind a filter that makes the array again
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(out).alias("idx", "s")).where("idx is not null")
     return rows.select("doc_id", "idx", F.concat(F.col("doc_id").cast("string"), F.lit("::sec_"), F.col("idx").cast("string")).alias("chunk_id"), "s.level", "s.heading_chain", "s.content")
 
 
