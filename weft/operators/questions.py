@@ -87,7 +87,8 @@ def parse_responses(questions: DataFrame, responses: DataFrame, names: DataFrame
 
 def rule_plans(parsed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Q7: (plans, steps). Entities that are schema labels are type filters, the others start; without a start the first type is one."""
-    e = parsed.select("question_id", "relation_hints", F.posexplode("entities").alias("pos", "entity")).join(labels.select(F.col("label").alias("entity"), F.lit(True).alias("t")).distinct(), "entity", "left")
+    # outer explodes here and below: inner ones would be planned behind filters that parse the texts again
+    e = parsed.select("question_id", "relation_hints", F.posexplode_outer("entities").alias("pos", "entity")).where("pos is not null").join(labels.select(F.col("label").alias("entity"), F.lit(True).alias("t")).distinct(), "entity", "left")
     g = e.groupBy("question_id").agg(F.sort_array(F.collect_list(F.when(F.col("t").isNull(), F.struct("pos", "entity")))).alias("s"), F.sort_array(F.collect_list(F.when(F.col("t"), F.struct("pos", "entity")))).alias("t"))
     g = g.select("question_id", F.transform("s", lambda x: x["entity"]).alias("s"), F.transform("t", lambda x: x["entity"]).alias("t"))
     only = (F.size("s") == 0) & (F.size("t") > 0)
@@ -107,7 +108,7 @@ def response_plans(parsed: DataFrame, responses: DataFrame, labels: DataFrame) -
     v = F.col("v")
     one_of = lambda path, xs: F.when(text_at(v, path).isin(xs), text_at(v, path)).otherwise(xs[0])
     hint = F.when(kind(F.try_variant_get(v, "$.relation_hint", "variant")).startswith("ARRAY"), F.try_variant_get(v, "$.relation_hint[0]", "string")).otherwise(text_at(v, "$.relation_hint"))
-    steps = r.select("question_id", F.posexplode("steps").alias("step", "v")).select("question_id", "step", one_of("$.action", ["find_neighbors", "find_by_path"]).alias("action"), text_at(v, "$.target_type").alias("target_type"), hint.alias("relation_hint"), one_of("$.direction", ["both", "out", "in"]).alias("direction"))
+    steps = r.select("question_id", F.posexplode_outer("steps").alias("step", "v")).where("step is not null").select("question_id", "step", one_of("$.action", ["find_neighbors", "find_by_path"]).alias("action"), text_at(v, "$.target_type").alias("target_type"), hint.alias("relation_hint"), one_of("$.direction", ["both", "out", "in"]).alias("direction"))
     rest = parsed.where(F.size("entities") > 0).join(r.select("question_id"), "question_id", "left_anti")
     plans, rule_steps = rule_plans(rest, labels)
     return r.select("question_id", "start_entities").unionByName(plans), steps.unionByName(rule_steps)

@@ -87,7 +87,8 @@ def chosen_attempt(responses: DataFrame, first_nonempty: bool = False) -> DataFr
 
 
 def _items(rows: DataFrame, items: Column) -> DataFrame:
-    return rows.select("*", F.posexplode(items).alias("pos", "v")).where(is_object(F.col("v")))
+    # an inner explode would be planned behind a filter that parses the response again, below the joins; without items v is null, which is no object
+    return rows.select("*", F.posexplode_outer(items).alias("pos", "v")).where(is_object(F.col("v")))
 
 
 def _entities(rows: DataFrame, key: str, items: Column) -> DataFrame:

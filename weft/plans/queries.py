@@ -70,7 +70,7 @@ WITH w AS (SELECT doc_id, text, unnest(generate_series(0, greatest(0, ceil((len(
 SELECT doc_id, k::INT AS window, substr(text, (k * 450 + 1)::BIGINT, 500) AS content FROM w
 """)
 def c6_char_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "documents").select("doc_id", F.posexplode(sec.by_chars(F.col("text"), 500)).alias("window", "content"))
+    return fx.table(spark, sf, "documents").select("doc_id", F.posexplode_outer(sec.by_chars(F.col("text"), 500)).alias("window", "content")).where("window is not null")
 
 
 @query()
