@@ -253,3 +253,12 @@ def test_plain_sections_of_every_document(spark):
         got.setdefault(r["doc_id"], []).append(r["content"])
     texts = {r["doc_id"]: r["content"] for r in docs.collect()}
     assert all(got.get(i, []) == model_plain(t or "", 700) for i, t in texts.items()) and len(texts) > 50
+
+
+def test_arrays_are_made_once_for_their_explode(spark):
+    one = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.concat(F.lit("# a\n"), F.col("id").cast("string")).alias("content"))
+    assert one(sections.split_sections(docs)).count("#{1,6}") == 1
+    texts = docs.select(F.col("doc_id").alias("prompt_id"), F.concat(F.lit('[{"subject": "a'), F.col("content"), F.lit('", "predicate": "p", "object": "b"}]')).alias("text"))
+    names = spark.range(3).select(F.col("id").alias("prompt_id"))
+    assert one(responses.triple_rows(texts).join(names, "prompt_id")).count("<think>") == 1
