@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import entities, evidence, graph, responses, sections, stats, store
+from weft.operators import entities, evidence, graph, reasoning, responses, sections, stats, store
 from weft.plans import tables
 
 from .test_core import ENTITY, greedy
@@ -282,3 +282,50 @@ def test_arrays_are_made_once_for_their_explode(spark):
     texts = docs.select(F.col("doc_id").alias("prompt_id"), F.concat(F.lit('[{"subject": "a'), F.col("content"), F.lit('", "predicate": "p", "object": "b"}]')).alias("text"))
     names = spark.range(3).select(F.col("id").alias("prompt_id"))
     assert one(responses.triple_rows(texts).join(names, "prompt_id")).count("<think>") == 1
+
+
+def hub(spark, leaves=300, questions=40):
+    """Questions that all stand at one hub of many leaves."""
+    nodes = spark.createDataFrame([("h", "Hub", "hub"), ("t", "Top", "top"), *((f"l{i}", "Leaf", f"leaf{i}") for i in range(leaves))], "node_id string, label string, name string")
+    rows = [*((f"e{i}", f"l{i}", "h", "in") for i in range(leaves)), ("up", "h", "t", "under")]
+    edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, type string").select("*", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("source_chunk_id"), F.lit(None).cast("string").alias("source_text"))
+    return nodes, edges, spark.range(questions).select(F.col("id").alias("question_id"), F.lit("h").alias("node"))
+
+
+def test_questions_of_one_wish_share_a_hub(spark, monkeypatch):
+    nodes, edges, keys = hub(spark)
+    named, met = reasoning.named, []
+
+    def counted(e, n):
+        met.append(e.count())
+        return named(e, n)
+
+    monkeypatch.setattr(reasoning, "named", counted)
+    wish = lambda target, hint, way: keys.select("question_id", F.lit(target).alias("target_type"), F.lit(hint).cast("string").alias("relation_hint"), F.lit(way).alias("direction"))
+    got = lambda *w: {(r["question_id"], r["other"], r["level"]) for r in reasoning.plan_hop(keys, wish(*w), edges, nodes, near=0).collect()}
+    leaves = sorted(f"leaf{i}" for i in range(300))[:20]
+    assert got("Top", None, "out") == {(q, "t", 1) for q in range(40)}
+    assert got("Leaf", "wrong", "in") == {(q, n.replace("leaf", "l"), 2) for q in range(40) for n in leaves}
+    # nothing of that label lies that way: by direction alone, which keeps the leaves out
+    assert got("Leaf", "wrong", "out") == {(q, "t", 4) for q in range(40)}
+    assert max(met) <= 301
+
+
+def test_a_rare_label_is_searched_from_its_side(spark, monkeypatch):
+    nodes, edges, _ = hub(spark, 200)
+    rows, levels = [], graph.levels
+
+    def counted(*args, **kwargs):
+        out = levels(*args, **kwargs)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "levels", counted)
+    keys = nodes.where("label = 'Leaf'").select(F.col("name").alias("question_id"), F.col("node_id").alias("node"))
+    got = graph.labelled_nearby(keys.withColumn("label", F.lit("Top")), edges, nodes).collect()
+    assert sorted((r["start"], r["node"], r["hop"]) for r in got) == sorted((f"l{i}", "t", 2) for i in range(200))
+    assert sum(rows) <= 202
+    both = keys.limit(3).withColumn("label", F.explode(F.array(F.lit("Top"), F.lit("Leaf"))))
+    got = graph.labelled_nearby(both, edges, nodes, limit=4).groupBy("start").agg(F.sort_array(F.collect_list("name")).alias("x")).collect()
+    names = sorted(f"leaf{i}" for i in range(200))
+    assert len(got) == 3 and all(r["x"] == [n for n in names if n != r["start"].replace("l", "leaf")][:3] + ["top"] or r["x"] == [n for n in names if n != r["start"].replace("l", "leaf")][:4] for r in got)
