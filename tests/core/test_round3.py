@@ -329,3 +329,22 @@ def test_a_rare_label_is_searched_from_its_side(spark, monkeypatch):
     got = graph.labelled_nearby(both, edges, nodes, limit=4).groupBy("start").agg(F.sort_array(F.collect_list("name")).alias("x")).collect()
     names = sorted(f"leaf{i}" for i in range(200))
     assert len(got) == 3 and all(r["x"] == [n for n in names if n != r["start"].replace("l", "leaf")][:3] + ["top"] or r["x"] == [n for n in names if n != r["start"].replace("l", "leaf")][:4] for r in got)
+
+
+def test_an_edge_between_frontiers_is_looked_up(spark, monkeypatch):
+    nodes, edges, _ = hub(spark, 60)
+    more = edges.where("edge_id <> 'up'").withColumn("k", F.explode(F.array(*map(F.lit, "xyz")))).select(F.concat("k", "edge_id").alias("edge_id"), "src", F.concat("k", "src").alias("dst"), "type")
+    plain = edges.select("edge_id", "src", "dst", "type").unionByName(more)
+    pairs = plain.where("src like 'l%'").select("src").distinct().select(F.col("src").alias("question_id"), F.col("src").alias("start"), F.lit("t").alias("end"))
+    kept, keep = [], graph.Stages.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        kept.append(out.count() if "far" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(graph.Stages, "keep", counted)
+    got = {(r["start"], r["hop"], r["node"], r["other"]) for r in graph.shortest_paths(pairs, plain, 3).collect()}
+    assert got == {x for i in range(60) for x in ((f"l{i}", 1, f"l{i}", "h"), (f"l{i}", 2, "h", "t"))}
+    # back from the top to the hub, and the edge from the leaf to the hub: a row each and the couple, no leaf's other edges
+    assert sum(kept) <= 3 * 60
