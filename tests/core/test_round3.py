@@ -348,3 +348,27 @@ def test_an_edge_between_frontiers_is_looked_up(spark, monkeypatch):
     assert got == {x for i in range(60) for x in ((f"l{i}", 1, f"l{i}", "h"), (f"l{i}", 2, "h", "t"))}
     # back from the top to the hub, and the edge from the leaf to the hub: a row each and the couple, no leaf's other edges
     assert sum(kept) <= 3 * 60
+
+
+def test_guided_questions_do_not_copy_a_hub(spark, monkeypatch):
+    nodes, edges, keys = hub(spark)
+    counts, checkpointed = [], reasoning.checkpointed
+
+    def counted(df):
+        out = checkpointed(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(reasoning, "checkpointed", counted)
+    decisions = keys.select("question_id", F.lit(1).alias("hop"), F.lit(True).alias("go_on"), F.array(F.lit("nobody")).alias("next_entities"), F.lit(None).cast("string").alias("relation_filter"))
+    goals, hints = keys.select("question_id", F.lit("t").alias("node")), keys.select("question_id", F.lit("in").alias("type"))
+    # the hinted type leads away from the goal, which a second look at all types finds
+    got = reasoning.run_guided(keys, edges, nodes, hops=1, goals=goals, hints=hints, decisions=decisions, limit=None).collect()
+    assert sorted((r["question_id"], r["other"]) for r in got) == [(q, "t") for q in range(40)]
+    assert max(counts) <= 40
+    # a chosen name, under a limit that leaves the others out
+    named = decisions.withColumn("next_entities", F.array(F.lit("leaf1"), F.lit("top"), F.lit("leaf99")))
+    got = reasoning.run_guided(keys, edges, nodes, hops=1, decisions=named, limit=20).collect()
+    assert {(r["question_id"], r["other"]) for r in got} == set()
+    got = reasoning.run_guided(keys, edges, nodes, hops=2, decisions=named, limit=None).collect()
+    assert {(r["question_id"], r["other"]) for r in got} == {(q, "t") for q in range(40)}
