@@ -390,3 +390,20 @@ def test_near_names_meet_bases_of_their_type_in_stages(spark, monkeypatch):
     assert sorted((r["ord"], r["name"], r["entity_type"], tuple(r["aliases"]), tuple(sorted(r["properties"].items())), r["n_merged"]) for r in got) == want
     # far fewer couples than names of one pattern make
     assert 0 < sum(rows) < 600 * 599 // 8
+
+
+def test_a_store_gets_more_buckets_as_it_grows(spark, made, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "ROWS", 20)
+    e, edges = small_graph(spark)
+    s = made()
+    s.write(graph.upsert_nodes(e.where("ord < 5"))[0], edges.where("type = 'u'").limit(3))
+    assert s.into == {"nodes": 3, "ways": 3}
+    s.upsert(e.where("ord >= 5"))
+    s.add_edges(edges)
+    assert all(t.count() <= 20 * s.into[n] for n, t in (("nodes", s.nodes()), ("ways", s.ways()))) and s.into["ways"] > 3
+    assert seen(s.edges().select(*edges.columns)) == seen(edges)
+    whole = graph.upsert_nodes(e)[0]
+    assert seen(s.nodes().select(*whole.columns)) == seen(whole)
+    again = store.GraphStore(spark, s.name + "again", s.path, s.parts, s.buckets)
+    again.open("node_id STRING, label STRING, name STRING, properties MAP<STRING, STRING>", "node STRING, other STRING, edge_id STRING, src STRING, dst STRING, type STRING")
+    assert again.into == s.into and seen(again.edges().select(*edges.columns)) == seen(edges)
