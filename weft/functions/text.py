@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What Python's str.strip takes off, as a Java pattern: Unicode white space and the four separators.
-_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: What Python's str.strip takes off: Unicode white space and the four separators.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A character that strip would keep.
 NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
@@ -18,7 +18,8 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), _ENDS, "")
+    # a trim looks at the ends alone, where a pattern would be tried at every character
+    return F.trim(col(c), F.lit(BLANKS))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

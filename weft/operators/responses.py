@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json import array_at, array_in, cleaned, is_number, is_object, object_in, text_at, texts_at
+from ..functions.json import array_at, array_in, cleaned, is_number, object_in, text_at, text_of, texts_at
 from ..functions.text import strip
 
 #: Our wording; the slots are the contract.
@@ -86,51 +86,52 @@ def chosen_attempt(responses: DataFrame, first_nonempty: bool = False) -> DataFr
     return responses.groupBy("prompt_id").agg(F.coalesce(F.min_by("text", F.when(good, F.col("attempt"))), F.lit("")).alias("text"))
 
 
+#: An item of an array that is an object, its fields by name; other items are null.
+FIELDS = "map<string,variant>"
+
+
 def _items(rows: DataFrame, items: Column) -> DataFrame:
     # an inner explode would be planned behind a filter that parses the response again, below the joins; without items v is null, which is no object
-    return rows.select("*", F.posexplode_outer(items).alias("pos", "v")).where(is_object(F.col("v")))
+    return rows.select("*", F.posexplode_outer(items).alias("pos", "v")).where("v is not null")
 
 
 def _entities(rows: DataFrame, key: str, items: Column) -> DataFrame:
     v = F.col("v")
-    name, type_ = text_at(v, "$.name"), F.coalesce(text_at(v, "$.type"), text_at(v, "$.entity_type"))
-    props = F.try_variant_get(v, "$.properties", "map<string,string>")
-    out = _items(rows.select(key, items.alias("_items")), F.col("_items")).select(key, "pos", strip(name).alias("name"), strip(type_).alias("entity_type"), texts_at(v, "$.aliases").alias("aliases"), F.coalesce(props, F.create_map().cast("map<string,string>")).alias("properties"))
+    name, type_ = text_of(v["name"]), F.coalesce(text_of(v["type"]), text_of(v["entity_type"]))
+    props = F.try_variant_get(v["properties"], "$", "map<string,string>")
+    out = _items(rows.select(key, items.alias("_items")), F.col("_items")).select(key, "pos", strip(name).alias("name"), strip(type_).alias("entity_type"), texts_at(v["aliases"], "$").alias("aliases"), F.coalesce(props, F.create_map().cast("map<string,string>")).alias("properties"))
     return out.where("name is not null and entity_type is not null and name <> ''")
 
 
 def _triples(rows: DataFrame, key: str, items: Column) -> DataFrame:
     v = F.col("v")
-    conf = F.try_variant_get(v, "$.confidence", "variant")
+    conf = v["confidence"]
     out = _items(rows.select(key, items.alias("_items")), F.col("_items")).select(
-        key, "pos", text_at(v, "$.subject").alias("subject"), F.coalesce(text_at(v, "$.predicate"), text_at(v, "$.relation")).alias("predicate"), text_at(v, "$.object").alias("object"),
-        F.coalesce(F.try_variant_get(v, "$.relation_type", "string"), F.lit("")).alias("relation_type"),
-        F.when(is_number(conf), F.try_variant_get(v, "$.confidence", "double")).otherwise(1.0).alias("confidence"),
-        F.coalesce(F.try_variant_get(v, "$.properties", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("properties"),
+        key, "pos", text_of(v["subject"]).alias("subject"), F.coalesce(text_of(v["predicate"]), text_of(v["relation"])).alias("predicate"), text_of(v["object"]).alias("object"),
+        F.coalesce(F.try_variant_get(v["relation_type"], "$", "string"), F.lit("")).alias("relation_type"),
+        F.when(is_number(conf), F.try_variant_get(conf, "$", "double")).otherwise(1.0).alias("confidence"),
+        F.coalesce(F.try_variant_get(v["properties"], "$", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("properties"),
     )
     return out.where("subject is not null and predicate is not null and object is not null")
 
 
-def _array(c: Column) -> Column:
-    return F.coalesce(F.try_variant_get(c, "$", "array<variant>"), F.array().cast("array<variant>"))
-
-
 def entity_rows(responses: DataFrame, key: str = "prompt_id") -> DataFrame:
     """(key, pos, name, entity_type, aliases, properties)."""
-    return _entities(responses, key, _array(array_in(cleaned(F.col("text")))))
+    return _entities(responses, key, array_in(cleaned(F.col("text")), FIELDS))
 
 
 def triple_rows(responses: DataFrame, key: str = "prompt_id") -> DataFrame:
     """(key, pos, subject, predicate, object, relation_type, confidence, properties)."""
-    return _triples(responses, key, _array(array_in(cleaned(F.col("text"), to_bracket=True))))
+    return _triples(responses, key, array_in(cleaned(F.col("text"), to_bracket=True), FIELDS))
 
 
 def incremental_rows(responses: DataFrame, key: str = "prompt_id") -> tuple[DataFrame, DataFrame]:
     """P10: entities under new_entities or entities, and relations; a payload with no such key is an entity array."""
     t = cleaned(F.col("text"))
     rows = responses.withColumn("_o", object_in(t)).withColumn("_known", F.coalesce(F.try_variant_get("_o", "$.new_entities", "variant"), F.try_variant_get("_o", "$.entities", "variant"), F.try_variant_get("_o", "$.relations", "variant")).isNotNull())
-    listed = F.when(F.size(array_at(F.col("_o"), "$.new_entities")) > 0, array_at(F.col("_o"), "$.new_entities")).otherwise(array_at(F.col("_o"), "$.entities"))
-    return _entities(rows, key, F.when(F.col("_known"), listed).otherwise(_array(array_in(t)))), _triples(rows, key, array_at(F.col("_o"), "$.relations"))
+    at = lambda path: F.try_variant_get(F.col("_o"), path, f"array<{FIELDS}>")
+    listed = F.when(F.size(at("$.new_entities")) > 0, at("$.new_entities")).otherwise(at("$.entities"))
+    return _entities(rows, key, F.when(F.col("_known"), listed).otherwise(array_in(t, FIELDS))), _triples(rows, key, at("$.relations"))
 
 
 def quality_rows(responses: DataFrame, key: str = "prompt_id") -> DataFrame:
