@@ -1,10 +1,14 @@
 """Work that grows with the rows: ends of texts, JSON items, products in order, one pass for duplicates."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weft.functions import json
 from weft.functions.text import strip
-from weft.operators import responses
+from weft.operators import evidence, responses
 
 
 def plan(df):
@@ -30,3 +34,26 @@ def test_strict_reads_texts_with_the_closing_word(spark):
     texts = [f'"{json.CLOSE}"', f'1,"{json.CLOSE}"', f'1,"{json.CLOSE}"],[', "1,2", " [1] ", "", "  ", "nul", "null x", '{"a":1}', '{"a":1},2', "-2.5"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.to_json(json.strict(F.col("t"))).alias("v"))
     assert {r["i"]: r["v"] for r in df.where("v is not null").collect()} == {0: f'"{json.CLOSE}"', 4: "[1]", 9: '{"a":1}', 11: "-2.5"}
+
+
+def test_products_in_order_across_batches(spark):
+    rng = random.Random(5)
+    rows = [(q, o % 2, o, rng.random()) for q in range(60) for o in range(rng.choice([1, 2, 3, 70, 200]))]
+    df = spark.createDataFrame(rows, "question_id int, hop int, ord int, confidence double")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r["question_id"]: (r["n_edges"], r["confidence"]) for r in evidence.chain_totals(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = {}
+    for q, _, _, c in sorted(rows):
+        n, p = want.get(q, (0, 1.0))
+        want[q] = (n + 1, p * c)
+    assert got == want
+    values = np.array([rng.random() for _ in range(1000)])
+    starts = evidence.begins(pa.array([i // 100 for i in range(1000)]))
+    product = 1.0
+    for x in values[:100].tolist():
+        product *= x
+    assert len(starts) == 10 and evidence.in_order(values, starts)[0] == product

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,24 +27,56 @@ def append_hop(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return steps, last.select("question_id", F.explode("n").alias("name"))
 
 
+def begins(keys: pa.Array) -> np.ndarray:
+    """The places where a run of equal keys begins."""
+    if pa.types.is_nested(keys.type):
+        listed = keys.to_pylist()
+        return np.array([i for i, k in enumerate(listed) if not i or k != listed[i - 1]], dtype="int64")
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.append(0, np.flatnonzero(codes[1:] != codes[:-1]) + 1)
+
+
+def in_order(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The product of each run, first to last: the runs' first values, then their second ones, and so on. The tails of long runs are multiplied one by one."""
+    n = np.diff(np.append(starts, len(values)))
+    out, live = values[starts], np.arange(len(starts))
+    for i in range(1, min(int(n.max()), 64)):
+        live = live[n[live] > i]
+        out[live] *= values[starts[live] + i]
+    for j in np.flatnonzero(n > 64):
+        product = float(out[j])
+        for x in values[starts[j] + 64 : starts[j] + n[j]].tolist():
+            product *= x
+        out[j] = product
+    return out
+
+
 def chain_totals(edges: DataFrame) -> DataFrame:
     """A2: (question_id, n_edges, confidence), the product in the chain's order. Each question's edges come sorted to one task, which
     multiplies them as they pass and holds none; a null confidence counts as 1."""
     rows = edges.select("question_id", "hop", "ord", F.coalesce("confidence", F.lit(1.0)).alias("confidence")).repartition("question_id").sortWithinPartitions("question_id", "hop", "ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n, product, first = None, 0, 1.0, True
-        give = lambda: pa.RecordBatch.from_arrays([now, pa.array([n], pa.int64()), pa.array([product])], names=["question_id", "n_edges", "confidence"])
+        # a batch's questions are multiplied at once; its last one stays open, as the next batch may go on with it
+        rest = None
+        give = lambda keys, n, product: pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(product, pa.float64())], names=["question_id", "n_edges", "confidence"])
         for batch in batches:
-            keys = batch.column(0)
-            for i, (key, confidence) in enumerate(zip(keys.to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if first or key != last:
-                    if not first:
-                        yield give()
-                    now, n, product, last, first = keys.slice(i, 1), 0, 1.0, key, False
-                n, product = n + 1, product * confidence
-        if not first:
-            yield give()
+            if not batch.num_rows:
+                continue
+            keys, values = batch.column(0), np.array(batch.column(1), dtype="float64")
+            starts = begins(keys)
+            n = np.diff(np.append(starts, len(values)))
+            if rest is not None:
+                if keys[0].as_py() == rest[0][0].as_py():
+                    n[0] += rest[1]
+                    values[0] = rest[2] * values[0]
+                else:
+                    yield give(rest[0], [rest[1]], [rest[2]])
+            product = in_order(values, starts)
+            yield give(keys.take(pa.array(starts[:-1])), n[:-1], product[:-1])
+            rest = keys.slice(int(starts[-1]), 1), int(n[-1]), float(product[-1])
+        if rest is not None:
+            yield give(rest[0], [rest[1]], [rest[2]])
 
     kind = edges.schema["question_id"].dataType.simpleString()
     return rows.select("question_id", "confidence").mapInArrow(run, f"question_id {kind}, n_edges long, confidence double")
