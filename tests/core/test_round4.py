@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import json
 from weft.functions.text import strip
-from weft.operators import evidence, responses
+from weft.operators import evidence, responses, triples
 
 
 def plan(df):
@@ -57,3 +57,11 @@ def test_products_in_order_across_batches(spark):
     for x in values[:100].tolist():
         product *= x
     assert len(starts) == 10 and evidence.in_order(values, starts)[0] == product
+
+
+def test_duplicates_are_merged_in_one_pass(spark):
+    rows = [(1, "a ", "p", "b", "r", 0.5, {"x": "1"}, "s1"), (2, "a", "p", "b", "q", 0.9, {"x": "2", "y": "3"}, "s2"), (3, "c", "p", "d", "r", 0.1, {}, "s3"), (4, "c", "p", "d", "r", 0.2, None, "s4"), (5, " ", "p", "d", "r", 0.2, None, "s5")]
+    df = spark.createDataFrame(rows, "ord int, subject string, predicate string, object string, relation_type string, confidence double, properties map<string,string>, source string")
+    out = triples.dedup_triples(df)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", "p", "b", "r", 0.9, {"x": "1", "y": "3"}, "s1"), (3, "c", "p", "d", "r", 0.2, {}, "s3")]
+    assert plan(out).count("LogicalRDD") + plan(out).count("LocalRelation") == 1

@@ -139,9 +139,13 @@ def dedup_triples(triples: DataFrame) -> DataFrame:
     """T5: one row for stripped (subject, predicate, object), none of them blank: largest confidence, first-wins properties, other fields of the first row."""
     key = ["subject", "predicate", "object"]
     t = triples.withColumns({c: strip(c) for c in key}).where("subject <> '' and predicate <> '' and object <> ''")
-    base = t.groupBy(*key).agg(F.min("ord").alias("ord"), F.max("confidence").alias("confidence"), F.min_by("relation_type", "ord").alias("relation_type"), F.min_by("source", "ord").alias("source"))
-    props = t.select(*key, "ord", F.explode("properties").alias("k", "v")).groupBy(*key, "k").agg(F.min_by("v", "ord").alias("v")).groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("properties"))
-    return base.join(props, key, "left").select("ord", *key, "relation_type", "confidence", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"), "source")
+    # one pass: first by property too, then by triple alone
+    t = t.select(*key, "ord", "confidence", "relation_type", "source", F.explode_outer("properties").alias("k", "v"))
+    first = lambda c: F.min_by(c, "ord").alias(c)
+    whole = [first("relation_type"), first("source"), F.max("confidence").alias("confidence"), F.min("ord").alias("ord")]
+    held = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))
+    out = t.groupBy(*key, "k").agg(first("v"), *whole).groupBy(*key).agg(F.map_from_entries(F.sort_array(held)).alias("properties"), *whole)
+    return out.select("ord", *key, "relation_type", "confidence", "properties", "source")
 
 
 def new_entities(triples: DataFrame, names: DataFrame) -> DataFrame:
