@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from weft.functions import json
 from weft.functions.text import strip
-from weft.operators import evidence, responses, triples
+from weft.operators import evidence, graph, responses, triples
+from weft.plans import fixtures
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -65,3 +68,13 @@ def test_duplicates_are_merged_in_one_pass(spark):
     out = triples.dedup_triples(df)
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a", "p", "b", "r", 0.9, {"x": "1", "y": "3"}, "s1"), (3, "c", "p", "d", "r", 0.2, {}, "s3")]
     assert plan(out).count("LogicalRDD") + plan(out).count("LocalRelation") == 1
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "ROWS", 100)
+    df = spark.range(1000).withColumn("k", F.col("id") % 70)
+    assert fixtures.dealt(df, "k").rdd.getNumPartitions() == 10
+    got = fixtures.edges(spark, SF, spread=True)
+    line = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert "hashpartitioning(l_suppkey" in got._jdf.queryExecution().executedPlan().toString() and f", {-(-line // 100)})" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, graph.degrees(got).collect())) == sorted(map(tuple, graph.degrees(fixtures.edges(spark, SF)).collect()))
