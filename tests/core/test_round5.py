@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import components, graph
+from weft.operators import components, graph, reasoning
 
 E = "edge_id string, src string, dst string, type string, confidence double, source_chunk_id string, source_text string"
 
@@ -46,6 +46,25 @@ def test_first_edges_by_their_ends(spark, monkeypatch, pairs):
     assert typed.where("type <> 'p' or other_label <> 'A' or src <> node").isEmpty() and typed.groupBy("question_id").count().agg(F.max("count")).first()[0] == 3
 
 
+@pytest.mark.parametrize("pairs", [1, 1 << 17])
+def test_beams_and_plans_choose_by_ends(spark, monkeypatch, pairs):
+    rows, names, edges, nodes = tables(spark)
+    monkeypatch.setattr(graph, "PAIRS", pairs, raising=False)
+    kept = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df: kept.append(df.columns) or components.checkpointed(df))
+    keys = spark.createDataFrame([(q, f"n{q}") for q in range(12)], "question_id int, node string")
+    hints = spark.createDataFrame([(q, t) for q in range(0, 12, 2) for t in "pq"], "question_id int, type string")
+    wished = keys.join(hints.groupBy("question_id").agg(F.array_sort(F.collect_set("type")).alias("wish")), "question_id", "left").withColumn("wish", F.coalesce("wish", F.array().cast("array<string>"))).withColumn("conf", F.lit(1.0))
+    got = reasoning.Around(wished, edges, nodes, 6).of(wished).groupBy("question_id").agg(F.collect_list(F.struct("edge_id", "other")).alias("x"))
+    want = {q: first(rows, names, f"n{q}", 6, (lambda r: r[3] in "pq") if q % 2 == 0 else lambda r: True) for q in range(12)}
+    assert {r["question_id"]: sorted(map(tuple, r["x"])) for r in got.collect()} == {q: x for q, x in want.items() if x}
+    steps = keys.select("question_id", F.lit(None).cast("string").alias("target_type"), F.lit("p").alias("relation_hint"), F.lit("out").alias("direction"))
+    hop = reasoning.plan_hop(keys, steps, edges, nodes, 4).groupBy("question_id").agg(F.collect_list(F.struct("edge_id", "other")).alias("x"))
+    want = {q: first([r for r in rows if r[1] == f"n{q}"], names, f"n{q}", 4, lambda r: r[3] == "p") for q in range(12)}
+    assert {r["question_id"]: sorted(map(tuple, r["x"])) for r in hop.collect()} == {q: x for q, x in want.items() if x}
+    assert kept == [["node", "wish", "other"]] * 2
+
+
 def test_sieve_keeps_every_pair(spark):
     rows, _, edges, _ = tables(spark)
     around = graph.incident(edges)
