@@ -73,3 +73,16 @@ def test_sieve_keeps_every_pair(spark):
     assert got.columns == around.columns
     assert got.join(near, ["node", "other"], "left_semi").count() == around.join(near, ["node", "other"], "left_semi").count()
     assert got.count() < around.count() / 2
+
+
+def test_contexts_write_no_second_copy_of_the_edges(spark, monkeypatch):
+    rows, names, edges, nodes = tables(spark)
+    kept = []
+    monkeypatch.setattr(components, "checkpointed", lambda df, real=components.checkpointed: kept.append(df.columns) or real(df))
+    keys = spark.createDataFrame([(0, "n1"), (1, "n2")], "question_id int, node string")
+    _, out = graph.node_context(keys, edges, nodes, 1, 5)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["start"], []).append((r["edge_id"], r["other"]))
+    assert {k: sorted(v) for k, v in got.items()} == {n: first(rows, names, n, 5) for n in ("n1", "n2")}
+    assert not [c for c in kept if "edge_id" in c and "level" not in c]

@@ -68,7 +68,7 @@ one AS (SELECT s_suppkey AS k, node, other, edge_id FROM supplier JOIN near ON n
 two AS (SELECT o.k, n.node, n.other, n.edge_id FROM (SELECT DISTINCT k, other FROM one WHERE other <> 'S' || k) o JOIN near n ON n.node = o.other WHERE rn <= 20)
 SELECT k AS question_id, 1 AS level, node, other, edge_id FROM one UNION ALL SELECT k, 2, node, other, edge_id FROM two""")
 def g9_node_context(spark: SparkSession, sf: str) -> DataFrame:
-    _, edges = g.node_context(supplier_keys(spark, sf), stored_edges(spark, sf), stored_nodes(spark, sf), 2)
+    _, edges = g.node_context(supplier_keys(spark, sf), stored_edges(spark, sf, "edge_id", "src", "dst", "type"), stored_nodes(spark, sf), 2)
     return edges.select("question_id", "level", "node", "other", "edge_id")
 
 
